@@ -240,10 +240,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = materialize(sets.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
     keyed = sets.join(copies.select(F.col("rep").alias("id"), "hi", "lo"), ["id", "hi", "lo"], "left_semi").select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").select("key", "low")
-    near = keyed.join(shared, "key").where("id <> low").select("id", "low").distinct()
+    # Merge joins: neither the shared keys nor the areas have a proven bound, so they are never broadcast.
+    near = keyed.join(shared.hint("merge"), "key").where("id <> low").select("id", "low").distinct()
     areas = materialize(connected_components(near, "id", "low"))
     # The smallest representative of an area is its name; it and all others read their text once more.
-    todo = wanted.join(areas.select(F.col("node").alias("id"), F.col("component").alias("area")), "id").select("area", "id", "text")
+    todo = wanted.join(areas.select(F.col("node").alias("id"), F.col("component").alias("area")).hint("merge"), "id").select("area", "id", "text")
     points = materialize(todo.mapInArrow(partial(_points, k=k), _POINT))
     # Rows of equal id but other texts: a set that is not the representative's own stands in the copies table as well.
     linked = connected_components(_linked(points.where("n > 0"), percent), "u", "v")

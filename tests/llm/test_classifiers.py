@@ -103,7 +103,7 @@ def test_grammar_reads_clauses():
 
 def test_pipeline_stages(spark, truth):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = corpus_pipeline.filter_quality(spark, docs, SF).localCheckpoint() if False else corpus_pipeline.materialize(corpus_pipeline.filter_quality(spark, docs, SF))
+    good = corpus_pipeline.materialize(corpus_pipeline.filter_quality(spark, docs, SF))
     assert good.columns == docs.columns
     kept = {r.doc_id for r in good.select("doc_id").collect()}
     assert np.mean([(i in kept) == (truth[i].quality == 1) for i in truth if truth[i].quality is not None]) > 0.95
