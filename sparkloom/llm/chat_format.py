@@ -109,6 +109,10 @@ def _fixed_turns(m: Mapping, get) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), text(p).alias("text")) for r, p in m.fixed])
 
 
+def _turn(m: Mapping):
+    return lambda x: F.struct(_role(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
+
+
 def _exploded(records: DataFrame, identity: Column, turns: Column) -> DataFrame:
     out = records.select(identity, F.posexplode(turns).alias("turn", "m")).where(F.col("m.text").isNotNull())
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
@@ -117,7 +121,7 @@ def _exploded(records: DataFrame, identity: Column, turns: Column) -> DataFrame:
 def json_paths(json: Column) -> Column:
     """Sorted leaf paths of a JSON object whose values are scalars or arrays of flat objects."""
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    inner = lambda k: F.json_object_keys(F.get(F.from_json(F.get(F.from_json(json, "map<string,string>"), k), "array<string>"), F.lit(0)))
+    inner = lambda k: F.json_object_keys(F.get(F.from_json(F.try_element_at(F.from_json(json, "map<string,string>"), k), "array<string>"), F.lit(0)))
     return F.array_sort(F.flatten(F.transform(keys, lambda k: F.coalesce(F.transform(inner(k), lambda x: F.concat(k, F.lit("[]."), x)), F.array(k)))))
 
 
@@ -132,7 +136,7 @@ def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> Data
             continue
         if m.turns:
             kind = f"struct<{m.turns}:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
-            turns = F.transform(F.from_json("j", kind)[m.turns], lambda x, m=m: F.struct(_role(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
+            turns = F.transform(F.from_json("j", kind)[m.turns], _turn(m))
         else:
             turns = _fixed_turns(m, lambda p: F.get_json_object("j", f"$.{p}"))
         options = F.when(F.col("fingerprint") == key, turns).otherwise(options)

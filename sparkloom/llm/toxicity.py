@@ -37,7 +37,7 @@ INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clo
 THREATS = "kill hurt destroy shoot stab strangle beat murder burn töten umbringen tuer frapper matar golpear".split()
 TARGETS = "you your yours u he she they him her them du dich dir ihr euch sie tu te toi vous il elle ils tú usted ustedes él ella".split()
 NEGATIONS = "not never no without cannot don't isn't aren't won't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún sin".split()
-REPORTS = "said says say called calls wrote writes quoted claimed reportedly allegedly sagte sagt nannte schrieb dit disait écrit dijo dice escribió llamó".split()
+REPORTS = "said says say call called calls wrote writes quoted claimed reportedly allegedly sagte sagt nannte schrieb dit disait écrit dijo dice escribió llamó".split()
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 CLAUSE_END = re.compile(r"[.!?;:\n\r]+")
