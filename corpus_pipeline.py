@@ -32,11 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document of the smallest id; of repeated rows of one id, one."""
     groups = materialize(ngram_join.ngram_jaccard_join(docs))
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
-    out = docs.join(kept.where("c = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # Ids of kept documents have no bound, so they are merged with, never broadcast.
+    out = docs.join(kept.where("c = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     repeated = kept.where("c > 1").select("doc_id")
     if repeated.isEmpty():
         return out
-    return out.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.join(repeated.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
