@@ -210,7 +210,8 @@ def _linked(points: DataFrame, percent: int) -> DataFrame:
     sized = points.groupBy("area").agg(F.sum("n").alias("volume"), F.min("id").alias("hub")).withColumn("blocks", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"))
     dealt = points.join(sized.select("area", "hub", "blocks"), "area")
     everywhere = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    first = dealt.select("area", F.explode(everywhere).alias("block"), "id", "shingles").groupBy("area", "block").applyInPandas(partial(_verify, percent=percent), "u long, v long")
+    # Dealt out by block: the join's own partitioning, by area, would satisfy the grouping and keep an area in one task.
+    first = dealt.select("area", F.explode(everywhere).alias("block"), "id", "shingles").repartition("area", "block").groupBy("area", "block").applyInPandas(partial(_verify, percent=percent), "u long, v long")
     edges = materialize(first)
     large = sized.where("blocks > 1")
     if large.isEmpty():
@@ -222,7 +223,7 @@ def _linked(points: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = rows.join(apart, "area").select("area", "id", "shingles", "part", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("area", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "id", "shingles", "part")
-    second = pairs.groupBy("area", "x", "y").applyInPandas(partial(_verify, percent=percent), "u long, v long")
+    second = pairs.repartition("area", "x", "y").groupBy("area", "x", "y").applyInPandas(partial(_verify, percent=percent), "u long, v long")
     return edges.unionByName(materialize(second))
 
 
