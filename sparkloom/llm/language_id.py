@@ -92,6 +92,11 @@ def train(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     return KernelModel(languages, marks, norms, (root @ w).astype(np.float32), (level - mean @ w).astype(np.float32))
 
 
+def lowest_hashes(wanted: int, rows: int) -> int:
+    """The signed 64-bit number up to which the hashes of about ``wanted`` of ``rows`` rows lie."""
+    return (1 << 63) - 1 if wanted >= rows else -(1 << 63) + (1 << 64) * wanted // rows
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_slices(batch.column(0)):
@@ -103,11 +108,14 @@ def fit(docs: DataFrame, train_filter, id_col: str = "doc_id", text_col: str = "
     """Learn from at most ``MAX_LANGUAGES * TEXTS_PER_LANGUAGE`` rows, those whose id hashes lowest in each language;
     only their presence bits (``BUCKETS / 8`` bytes a row) reach the driver."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train_filter(F.col("id")))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not common:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "id"), "id")
-    ids = rows.where(F.col("lang").isin(common)).select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("id", "lang")
+    # Only hashes among which twice as many rows as wanted are expected are ranked, however many rows a language has.
+    low = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], lowest_hashes(2 * TEXTS_PER_LANGUAGE, r["n"]))])
+    hashed = rows.select("id", "lang", F.xxhash64(F.lit(7), "id").alias("h")).where(F.col("h") <= low[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    ids = hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("id", "lang")
     chosen = rows.join(F.broadcast(ids.distinct()), ["id", "lang"], "left_semi")  # as many rows as the bound above
     sample = chosen.select("text", "lang").mapInArrow(_bits, "bits binary, lang string").limit(2 * MAX_LANGUAGES * TEXTS_PER_LANGUAGE).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
