@@ -123,3 +123,8 @@ def test_pipeline_keeps_columns_and_one_of_repeated_rows(spark):
     assert out.columns == odd.columns
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_lowest_hashes_are_a_share_of_all():
+    assert [language_id.lowest_hashes(1, n) for n in (1, 2, 4)] == [2**63 - 1, 0, -(2**62)]
+    assert language_id.lowest_hashes(600, 10) == 2**63 - 1
