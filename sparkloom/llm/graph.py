@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is an aggregation with map-side combine and an equi-join that adaptive execution can split; no component,
-however large, meets in one task or on the driver, and each round ends in a table of the shared folder."""
+Every step is an aggregation with map-side combine and an equi-join; nothing is collected to the driver, and each round
+ends in a table of the shared folder. The join reads all edges of a component's centre in one task, as streamed rows."""
 
 from __future__ import annotations
 
