@@ -14,6 +14,8 @@ from sparkloom.llm.queries import with_crc32
 
 #: A document goes where its quality is below this, or where no learned language has this share of the margin.
 MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.4
+#: Documents are near duplicates from this Jaccard coefficient of their word shingles on; op6's own contract is 3, 90.
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id; of repeated rows of one id, one."""
-    groups = materialize(ngram_join.ngram_jaccard_join(docs))
+    groups = materialize(ngram_join.ngram_jaccard_join(docs, k=SHINGLE_WORDS, percent=PERCENT))
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
     # Ids of kept documents have no bound, so they are merged with, never broadcast.
     out = docs.join(kept.where("c = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
