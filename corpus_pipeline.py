@@ -31,15 +31,23 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id; of repeated rows of one id, one."""
-    groups = materialize(ngram_join.ngram_jaccard_join(docs, k=SHINGLE_WORDS, percent=PERCENT))
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c"))
-    # Ids of kept documents have no bound, so they are merged with, never broadcast.
-    out = docs.join(kept.where("c = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    repeated = kept.where("c > 1").select("doc_id")
-    if repeated.isEmpty():
-        return out
-    return out.unionByName(docs.join(repeated.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates the row of the smallest id, one without an id last; of equal rows, one.
+
+    Rows are grouped by their texts: an id with several texts may have several survivors, and a null id may have one."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        groups = materialize(ngram_join.ngram_jaccard_join(docs, k=SHINGLE_WORDS, percent=PERCENT))
+        # Ids of kept documents have no bound, so they are merged with, never broadcast.
+        return docs.join(groups.where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    # Ids that don't tell the rows apart: a hash of id and text does.
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = ngram_join.ngram_jaccard_join(keyed, "row_key", k=SHINGLE_WORDS, percent=PERCENT)
+    groups = materialize(groups.groupBy("row_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("c")))
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key", "c")
+    first = keyed.select("row_key", "doc_id").join(groups.hint("merge"), "row_key").groupBy("component_id").agg(F.min(rank).alias("first"))
+    kept = materialize(first.select("first.row_key", "first.c"))
+    out = keyed.join(kept.where("c = 1").hint("merge"), "row_key", "left_semi")
+    repeated = keyed.join(kept.where("c > 1").hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return out.unionByName(repeated).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
