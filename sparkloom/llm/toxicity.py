@@ -9,7 +9,8 @@ They are composed into one deterministic machine ahead of time. What it emits is
 such as "insult, aimed at someone, negated"; a document's evidence is the weight of its patterns over all clauses, and a
 logistic model learned from labels says what each kind of pattern is worth. The lexicon is learned as well: words and
 word beginnings that are far more frequent in toxic documents, besides a few seeds. Documents without a lexicon word
-(found by hashing all words of a batch at once) need no machine: they score as an empty match."""
+(found by hashing all words of a batch at once) need no machine: they score as an empty match. Those with characters
+beyond Latin-1 and general punctuation always go through it, as the hashing reads no others."""
 
 from __future__ import annotations
 
@@ -85,12 +86,14 @@ def _fold(data: np.ndarray) -> np.ndarray:
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
+#: Last bytes, behind C2, E2 80 and E2 81, of characters that TOKEN takes as letters (such as superscripts).
+_ODD = {lead: np.array([bool(TOKEN.match((lead + bytes([b])).decode())) if 0x80 <= b < 0xC0 else False for b in range(256)]) for lead in (b"\xc2", b"\xe2\x80", b"\xe2\x81")}
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
-    """Bytes of letters: punctuation of Latin-1 (C2 xx) and general punctuation (E2 80-81 xx) are none."""
+    """Bytes of letters: punctuation of Latin-1 (C2 xx, C3 97, C3 B7) and general punctuation (E2 80-81 xx) are none."""
     inside = _LETTER[data]
-    two = np.flatnonzero(data == 0xC2)
+    two = np.flatnonzero((data == 0xC2) | ((data == 0xC3) & np.isin(np.append(data[1:], 0), (0x97, 0xB7))))
     three = np.flatnonzero((data[:-1] == 0xE2) & ((data[1:] == 0x80) | (data[1:] == 0x81)))
     for at, width in ((two, 2), (three, 3)):
         for i in range(width):
@@ -98,6 +101,17 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return inside
 
 
+def _unread(data: np.ndarray) -> np.ndarray:
+    """Places of characters that ``_fold`` and ``_letters`` don't read as ``str.lower`` and TOKEN do."""
+    lead = np.flatnonzero(data >= 0xC2)
+    one, two = np.minimum(lead + 1, len(data) - 1), np.minimum(lead + 2, len(data) - 1)
+    latin, mark = data[lead] == 0xC2, (data[lead] == 0xE2) & ((data[one] == 0x80) | (data[one] == 0x81))
+    known = (data[lead] == 0xC3) | (latin & ~_ODD[b"\xc2"][data[one]])
+    for third in (0x80, 0x81):
+        known |= mark & (data[one] == third) & ~_ODD[bytes([0xE2, third])][data[two]]
+    return lead[~known]
+
+
 class Lexicon:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.kinds = {w: (k, 1.0) for k, group in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (INSULT, INSULTS)) for w in group}
@@ -105,6 +119,8 @@ class Lexicon:
         self.stems = dict(stems)
         self.widths = sorted({len(s) for s in stems})
         hits = [w for w, (k, _) in self.kinds.items() if k in (INSULT, THREAT)]
+        # Spans end at an apostrophe, so words and stems with one inside are looked for by what is before it.
+        hits = sorted({re.split("['’]", w)[0] for w in hits} | {re.split("['’]", s)[0] for s in stems if re.search("['’]", s)})
         self.hashes = np.sort(self._hash(hits))
         self.stem_hashes = {n: np.sort(self._hash([s for s in stems if len(s.encode()) == n])) for n in sorted({len(s.encode()) for s in stems})}
 
@@ -121,7 +137,11 @@ class Lexicon:
         return known[at] == values
 
     def rows_with_hits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        data = _fold(data)
+        """Rows that can hold a hit: those where a span is one, and those with characters that spans don't read."""
+        unread = np.unique(np.searchsorted(offsets, _unread(data), side="right") - 1)
+        return np.union1d(unread, self._rows_of_spans(_fold(data), offsets))
+
+    def _rows_of_spans(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, first = tv.spans(_letters(data), offsets) if len(data) else (np.zeros(0, np.int64),) * 2 + (offsets,)
         if not len(starts):
             return np.zeros(0, np.int64)
