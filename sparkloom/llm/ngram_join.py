@@ -5,10 +5,11 @@
 2. Tokens are hashed into sections, as many as two linking sets can differ in tokens, and a few more. By the pigeonhole
    principle linked sets agree in a whole section, so documents that share no section key never meet. That deals the
    corpus out into neighbourhoods without comparing anything and without losing a link.
-3. Within a neighbourhood the tokens are hashed into ``GROUPS`` groups; a document is the point of its group counts. An
-   R-tree over these points (sort-tile-recursive packing) is searched with the bound
-   ``|A and B| <= sum over groups of min(a_g, b_g)``, for nodes with the upper corner of their box. Surviving pairs are
-   verified on the sets.
+3. Within a neighbourhood the tokens are hashed into groups, one for every ``GROUP_TOKENS`` tokens of the mean set; a
+   document is the point of its group counts. (Counts of unlike sets differ by about ``0.56 sqrt(groups / tokens)`` of
+   their size, so a fixed number of groups would tell nothing of long texts.) An R-tree over these points
+   (sort-tile-recursive packing) is searched with the bound ``|A and B| <= sum over groups of min(a_g, b_g)``, for nodes
+   with the upper corner of their box. Surviving pairs are verified on the sets.
 4. A neighbourhood too large for a task is dealt into blocks which all hold its first document as a hub; blocks are
    compared with each other only where components are still apart after that.
 
@@ -30,8 +31,9 @@ from . import textvec as tv
 from .common import buffers, drop_table, materialize, spread, text_slices
 from .graph import connected_components
 
-SHINGLE_WORDS, PERCENT = 3, 90
-GROUPS = 32
+SHINGLE_WORDS, PERCENT = 5, 80
+#: Groups of the count vectors: one for so many tokens of the mean set, within bounds.
+GROUP_TOKENS, FEWEST_GROUPS, MOST_GROUPS = 10, 32, 1024
 #: Sections beyond the most that linked sets can differ in, so that this many empty sections need no key.
 SPARE = 2
 #: Shingles that one verification task holds at a time (8 bytes each), but for a single longer document.
@@ -99,15 +101,15 @@ _DIGEST = "id long, n long, hi long, lo long, keys array<long>"
 
 def _digest(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, hi, lo, keys = [], [], [], []
-        for s in _sets(batch.column(1), k):
-            n.append(len(s))
-            hi.append(int(_signed(np.sum(tv.mix(s), dtype=np.uint64, keepdims=True))[0]) if len(s) else None)
-            lo.append(int(_signed(np.sum(tv.mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64, keepdims=True))[0]) if len(s) else None)
-            keys.append(_signed(section_keys(s, percent)) if len(s) else np.zeros(0, np.int64))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["id", "n", "hi", "lo", "keys"])
+        for a, b in text_slices(batch.column(1)):
+            n, hi, lo, keys = [], [], [], []
+            for s in _sets(batch.column(1).slice(a, b - a), k):
+                n.append(len(s))
+                hi.append(int(_signed(np.sum(tv.mix(s), dtype=np.uint64, keepdims=True))[0]) if len(s) else None)
+                lo.append(int(_signed(np.sum(tv.mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64, keepdims=True))[0]) if len(s) else None)
+                keys.append(_signed(section_keys(s, percent)) if len(s) else np.zeros(0, np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys)))], names=["id", "n", "hi", "lo", "keys"])
 
 
 _POINT = "area long, id long, n long, shingles binary"
@@ -115,12 +117,18 @@ _POINT = "area long, id long, n long, shingles binary"
 
 def _points(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(_sets(batch.column(2), k))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["area", "id", "n", "shingles"])
+        for a, b in text_slices(batch.column(2)):
+            sets = list(_sets(batch.column(2).slice(a, b - a), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["area", "id", "n", "shingles"])
 
 
-def group_counts(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((tv.mix(shingles ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def groups_for(sizes: np.ndarray) -> int:
+    """Groups of the count vectors of a block; all vectors of a block take a tenth of the room of its sets."""
+    return int(np.clip(sizes.mean() / GROUP_TOKENS, FEWEST_GROUPS, MOST_GROUPS)) if len(sizes) else FEWEST_GROUPS
+
+
+def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((tv.mix(shingles ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
 class CountRTree:
@@ -168,7 +176,8 @@ def link_block(ids: np.ndarray, shingles: list[np.ndarray], percent: int, parts:
     Breadth first: a document is compared only with those not reached yet, so a dense group costs its size, not its
     square. ``parts`` are components known already; each is entered as a whole."""
     sizes = np.array([len(s) for s in shingles], dtype=np.int64)
-    points = np.array([group_counts(s) for s in shingles], dtype=np.int64).reshape(len(shingles), GROUPS)
+    groups = groups_for(sizes)
+    points = np.array([group_counts(s, groups) for s in shingles], dtype=np.int32).reshape(len(shingles), groups)
     tree = CountRTree(points, sizes)
     root, open_ = np.full(len(ids), -1), np.ones(len(ids), dtype=bool)
     together: dict[int, np.ndarray] = {}
@@ -216,7 +225,7 @@ def _linked(points: DataFrame, percent: int) -> DataFrame:
     large = sized.where("blocks > 1")
     if large.isEmpty():
         return edges
-    # Neighbourhoods of several blocks, where these are not yet one component: every pair of blocks.
+    # Neighbourhoods of several blocks, where these are not yet one component: every pair of blocks that are apart.
     parts = connected_components(edges, "u", "v")
     rows = points.join(large.select("area", "blocks"), "area").join(parts, F.col("id") == F.col("node"), "left").select("area", "blocks", "id", "shingles", F.coalesce("component", "id").alias("part"))
     apart = rows.groupBy("area").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("area")
@@ -224,7 +233,10 @@ def _linked(points: DataFrame, percent: int) -> DataFrame:
     pairs = rows.join(apart, "area").select("area", "id", "shingles", "part", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("area", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"), "id", "shingles", "part")
     second = pairs.repartition("area", "x", "y").groupBy("area", "x", "y").applyInPandas(partial(_verify, percent=percent), "u long, v long")
-    return edges.unionByName(materialize(second))
+    out = materialize(edges.unionByName(second))
+    drop_table(parts)
+    drop_table(edges)
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -236,6 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     takes part in no link and has a null component. Other columns are not read, so any may be there.
     """
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Four tables: digests, copies, areas, points. What only an eager step reads is deleted behind it.
     base = materialize(spread(wanted).mapInArrow(partial(_digest, k=k, percent=percent), _DIGEST))
     sets = base.where("n > 0 and id is not null")
     copies = materialize(sets.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
@@ -243,12 +256,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top").select("key", "low")
     # Merge joins: neither the shared keys nor the areas have a proven bound, so they are never broadcast.
     near = keyed.join(shared.hint("merge"), "key").where("id <> low").select("id", "low").distinct()
-    areas = materialize(connected_components(near, "id", "low"))
+    areas = connected_components(near, "id", "low")
     # The smallest representative of an area is its name; it and all others read their text once more.
     todo = wanted.join(areas.select(F.col("node").alias("id"), F.col("component").alias("area")).hint("merge"), "id").select("area", "id", "text")
     points = materialize(todo.mapInArrow(partial(_points, k=k), _POINT))
+    drop_table(areas)
     # Rows of equal id but other texts: a set that is not the representative's own stands in the copies table as well.
-    linked = connected_components(_linked(points.where("n > 0"), percent), "u", "v")
+    edges = _linked(points.where("n > 0"), percent)
+    linked = connected_components(edges, "u", "v")
+    drop_table(edges)
+    drop_table(points)
     far = copies.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"), "top")
     far = far.where("component < top or component is null")
     repeated = base.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1")

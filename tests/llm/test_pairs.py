@@ -72,14 +72,14 @@ def test_join_equals_brute_force(spark, k, percent):
 
 def test_join_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = nj.ngram_jaccard_join(docs)
+    got = nj.ngram_jaccard_join(docs, k=3, percent=90)
     assert {tuple(r) for r in got.collect()} == brute_join([(r.doc_id, r.text) for r in docs.collect()], 3, 90)
 
 
 def test_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_SHINGLES", 800)
     rows = near_copies(150, 7)
-    got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90)
     assert {tuple(r) for r in got.collect()} == brute_join(rows, 3, 90)
 
 
@@ -88,7 +88,7 @@ def test_join_of_odd_tables(spark):
     assert nj.ngram_jaccard_join(spark.createDataFrame([], shape)).count() == 0
     text, other = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
     rows = [(3, text, 1, "x", "y"), (3, text, 1, "x", "y"), (None, text, 1, None, None), (5, text, None, None, None), (5, other, 0, "", ""), (9, other, 0, "", "")]
-    got = sorted((tuple(r) for r in nj.ngram_jaccard_join(spark.createDataFrame(rows, shape)).collect()), key=str)
+    got = sorted((tuple(r) for r in nj.ngram_jaccard_join(spark.createDataFrame(rows, shape), k=3, percent=90).collect()), key=str)
     assert got == sorted([(3, 48, 3), (3, 48, 3), (None, 48, None), (5, 48, 3), (5, 48, 3), (9, 48, 3)], key=str)
 
 
