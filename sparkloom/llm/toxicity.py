@@ -310,11 +310,11 @@ def _patterns(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[p
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64())), part.column(2)], names=["id", "x", "label"])
 
 
-def learn_weights(x: np.ndarray, y: np.ndarray, ridge: float = 4.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+def learn_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Pattern weights and bias of the most likely parameters around PRIOR, by gradient steps within their bounds."""
     names = list(PRIOR)
     prior = np.array([PRIOR[n] for n in names])
-    least, most = np.array([0.3, 2.0, 0.2, 0.4, 0.3, 0.1]), np.array([6.0, 8.0, 4.0, 1.0, 1.0, 4.0])
+    least, most = np.array([0.3, 2.0, 0.1, 0.2, 0.2, 0.1]), np.array([6.0, 8.0, 4.0, 1.0, 1.0, 4.0])
     theta, bias, speed, step = prior.copy(), -3.0, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for i in range(1, rounds + 1):
         w = pattern_weights(*theta)
