@@ -1,15 +1,20 @@
 """Quality classification of documents by attention-based multiple-instance learning.
 
 A document is a bag of passages of about ``PASSAGE_BYTES`` bytes, cut at line or word ends; every passage of the whole
-text is encoded as a vector: shares of byte classes, a histogram of class pairs, word statistics. With h the hidden
-encoding of a passage,
+text is encoded as a vector: shares of byte classes, of class pairs and of classes on both sides of a gap between words,
+word statistics, and hashed words, pairs of neighbouring words and pairs of letters. With h the hidden encoding of a
+passage,
 
     h_k = tanh(A x_k),   a = softmax_k( w . (tanh(V h_k) * sigmoid(U h_k)) ),   z = sum_k a_k h_k,   p = sigmoid(c . z + b)
 
-The gated attention weights are learned from document labels alone, by Adam on whole bags."""
+The gated attention weights are learned from document labels alone, by Adam on whole bags: all passages of a training
+document train. Damaged copies of good training documents (words shuffled, or every letter replaced at random) train as
+bad ones, so that good means the words and their order, not only the look of the marks."""
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,9 +27,14 @@ from . import textvec as tv
 from .common import buffers, smallest_by_hash, spread, text_slices
 
 PASSAGE_BYTES = 512
-#: Bounds of the training sample: labelled documents (those whose id hashes lowest) and passages of each of them.
-TRAIN_DOCUMENTS, TRAIN_PASSAGES = 6000, 24
-HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 30, 8e-3, 1e-4
+#: Bounds of the training sample: labelled documents (those whose id hashes lowest), and passages of all of them
+#: together. Documents count whole, in the order of their hash, for as long as they fit.
+TRAIN_DOCUMENTS, TRAIN_PASSAGES = 6000, 24_576
+#: One good training document in so many is damaged in each of the two ways.
+DAMAGED = 6
+HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 16, 8e-3, 1e-4
+#: Places that words, word pairs and letter pairs are hashed to.
+PLACES = 256
 
 #: Byte classes: each mark that junk repeats has its own.
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", "|", "#$%&*@^~+=", "-_/\\:;", "'\"()[]{}<>"]
@@ -33,7 +43,7 @@ for _i, _members in enumerate(_CLASSES):
     CLASS[[ord(c) for c in _members]] = _i
 CLASS[0x80:] = len(_CLASSES) + 1  # parts of characters outside ASCII
 N_CLASSES = len(_CLASSES) + 2
-FEATURES = N_CLASSES + N_CLASSES**2 + 6
+FEATURES = N_CLASSES + 2 * N_CLASSES**2 + 6 + 3 * PLACES
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,6 +66,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of all passages of a batch, and the first passage of each document (n + 1 entries)."""
+    if not len(offsets) - 1:
+        return np.zeros((0, FEATURES), np.float32), np.zeros(1, np.int64)
     cuts, first = passages(data, offsets)
     n = len(cuts) - 1
     lengths = np.diff(cuts)
@@ -76,8 +88,19 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     distinct = np.bincount(at[order][fresh], minlength=n)
     size = np.maximum(lengths, 1)[:, None]
     some = np.maximum(count, 1)
+    place = lambda h: (h >> np.uint64(40)).astype(np.int64) % PLACES
+    share = lambda rows, of, width, total: np.sqrt(np.bincount(rows * width + of, minlength=n * width).reshape(n, width) / total[:, None])
+    next_to = np.flatnonzero(at[1:] == at[:-1]) if len(at) > 1 else np.zeros(0, np.int64)  # words with a next one in the passage
+    gaps = share(at[next_to], kind[ends[next_to] - 1] * N_CLASSES + kind[starts[next_to + 1]], N_CLASSES**2, some) if len(at) else np.zeros((n, N_CLASSES**2))
+    word = share(at, place(words), PLACES, some)
+    pairs = share(at[next_to], place(tv.mix(words[next_to] * np.uint64(0xD6E8FEB86659FD93) + words[next_to + 1])) if len(at) else at, PLACES, some)
+    letter = kind <= 1
+    letter |= data >= 0x80
+    two = np.flatnonzero(letter[:-1] & letter[1:] & same) if len(row) > 1 else np.zeros(0, np.int64)
+    low = np.where(kind == 1, data | 0x20, data).astype(np.int64)
+    letters = share(row[two], (low[two] * 31 + low[two + 1] * 7) % PLACES if len(two) else row[two], PLACES, size[:, 0])
     more = np.stack([again / some, distinct / some, np.log1p(count) / 5, lengths / PASSAGE_BYTES / 2, np.bincount(at, weights=(ends - starts).astype(float), minlength=n) / some / 10, count == 0], axis=1)
-    return np.concatenate([np.sqrt(single / size), np.sqrt(pair / size), more], axis=1).astype(np.float32), first
+    return np.concatenate([np.sqrt(single / size), np.sqrt(pair / size), gaps, more, word, pairs, letters], axis=1).astype(np.float32), first
 
 
 def _sigmoid(x):
@@ -104,13 +127,27 @@ class AttentionModel:
         return self.forward(x, first)[-1]
 
 
+def damage(text: str, way: int, rng: np.random.Generator) -> str:
+    """A bad copy of a text: its words shuffled among its gaps (0), or every letter replaced at random (1)."""
+    if way == 0:
+        parts = re.split(r"(\s+)", text)
+        words = [parts[2 * i] for i in rng.permutation((len(parts) + 1) // 2)]
+        parts[::2] = words
+        return "".join(parts)
+    drawn = iter(rng.integers(0, 26, len(text)).tolist())
+    return "".join(chr((65 if c.isupper() else 97) + x) if c.isalpha() else c for c, x in zip(text, drawn, strict=True))
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> AttentionModel | None:
+    """``bags`` may be of half precision; a step takes 64 of them in single precision."""
     if not bags:
         return None
     rng = np.random.default_rng(seed)
-    everything = np.concatenate(bags).astype(np.float64)
-    mean, scale = everything.mean(axis=0), 1 / (everything.std(axis=0) + 0.05)
-    width = everything.shape[1]
+    size = sum(len(b) for b in bags)
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / size
+    square = sum((b.astype(np.float32) ** 2).sum(axis=0, dtype=np.float64) for b in bags) / size
+    scale = 1 / (np.sqrt(np.maximum(square - mean**2, 0)) + 0.05)
+    width = len(mean)
     p = {"A": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "a": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "w": np.zeros(ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
     rate = np.clip(labels.mean(), 0.02, 0.98)
     p["b"][0] = np.log(rate / (1 - rate))
@@ -123,7 +160,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attentio
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])])
-            x, h, t, g, weight, z, out = model.forward(np.concatenate([bags[i] for i in chosen]), first)
+            x, h, t, g, weight, z, out = model.forward(np.concatenate([bags[i] for i in chosen]).astype(np.float32), first)
             counts = np.diff(first)
             dlogit = ((out - labels[chosen]) / len(chosen)).astype(np.float32)
             dz = dlogit[:, None] * p["c"]
@@ -146,28 +183,44 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attentio
 
 
 def _encode_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bags of (id, text, label), and those of the damaged copies of some good documents."""
     for batch in batches:
         for a, b in text_slices(batch.column(1)):
-            x, first = encode_passages(*buffers(batch.column(1).slice(a, b - a)))
-            rows = []
-            for i in range(b - a):
-                n = first[i + 1] - first[i]
-                pick = first[i] + np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).astype(int))
-                rows.append(x[pick].astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary()), batch.column(2).slice(a, b - a)], names=["id", "bag", "label"])
+            ids, texts, labels = (c.slice(a, b - a).to_pylist() for c in batch.columns[:3])
+            for i, text, label in list(zip(ids, texts, labels, strict=True)):
+                draw = zlib.crc32(str(i).encode()) // 7 % DAMAGED
+                if label > 0 and text and draw < 2:
+                    ids.append(i)
+                    texts.append(damage(text, draw, np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))))
+                    labels.append(0)
+            x, first = encode_passages(*buffers(pa.array(texts, pa.string())))
+            x = x.astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[f:g].tobytes() for f, g in zip(first, first[1:])], pa.binary()), pa.array(labels, pa.int32())], names=["id", "bag", "label"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, train_filter, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
-    """Learn from at most ``TRAIN_DOCUMENTS`` labelled documents, with at most ``TRAIN_PASSAGES`` passages each (evenly
-    spaced over the whole text): that many vectors reach the driver. A document with several labels counts with the
-    largest."""
+    """Learn from at most ``TRAIN_DOCUMENTS`` labelled documents, those whose id hashes lowest, of at most
+    ``TRAIN_PASSAGES`` passages together (a third as many more come from damaged copies): that many vectors reach the
+    driver. A document with several labels counts with the largest; of several rows of an id the one of the lowest text
+    hash counts."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & train_filter(F.col("id")))
     chosen = smallest_by_hash(known.groupBy("id").agg(F.max("label").alias("label")), "id", TRAIN_DOCUMENTS, 11)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")  # TRAIN_DOCUMENTS rows at most
-    sample = sorted(rows.mapInArrow(_encode_sample, "id long, bag binary, label int").limit(2 * TRAIN_DOCUMENTS).collect(), key=lambda r: (r["id"], bytes(r["bag"])))
-    bags = [np.frombuffer(bytes(r["bag"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for r in sample]
-    return train(bags, np.array([float(r["label"] > 0) for r in sample]))
+    rows = texts.join(F.broadcast(chosen), "id")  # TRAIN_DOCUMENTS rows at most, but for repeated ids
+    size = F.greatest(F.ceil(F.octet_length("text") / PASSAGE_BYTES), F.lit(1))
+    one = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(size, F.lit(1)).alias("n"))).alias("m"), F.xxhash64(F.lit(11), F.col("id")).alias("o"))
+    taken, left = [], TRAIN_PASSAGES
+    for r in sorted(one.collect(), key=lambda r: (r["o"], r["id"])):
+        if r["m"]["n"] <= left:
+            taken.append((r["id"], r["m"]["h"]))
+            left -= r["m"]["n"]
+    if not taken:
+        return None
+    picked = F.broadcast(docs.sparkSession.createDataFrame(taken, "id long, h long"))
+    sample = rows.withColumn("h", F.xxhash64("text")).join(picked, ["id", "h"]).select("id", "text", "label").dropDuplicates(["id"])
+    found = sorted(sample.mapInArrow(_encode_sample, "id long, bag binary, label int").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
+    bags = [np.frombuffer(bytes(r["bag"]), dtype=np.float16).reshape(-1, FEATURES) for r in found]
+    return train(bags, np.array([float(r["label"] > 0) for r in found]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -191,13 +244,13 @@ def _keep(batches: Iterator[pa.RecordBatch], model, least: float, column: int) -
 
 def keep(docs: DataFrame, model: AttentionModel | None, least: float, text_col: str = "text") -> DataFrame:
     """Rows of at least that score, with all their columns; without a model, all rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by HIDDEN floats
     return spread(docs).mapInArrow(partial(_keep, model=shared, least=least, column=docs.columns.index(text_col)), docs.schema)
 
 
 def score(docs: DataFrame, model: AttentionModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` (0 to 1) for each row, in no shuffle. Null and empty texts are one empty passage and get its
     score; without any labels every score is 0.5. Repeated rows get equal scores; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by HIDDEN floats
     wanted = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     return wanted.mapInArrow(partial(_score, model=shared), "id long, score double").withColumnRenamed("id", id_col)
