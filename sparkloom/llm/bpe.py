@@ -8,7 +8,8 @@ merge result, without running merges.
 
 Decoding: entries lie in one byte buffer with an offset table; a whole id sequence becomes bytes by array indexing.
 
-Texts are cut at white space first; pieces seen before come from a bounded per-process cache, which only saves time."""
+Texts are cut at white space first; pieces seen before come from a per-process cache of
+short ones, bounded in number and length, which only saves time."""
 
 from __future__ import annotations
 
@@ -30,7 +31,8 @@ from .common import spread, text_slices
 
 #: Stands for the end-of-word suffix inside words; a private-use code point that byte-level words never hold.
 END = "\ue000"
-CACHE_PIECES = 400_000
+#: Bounds of the cache: pieces of each of its two generations, and characters of a piece.
+CACHE_PIECES, CACHE_LENGTH = 400_000, 64
 #: Last code point whose class is the same in every version of Unicode that libraries use.
 _LATIN = "\u024f"
 _BEYOND = re.compile("[^\x00-\u024f]")
@@ -228,6 +230,8 @@ class Codec:
                 for word in self._words(piece):
                     ids += self.encoder.encode(word)
                 known = array("I", ids).tobytes()
+        if len(piece) > CACHE_LENGTH:  # unspaced scripts make a piece of a whole text
+            return known
         if len(self.young) >= CACHE_PIECES:
             self.old, self.young = self.young, {}
         self.young[piece] = known

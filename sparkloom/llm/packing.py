@@ -1,6 +1,7 @@
 """Order-preserving packing of documents into training sequences, by dynamic programming over cut places.
 
-Documents follow each other in the order of their partition. Cut places are ends of documents and sentences (and, inside
+Documents follow each other in the order of their ids, in as many ranges of ids as the amount of text asks for, however
+many cores or input files there are. Cut places are ends of documents and sentences (and, inside
 a sentence longer than ``LONG_GAP`` tokens, every ``HARD_STEP`` tokens). With p the token position of a place and f the
 least cost of packing all before it,
 
@@ -11,11 +12,13 @@ The first minimum slides over f(i) + p_i, so a monotone queue gives it in consta
 window as long as a power of two is not padded. The cost is padding plus truncation penalties plus one a window.
 
 The program runs over segments of a bounded number of tokens; what the last window of a segment would leave open is
-carried into the next one, and the rest of a partition is cut into powers of two. Nothing is shuffled."""
+carried into the next one. The last segment of a range runs to its end, where shorter powers of two are allowed as well.
+Dealing the rows out to ranges is the only shuffle."""
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ LENGTH = 2048
 SEGMENT_TOKENS = 1 << 19
 #: Lengths below the full one that need no padding and that a window inside a partition may have.
 SHORT = (1024, 512)
+#: And those that a window near the end of a range may have besides.
+LAST_SHORT = (256, 128, 64, 32, 16, 8, 4, 2, 1)
 PENALTY_SENTENCE, PENALTY_HARD, PENALTY_WINDOW = 2, 64, 1
 LONG_GAP, HARD_STEP = 256, 64
 _RUN = re.compile(r"\s\s")
@@ -86,12 +91,16 @@ def byte_codec(name_or_path: str) -> ByteCodec:
     return ByteCodec(tokenizer_path(name_or_path))
 
 
-def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """Sorted cut positions (0 first) and their penalties."""
+def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray, last: bool = False) -> tuple[list[int], list[int]]:
+    """Sorted cut positions (0 first) and their penalties; before the last end there are some for every short window."""
     places = np.union1d(sentence_ends, document_ends)
     places = np.concatenate([[0], places[places > 0]])
     gaps = np.flatnonzero(np.diff(places) > LONG_GAP)
     hard = [np.arange(places[g] + HARD_STEP, places[g + 1], HARD_STEP) for g in gaps]
+    if last and len(document_ends):
+        # A rest of any length is a sum of powers of two; the places are those where its summands meet.
+        rests = np.concatenate([places[-1] - np.cumsum([w for w in (*SHORT, *LAST_SHORT)][::-1]), places[-1] - np.array([*SHORT, *LAST_SHORT])])
+        hard.append(np.setdiff1d(rests[rests > 0], np.concatenate([places, *hard])))
     soft = np.full(len(places), PENALTY_WINDOW + PENALTY_SENTENCE)
     soft[np.searchsorted(places, document_ends)] = PENALTY_WINDOW
     soft[0] = 0
@@ -102,19 +111,19 @@ def cut_places(sentence_ends: np.ndarray, document_ends: np.ndarray) -> tuple[li
     return places.tolist(), soft.tolist()
 
 
-def window_cuts(places: list[int], penalties: list[int], length: int, last: bool) -> list[int]:
+def window_cuts(places: list[int], penalties: list[int], length: int, last: bool, short: tuple[int, ...] = SHORT) -> list[int]:
     """Ends of the cheapest windows over the places; unless it is the last segment, the end is one of the places in the
-    last ``length`` tokens, whichever costs least a token."""
+    last ``length`` tokens, whichever costs least a token. ``short`` are lengths that need no padding."""
     n = len(places)
     cost, came = [0] * n, [0] * n
     where = np.array(places)
     jumps = []  # for each short length, the place exactly so far back, or -1
-    for w in SHORT:
+    for w in short:
         if w < length:
             i = np.searchsorted(where, where - w)
             jumps.append(np.where(where[np.minimum(i, n - 1)] == where - w, i, -1))
     jump = np.max(jumps, axis=0).tolist() if jumps else [-1] * n
-    several = jumps if len(jumps) > 1 else []
+    several = [x.tolist() for x in jumps] if len(jumps) > 1 else []
     # The monotone queue: keys f(i) + p_i rise, positions rise.
     keys, nodes, spots = deque([0]), deque([0]), deque([0])
     for j in range(1, n):
@@ -124,7 +133,7 @@ def window_cuts(places: list[int], penalties: list[int], length: int, last: bool
             spots.popleft(), keys.popleft(), nodes.popleft()
         best, from_ = keys[0] - low, nodes[0]
         if jump[j] >= 0:
-            for i in [int(x[j]) for x in several] if several else [jump[j]]:
+            for i in [x[j] for x in several] if several else [jump[j]]:
                 if i >= 0 and cost[i] < best:
                     best, from_ = cost[i], i
         best += penalties[j]
@@ -138,7 +147,7 @@ def window_cuts(places: list[int], penalties: list[int], length: int, last: bool
     end = len(places) - 1
     if not last:
         tail = [j for j in range(end, 0, -1) if places[j] > places[end] - length]
-        end = min(tail, key=lambda j: (cost[j], -places[j]), default=end)
+        end = min(tail, key=lambda j: (cost[j] / places[j], -places[j]), default=end)
     cuts = []
     while end:
         cuts.append(places[end])
@@ -161,19 +170,14 @@ class _Packer:
         self.tokens += len(ids)
 
     def flush(self, last: bool) -> list[tuple]:
-        """Pieces of all windows that are settled."""
+        """Pieces of all windows that are settled; of the last segment, all."""
+        if not self.docs:
+            return []
         sizes = np.array([len(d[2]) // 4 for d in self.docs], dtype=np.int64)
         stops = np.cumsum(sizes)
         marks = [d[4] - d[1] + stop - size for d, stop, size in zip(self.docs, stops, sizes, strict=True)]
         marks = np.concatenate([m[(m > stop - size)] for m, stop, size in zip(marks, stops, sizes, strict=True)]) if marks else np.zeros(0, np.int64)
-        places, penalties = cut_places(marks, stops)
-        cuts = window_cuts(places, penalties, self.length, False)
-        if last:
-            # What is left over goes in powers of two, which need no padding.
-            at = cuts[-1] if cuts else 0
-            while at < self.tokens:
-                at += min(self.length, 1 << (int(self.tokens - at).bit_length() - 1))
-                cuts.append(at)
+        cuts = window_cuts(*cut_places(marks, stops, last), self.length, last, (*SHORT, *LAST_SHORT) if last else SHORT)
         out, k, at = [], 0, 0
         for cut in cuts:
             place = 0
@@ -216,18 +220,23 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, length: int, end_id
         yield batch_of(rows)
 
 
+def partitions_for(size: int) -> int:
+    """Ranges for so many bytes of text: 9 for 25 MB, 64 for 0.5 GB, 965 for 30 GB, 215,000 of some 460 MB for 100 TB."""
+    return max(1, math.ceil((size / 1e6) ** (2 / 3)))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, ``start`` (tokens of the document before it), ``length``, ``ids`` (unsigned
     little-endian 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` in the sequence.
 
-    A document is its ids and then ``end_id``, so a null or empty text is one token. Order is that of the input inside
-    each of its partitions; a sequence never spans partitions, and its id holds the partition's number. A sequence that
-    is as long as a power of two needs no padding, any other is to be padded to ``length``. Repeated rows are packed
-    each. Other columns are not read.
+    A document is its ids and then ``end_id``, so a null or empty text is one token. Order is that of the ids (null ids
+    first), then of a hash of the texts; a sequence never spans two ranges, and its id holds the range's number. A
+    sequence that is as long as a power of two needs no padding, any other is to be padded to ``length``. Repeated rows
+    are packed each; an empty table has no pieces. Other columns are not read.
     """
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if wanted.rdd.getNumPartitions() < cores:
-        wanted = wanted.repartitionByRange(cores, "id").sortWithinPartitions("id")
+    parts = partitions_for(wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # The second key spreads an id that many rows have; ties are equal rows.
+    wanted = wanted.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     out = wanted.mapInArrow(partial(_pack, tokenizer=tokenizer, length=length, end_id=end_id), _PIECE)
     return out.select(F.col("id").alias(id_col), "start", "length", "ids", F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))
