@@ -6,11 +6,14 @@ books together. Every row is encoded by beam search; with its codes go the norm
 the residual. A query makes a table of its products with all codewords; the estimate of a cosine is a sum of table
 entries over the stored norm.
 
-The best estimates are reranked exactly. All other rows whose estimate is within ``MARGIN`` standard errors of the
-neighbour that would be displaced are reranked as well: the error of an estimate is the query's share of the residual,
-about its length over the root of the dimension. So the shortlist follows the data at any size instead of a cap.
+Rows are dealt out to the cells of a coarse codebook, and large cells to blocks by hash. A row is sent to its one block; a
+query is sent to the blocks of its nearest cells. How many cells that are is measured on the sample: as many as hold
+``PROBE_RECALL`` of true neighbours there (where neighbours are no nearer than in the whole table).
 
-Rows and queries are dealt into blocks by hash; a task compares one block with another, and keeps k rows a query."""
+A task takes in the rows of a block and lets the queries stream by. For each query the best estimates of the block are
+reranked exactly. All other rows whose estimate is within ``MARGIN`` standard errors of the neighbour that would be
+displaced are reranked as well: the error of an estimate is the query's share of the residual, about its length over the
+root of the dimension. So the shortlist follows the data at any size instead of a cap. k rows a query and block leave."""
 
 from __future__ import annotations
 
@@ -18,19 +21,20 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_table, materialize
-from .vectors import bounded_sample, kmeans, matrix, unit, usable, usual_length
+from .common import materialize
+from .vectors import bounded_sample, kmeans, matrix, nearest_centre, unit, usable, usual_length
 
 BOOKS, WORDS, BEAM = 16, 64, 4
-SAMPLE, ROUNDS = 4096, 2
-FIRST, MARGIN = 16, 3.0
-ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Rows that codebooks and cells are learned on.
+SAMPLE, CELL_SAMPLE, ROUNDS = 4096, 16_384, 2
+FIRST, MARGIN = 16, 2.5
+ROW_BLOCK, QUERY_BLOCK, MOST_CELLS = 4096, 512, 1024
+PROBE_RECALL, PROBE_QUERIES = 0.99, 512
 
 
 class AdditiveQuantizer:
@@ -95,8 +99,28 @@ class AdditiveQuantizer:
         return out / norms.astype(np.float32)[None, :]
 
 
-def _index(batches: Iterator[pa.RecordBatch], model, dim: int) -> Iterator[pa.RecordBatch]:
-    model = model.value
+class Cells:
+    """The coarse codebook, and how many cells a query visits."""
+
+    def __init__(self, sample: np.ndarray, cells: int, k: int):
+        self.centres = kmeans(sample, cells, 8, np.random.default_rng(4))
+        self.probes = 1
+        if cells > 1 and len(sample) > 1:
+            queries = sample[np.random.default_rng(5).permutation(len(sample))[:PROBE_QUERIES]]
+            score = queries @ sample.T
+            score[score > 1 - 1e-9] = -2  # the query itself and its copies, which lie in its own cell
+            found = np.argpartition(-score, min(k, len(sample) - 1), axis=1)[:, :k]
+            place = np.empty((len(queries), cells), np.int64)
+            np.put_along_axis(place, self.order(queries), np.arange(cells)[None, :], axis=1)
+            ranks = np.take_along_axis(place, nearest_centre(sample, self.centres)[found], axis=1)
+            self.probes = 1 + int(np.quantile(ranks, PROBE_RECALL, method="higher"))
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(axis=1)[None, :] - 2 * x @ self.centres.T).argsort(axis=1, kind="stable")
+
+
+def _index(batches: Iterator[pa.RecordBatch], model, cells, dim: int) -> Iterator[pa.RecordBatch]:
+    model, cells = model.value, cells.value
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -105,39 +129,72 @@ def _index(batches: Iterator[pa.RecordBatch], model, dim: int) -> Iterator[pa.Re
         near = model.decode(codes)
         norms = np.maximum(np.linalg.norm(near, axis=1), 1e-6).astype(np.float64)
         rest = np.linalg.norm(x - near / norms[:, None], axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rest)], names=["id", "v", "codes", "norm", "rest"])
-
-
-def _search(queries: pd.DataFrame, rows: pd.DataFrame, model, k: int, dim: int) -> pd.DataFrame:
-    """The k nearest rows of a block for each query of a block."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(queries) or not len(rows):
-        return empty
-    model = model.value
-    # Of rows with one id, one counts: that of the lowest vector.
-    rows = rows.assign(key=rows["v"].map(lambda v: tuple(v))).sort_values(["id", "key"]).drop_duplicates("id")
-    queries = queries.assign(key=queries["v"].map(lambda v: tuple(v))).sort_values(["id", "key"]).drop_duplicates("id")
-    x, q = unit(np.stack(rows["v"].to_numpy()).astype(np.float64)), unit(np.stack(queries["v"].to_numpy()).astype(np.float64))
-    ids, asks = rows["id"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
-    codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(-1, BOOKS).astype(np.int64)
-    about = model.estimates(model.tables(q), codes, rows["norm"].to_numpy())
-    about[asks[:, None] == ids[None, :]] = -9  # the query itself
-    first = min(FIRST + k, len(ids))
-    top = np.argpartition(-about, first - 1, axis=1)[:, :first]
-    exact = np.einsum("qd,qkd->qk", q, x[top])
-    exact[ids[top] == asks[:, None]] = -9
-    last = -np.partition(-exact, min(k, first) - 1, axis=1)[:, min(k, first) - 1]
-    slack = (MARGIN / np.sqrt(dim)) * rows["rest"].to_numpy()
-    a, b = np.nonzero(about + slack[None, :] >= last[:, None])
-    keep = ids[b] != asks[a]
-    a, b = a[keep], b[keep]
-    score = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-    order = np.lexsort((ids[b], -score, a))
-    a, b, score = a[order], b[order], score[order]
-    begin = np.searchsorted(a, np.arange(len(asks)))
-    rank = np.arange(len(a)) - begin[a]
-    best = rank < k
-    return pd.DataFrame({"query_id": asks[a[best]], "vec_id": ids[b[best]], "score": score[best]})
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest_centre(x, cells.centres), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rest)], names=["id", "v", "cell", "codes", "norm", "rest"])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], cells, dim: int) -> Iterator[pa.RecordBatch]:
+    """A query with the cells that it visits."""
+    cells = cells.value
+    for batch in batches:
+        if batch.num_rows:
+            order = cells.order(unit(matrix(batch.column(1), dim)))[:, : cells.probes].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(order), pa.list_(pa.int32()))], names=["id", "v", "cells"])
+
+
+class _Block:
+    """Rows of a block, as they come in."""
+
+    def __init__(self, model: AdditiveQuantizer, k: int, dim: int):
+        self.model, self.k, self.dim = model, k, dim
+        self.parts: list[tuple] = []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, BOOKS)
+        self.parts.append((part.column("id").to_numpy(), unit(matrix(part.column("v"), self.dim)), codes, part.column("norm").to_numpy(), part.column("rest").to_numpy()))
+
+    def search(self, asks: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest rows of the block for each query."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
+        ids, x, codes, norms, rest = self.parts[0]
+        about = self.model.estimates(self.model.tables(q), codes.astype(np.int64), norms)
+        about[asks[:, None] == ids[None, :]] = -9  # the query itself
+        first = min(FIRST + self.k, len(ids))
+        top = np.argpartition(-about, first - 1, axis=1)[:, :first]
+        exact = np.einsum("qd,qkd->qk", q, x[top])
+        exact[ids[top] == asks[:, None]] = -9
+        last = -np.partition(-exact, min(self.k, first) - 1, axis=1)[:, min(self.k, first) - 1]
+        a, b = np.nonzero(about + (MARGIN / np.sqrt(self.dim)) * rest[None, :] >= last[:, None])
+        keep = ids[b] != asks[a]
+        a, b = a[keep], b[keep]
+        score = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
+        order = np.lexsort((ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        best = np.arange(len(a)) - np.searchsorted(a, np.arange(len(asks)))[a] < self.k
+        return asks[a[best]], ids[b[best]], score[best]
+
+
+def _search(batches: Iterator[pa.RecordBatch], model, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Streams of (block, asks, ...) sorted by block, rows before queries: memory is that of one block."""
+    model, now, block = model.value, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((names[1:] != names[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if names[a] != now:
+                now, block = names[a], _Block(model, k, dim)
+            part = batch.slice(a, b - a)
+            if not asks[a]:
+                block.add(part)
+                continue
+            for at in range(0, part.num_rows, QUERY_BLOCK):
+                some = part.slice(at, QUERY_BLOCK)
+                found = block.search(some.column("id").to_numpy(), unit(matrix(some.column("v"), dim)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
 
 def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -149,16 +206,23 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
     """
     spark = rows.sparkSession
     wanted = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    dim = usual_length(wanted)
-    wanted = wanted.where(F.size("v") == dim)
-    model = spark.sparkContext.broadcast(AdditiveQuantizer.fit(bounded_sample(wanted, SAMPLE, max(dim, 1))))  # BOOKS x WORDS x dim floats
+    dim, n = usual_length(wanted)
+    wanted = wanted.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    sample = bounded_sample(wanted, CELL_SAMPLE, max(dim, 1))
+    model = spark.sparkContext.broadcast(AdditiveQuantizer.fit(sample[:SAMPLE]))  # BOOKS x WORDS x dim floats
+    cells = spark.sparkContext.broadcast(Cells(sample, min(-(-n // ROW_BLOCK) or 1, MOST_CELLS), k))  # MOST_CELLS x dim floats at most
     kind = wanted.schema["v"].dataType.simpleString()
-    index = materialize(wanted.mapInArrow(partial(_index, model=model, dim=dim), f"id long, v {kind}, codes binary, norm double, rest double"))
-    sizes = index.agg(F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("q")).first()
-    row_blocks, query_blocks = -(-sizes["n"] // ROW_BLOCK) or 1, -(-sizes["q"] // QUERY_BLOCK) or 1
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.where(is_query(F.col("id"))).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("h"), each(row_blocks).alias("g"))
-    right = index.select("id", "v", "codes", "norm", "rest", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(row_blocks)).cast("int").alias("g"), each(query_blocks).alias("h"))
-    found = left.groupBy("h", "g").cogroup(right.groupBy("h", "g")).applyInPandas(lambda a, b: _search(a, b, model, k, dim), "query_id long, vec_id long, score double")
+    index = materialize(wanted.mapInArrow(partial(_index, model=model, cells=cells, dim=dim), f"id long, v {kind}, cell int, codes binary, norm double, rest double"))
+    blocks = [1] * len(cells.value.centres)
+    for r in index.groupBy("cell").count().collect():  # MOST_CELLS rows at most
+        blocks[r["cell"]] = -(-r["count"] // ROW_BLOCK)
+    of = F.element_at(F.lit(blocks), F.col("cell") + 1)
+    block = lambda within: (F.col("cell").cast("long") * F.lit(1 << 40) + within).alias("block")
+    stored = index.select(block(F.pmod(F.xxhash64("id"), of)), F.lit(False).alias("asks"), "id", "v", "codes", "norm", "rest")
+    queries = index.where(is_query(F.col("id"))).select("id", "v").mapInArrow(partial(_visits, cells=cells, dim=dim), f"id long, v {kind}, cells array<int>")
+    queries = queries.select("id", "v", F.explode("cells").alias("cell")).select("id", "v", "cell", F.explode(F.sequence(F.lit(0), of - 1)).alias("y"))
+    queries = queries.select(block(F.col("y")), F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("rest"))
+    met = stored.unionByName(queries).repartition("block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(partial(_search, model=model, k=k, dim=dim), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -147,7 +147,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = TA
     spark = rows.sparkSession
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     valid = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
-    dim = usual_length(valid)
+    dim, _ = usual_length(valid)
     valid = valid.where(F.size("v") == dim)
     distinct = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("c")).select("id", "v", "c", "label"))
     sizes = distinct.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("l")).first()

@@ -14,10 +14,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(rows: DataFrame, column: str = "v") -> int:
-    """The commonest vector length (ties: the smaller); 0 without rows."""
+def usual_length(rows: DataFrame, column: str = "v") -> tuple[int, int]:
+    """The commonest vector length (ties: the smaller) and how many rows have it; zeros without rows."""
     top = rows.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return top[0]["d"] if top else 0
+    return (top[0]["d"], top[0]["count"]) if top else (0, 0)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -37,13 +37,18 @@ def bounded_sample(rows: DataFrame, limit: int, dim: int, id_col: str = "id", co
     return unit(np.array([r[0] for r in top], dtype=np.float64).reshape(-1, dim)) if top else np.zeros((0, dim))
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    square = (centres**2).sum(axis=1)[None, :]
+    return np.concatenate([(square - 2 * x[i : i + 4096] @ centres.T).argmin(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's algorithm from distinct random rows; an empty cluster restarts at a random row."""
     if not len(x):
         return np.zeros((k, x.shape[1]))
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+        near = nearest_centre(x, centres)
         order = np.argsort(near, kind="stable")
         filled, begin, count = np.unique(near[order], return_index=True, return_counts=True)
         centres[filled] = np.add.reduceat(x[order], begin, axis=0) / count[:, None]
