@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 from .graph import connected_components
 from .vectors import bounded_sample, kmeans, matrix, unit, usable, usual_length
 
 TARGET_RECALL = 0.9999
-SAMPLE, CELL_ROWS, MOST_WORDS = 8192, 128, 256
+#: Words of a half: the root of the rows of a label over CELL_ROWS, so that cells stay as full at any size. Up to
+#: MOST_WORDS^2 * CELL_ROWS (half a billion) rows a label; beyond that cells fill, and are dealt out to more blocks.
+SAMPLE, CELL_ROWS, LEAST_WORDS, MOST_WORDS = 16_384, 128, 4, 2048
 BLOCK = 2048
 
 
@@ -36,6 +38,7 @@ class MultiIndex:
     def __init__(self, left: np.ndarray, right: np.ndarray, threshold: float, recall: float):
         self.books = (left, right)
         self.cut = left.shape[1]
+        self.apart = [np.sqrt(np.maximum((b**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * b @ b.T, 1e-24)) for b in self.books]
         dim = left.shape[1] + right.shape[1]
         far = np.sqrt(max(0.0, 2 - 2 * threshold))
         self.radius2 = min(far, NormalDist().inv_cdf(1 - (1 - recall) / 2) * far / np.sqrt(dim)) ** 2 + 1e-12
@@ -43,17 +46,17 @@ class MultiIndex:
     def margins(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Home word in each half, and squared distances to the bisectors towards all words."""
         homes, out = [], []
-        for half, book in ((x[:, : self.cut], self.books[0]), (x[:, self.cut :], self.books[1])):
+        for half, book, apart in ((x[:, : self.cut], self.books[0], self.apart[0]), (x[:, self.cut :], self.books[1], self.apart[1])):
+            # einsum: a row's margins must not depend on the batch it is in, as a product of matrices would let them.
             d = (book**2).sum(axis=1)[None, :] - 2 * np.einsum("id,kd->ik", half, book)
             home = d.argmin(axis=1)
-            apart = np.sqrt(np.maximum(((book[:, None, :] - book[None, :, :]) ** 2).sum(axis=2), 1e-24))
             homes.append(home)
             out.append(((d - d[np.arange(len(d)), home][:, None]) / (2 * apart[home])) ** 2)
         return homes, out
 
     def visits(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         """Cells of one vector in multi-sequence order, nearest first, up to the radius."""
-        i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        i, j = (near[np.argsort(m[near], kind="stable")] for m, near in ((a, np.flatnonzero(a <= self.radius2)), (b, np.flatnonzero(b <= self.radius2))))
         out, heap, seen = [], [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}
         while heap:
             cost, r, s = heapq.heappop(heap)
@@ -149,11 +152,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = TA
     valid = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
     dim, _ = usual_length(valid)
     valid = valid.where(F.size("v") == dim)
+    # 128 bits stand for a vector wherever rows meet by it (adding 0.0 makes one zero of the two).
+    plain = F.transform("v", lambda x: x + F.lit(0).cast(valid.schema["v"].dataType.elementType))
+    key = [F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(29), plain).alias("g")]
     distinct = materialize(valid.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("c")).select("id", "v", "c", "label"))
     sizes = distinct.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("l")).first()
     cut = max(1, dim // 2)
     sample = bounded_sample(distinct, SAMPLE, max(dim, 2))
-    words = int(np.clip(np.sqrt(sizes["n"] / max(1, sizes["l"]) / CELL_ROWS), 1, MOST_WORDS))
+    words = int(np.clip(np.ceil(np.sqrt(sizes["n"] / max(1, sizes["l"]) / CELL_ROWS)), LEAST_WORDS, MOST_WORDS))
     rng = np.random.default_rng(2)
     index = spark.sparkContext.broadcast(MultiIndex(kmeans(sample[:, :cut], words, 10, rng), kmeans(sample[:, cut:], words, 10, rng), threshold, recall))  # MOST_WORDS x dim floats at most
     # Single precision where the table has no more: half the bytes in every shuffle, and the same doubles after it.
@@ -170,9 +176,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = TA
     # Dealt out by block: the join's own partitioning, by cell, would satisfy the grouping and put a hot cell in one task.
     blocks = residents.unionByName(visitors).repartition("label", "cell", "x", "y").groupBy("label", "cell", "x", "y")
     found = materialize(blocks.applyInPandas(lambda pdf: _verify(pdf, index, threshold, kind), "id long, links long, root long"))
+    drop_table(met)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "id", "root")
-    known = distinct.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")).where("n_links > 0")
-    out = base.join(known, ["label", "v"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # Merge joins: what links has no proven bound.
+    known = distinct.select("id", "c", "label", *key).join(links.hint("merge"), "id", "left").join(parts.hint("merge"), F.col("id") == F.col("node"), "left")
+    known = known.select("label", "h", "g", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")).where("n_links > 0")
+    marked = base.select("id", F.when(F.col("id").isNotNull() & usable(F.col("v")), F.col("label")).alias("label"), *key)
+    out = marked.join(known.hint("merge"), ["label", "h", "g"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

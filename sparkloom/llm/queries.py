@@ -79,4 +79,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(length('<|im_start|>' || role || chr(10) || escaped || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLE_SQL = {"op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4}
+# All pairs, and everything that links lead to: for small tables.
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+parts AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(coalesce(low, vec_id), vec_id) AS component_id, least(coalesce(low, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN parts ON parts.a = vec_id"""
+
+_OP6 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+each_ AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM each_ a JOIN each_ b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+parts AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, least(coalesce(low, doc_id), doc_id) AS component_id FROM sets LEFT JOIN parts ON parts.a = doc_id"""
+
+ORACLE_SQL = {"op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4, "op5_embedding_dedup": _OP5, "op6_ngram_join": _OP6}
