@@ -1,8 +1,9 @@
 """Chat formatting from heterogeneous layouts, in DataFrame functions only.
 
 The layout of a record is told by a fingerprint: the hash of its sorted nested field paths. A table of declarative
-mappings, keyed by fingerprint, says where the turns are; unknown fingerprints fall back to the mapping whose required
-paths are there. All layouts become rows (conversation, turn, role, text), and those one formatted text each:
+mappings, keyed by fingerprint, says where the turns are; unknown fingerprints, as of records with further fields, fall
+back to the mapping with the most required paths that are all there. A record that no mapping fits has no turns and is
+told by ``layouts_json``. All layouts become rows (conversation, turn, role, text), and those one formatted text each:
 
     <|im_start|>role \\n text <|im_end|> \\n
 
@@ -88,10 +89,12 @@ def _role(column: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, id_col: str = "conv_id", id_type: str = "long") -> DataFrame:
-    """``conv_id, turn, role, text`` of records of any known layout (by schema). Null texts and roles are empty; fixed
-    layouts leave out turns whose field is null; extra columns are ignored."""
-    paths = field_paths(records.schema)
-    m = mapping_for([p for p in paths if p != id_col or any(id_col in x.paths and x.rows for x in MAPPINGS) and {"turn", "role", "text"} <= set(paths)])
+    """``conv_id, turn, role, text`` of records of any known layout (by schema). Null texts and roles are empty, so a
+    null instruction is a turn too; only a system text, which a record need not have, makes no turn where it is null.
+    Extra columns are ignored; a schema that no mapping fits is an error."""
+    # The identity's own path stands for any name that the id column has; only the layout of rows has it.
+    paths = [p for p in field_paths(records.schema) if p != id_col]
+    m = mapping_for(sorted([*paths, "conv_id"]) if {"turn", "role", "text"} <= set(paths) else paths)
     identity = F.col(id_col).cast(id_type).alias("conv_id")
     if m.rows:
         return records.select(identity, F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -102,11 +105,12 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", id_type: str =
 
 
 def _fixed_turns(m: Mapping, get) -> Column:
-    def text(path: str) -> Column:
+    def text(role: str, path: str) -> Column:
         first, *rest = path.split("+")
-        return F.concat(get(first), *[F.when(F.coalesce(F.length(get(p)), F.lit(0)) > 0, F.concat(F.lit("\n\n"), get(p))).otherwise("") for p in rest])
+        head = get(first) if role == "system" else F.coalesce(get(first), F.lit(""))
+        return F.concat(head, *[F.when(F.coalesce(F.length(get(p)), F.lit(0)) > 0, F.concat(F.lit("\n\n"), get(p))).otherwise("") for p in rest])
 
-    return F.array(*[F.struct(F.lit(r).alias("role"), text(p).alias("text")) for r, p in m.fixed])
+    return F.array(*[F.struct(F.lit(r).alias("role"), text(r, p).alias("text")) for r, p in m.fixed])
 
 
 def _turn(m: Mapping):
@@ -119,19 +123,34 @@ def _exploded(records: DataFrame, identity: Column, turns: Column) -> DataFrame:
 
 
 def json_paths(json: Column) -> Column:
-    """Sorted leaf paths of a JSON object whose values are scalars or arrays of flat objects."""
+    """Sorted leaf paths of a JSON object whose values are scalars or arrays of flat objects; an array has the keys of
+    all of its objects."""
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    inner = lambda k: F.json_object_keys(F.get(F.from_json(F.try_element_at(F.from_json(json, "map<string,string>"), k), "array<string>"), F.lit(0)))
-    return F.array_sort(F.flatten(F.transform(keys, lambda k: F.coalesce(F.transform(inner(k), lambda x: F.concat(k, F.lit("[]."), x)), F.array(k)))))
+    value = lambda k: F.from_json(F.try_element_at(F.from_json(json, "map<string,string>"), k), "array<string>")
+    inner = lambda k: F.array_distinct(F.flatten(F.transform(value(k), lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.when(F.size(F.coalesce(inner(k), F.array().cast("array<string>"))) > 0, F.transform(inner(k), lambda x: F.concat(k, F.lit("[]."), x))).otherwise(F.array(k))))))
 
 
-def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Turns of JSON records, each with a layout of its own, told by the fingerprint of its field paths; records of an
-    unknown fingerprint (or invalid JSON) have no turns."""
+def layouts_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``conv_id, j, layout``: which mapping each JSON record is read by, null where none fits (or the JSON is invalid)."""
     marked = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("j"))
-    marked = marked.withColumn("fingerprint", F.xxhash64(F.array_join(json_paths(F.col("j")), "\n")))
-    options = F.array().cast("array<struct<role:string,text:string>>")
+    # The paths come out of a generator of one row, so that they are computed once.
+    marked = marked.select("conv_id", "j", F.explode_outer(F.array(json_paths(F.col("j")))).alias("paths")).withColumn("fingerprint", F.xxhash64(F.array_join("paths", "\n")))
+    layout = F.lit(None).cast("string")
+    for m in sorted(MAPPINGS, key=lambda m: len(m.paths)):  # the last that fits has the most paths
+        if not m.rows:
+            layout = F.when(F.size(F.array_except(F.lit(list(m.paths)), F.col("paths"))) == 0, m.name).otherwise(layout)
     for key, m in REGISTRY.items():
+        if not m.rows:
+            layout = F.when(F.col("fingerprint") == key, m.name).otherwise(layout)
+    return marked.select("conv_id", "j", layout.alias("layout"))
+
+
+def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``conv_id, turn, role, text`` of JSON records, each with a layout of its own; texts and roles as in
+    ``canonical_turns``. Records without a layout have no turns; ``layouts_json`` returns them."""
+    options = F.array().cast("array<struct<role:string,text:string>>")
+    for m in MAPPINGS:
         if m.rows:
             continue
         if m.turns:
@@ -139,8 +158,8 @@ def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> Data
             turns = F.transform(F.from_json("j", kind)[m.turns], _turn(m))
         else:
             turns = _fixed_turns(m, lambda p: F.get_json_object("j", f"$.{p}"))
-        options = F.when(F.col("fingerprint") == key, turns).otherwise(options)
-    return _exploded(marked, F.col("conv_id"), options)
+        options = F.when(F.col("layout") == m.name, turns).otherwise(options)
+    return _exploded(layouts_json(records, id_col, json_col), F.col("conv_id"), options)
 
 
 def escape(text: Column) -> Column:

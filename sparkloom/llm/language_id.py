@@ -21,9 +21,10 @@ from pyspark.sql.window import Window
 from .common import spread, text_slices
 
 BUCKETS = 4096
-LANDMARKS = 128
-#: Bounds of the training sample: languages (the most frequent), and texts of each.
-MAX_LANGUAGES, TEXTS_PER_LANGUAGE = 64, 300
+#: Landmarks at least, and of each language.
+LANDMARKS, LANGUAGE_LANDMARKS = 128, 8
+#: Bound of the training sample: texts of a language. Every language that any row has is learned.
+TEXTS_PER_LANGUAGE = 300
 RIDGE = 1e-2
 #: Sharpness of the score: margins of the regression become shares by a softmax.
 SHARPNESS = 6.0
@@ -67,11 +68,12 @@ class KernelModel:
         return self.kernel(presence(texts), self.landmarks, self.norms) @ self.weights + self.bias
 
 
-def train(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel | None:
+def train(bits: np.ndarray, labels: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> KernelModel | None:
     """``bits`` are presence rows; landmarks are taken in turn from each language."""
     languages = sorted(set(labels))
     if not languages:
         return None
+    landmarks = max(LANDMARKS, LANGUAGE_LANDMARKS * len(languages)) if landmarks is None else landmarks
     y = np.array([languages.index(x) for x in labels])
     by = [np.flatnonzero(y == c) for c in range(len(languages))]
     chosen = [x[i] for i in range(max(map(len, by))) for x in by if i < len(x)][:landmarks]
@@ -100,24 +102,26 @@ def lowest_hashes(wanted: int, rows: int) -> int:
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_slices(batch.column(0)):
-            rows = presence([t or "" for t in batch.column(0).slice(a, b - a).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()), batch.column(1).slice(a, b - a)], names=["bits", "lang"])
+            part = batch.slice(a, b - a)
+            rows = presence([t or "" for t in part.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()), part.column(1), part.column(2)], names=["bits", "lang", "h"])
 
 
 def fit(docs: DataFrame, train_filter, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
-    """Learn from at most ``MAX_LANGUAGES * TEXTS_PER_LANGUAGE`` rows, those whose id hashes lowest in each language;
-    only their presence bits (``BUCKETS / 8`` bytes a row) reach the driver."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train_filter(F.col("id")))
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    """Learn from at most ``TEXTS_PER_LANGUAGE`` rows of each language, those whose id and text hash lowest; repeated rows
+    count once. Only their presence bits (``BUCKETS / 8`` bytes a row) reach the driver."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train_filter(F.col("id")))
+    hashed = rows.select("text", "lang", F.xxhash64(F.lit(7), "id", "text").alias("h"))
+    common = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()  # a row a language
     if not common:
         return None
-    # Only hashes among which twice as many rows as wanted are expected are ranked, however many rows a language has.
-    low = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], lowest_hashes(2 * TEXTS_PER_LANGUAGE, r["n"]))])
-    hashed = rows.select("id", "lang", F.xxhash64(F.lit(7), "id").alias("h")).where(F.col("h") <= low[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = hashed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("id", "lang")
-    chosen = rows.join(F.broadcast(ids.distinct()), ["id", "lang"], "left_semi")  # as many rows as the bound above
-    sample = chosen.select("text", "lang").mapInArrow(_bits, "bits binary, lang string").limit(2 * MAX_LANGUAGES * TEXTS_PER_LANGUAGE).collect()
+    # Only hashes among which twice as many rows as wanted are expected are ranked, however many rows a language has; the
+    # least hash is always among them, also where all rows of a language are alike.
+    bounds = [(r["lang"], max(lowest_hashes(2 * TEXTS_PER_LANGUAGE, r["n"]), r["least"])) for r in common]
+    low = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, low long"))  # a row a language
+    few = hashed.join(low, "lang").where("h <= low").select("text", "lang", "h").mapInArrow(_bits, "bits binary, lang string, h long").dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    sample = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS_PER_LANGUAGE).select("bits", "lang").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     sample = [sample[i] for i in np.random.default_rng(3).permutation(len(sample))]
     bits = np.array([np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8)) for r in sample], dtype=bool)
@@ -165,6 +169,6 @@ def identify(docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id",
     """``id_col, lang_pred, score`` for each row, in no shuffle. ``und`` with score 0 where the text is null or has no
     letter, or nothing was learned; the score is the share of the language's margin in a softmax. Ties go to the first
     language in order of name. Other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS by BUCKETS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks by BUCKETS floats, and the landmarks of a language are bounded
     wanted = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     return wanted.mapInArrow(partial(_score, model=shared), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -1,13 +1,14 @@
 """Licence scan, in DataFrame functions only.
 
-Every line, every paragraph of several lines, and every text of several paragraphs is normalised (lower case, runs of
-anything but letters and digits become one blank) and compared with licence templates by the Dice coefficient over sets
-of word bigrams, 2 |A and B| / (|A| + |B|). A template is a candidate only where the sizes allow the threshold t:
-t / (2 - t) <= |A| / |B| <= (2 - t) / t.
+Text is normalised (lower case, runs of anything but letters and digits become one blank) and compared with licence
+templates by the Dice coefficient over sets of word bigrams, 2 |A and B| / (|A| + |B|). Compared are units: every line,
+every paragraph of several lines, every text of several paragraphs, and for each template the best window of as many
+words as the template has (so a notice is found inside a line, in a comment of many lines, and with code behind it).
+A template is a candidate only where the sizes allow the threshold t: t / (2 - t) <= |A| / |B| <= (2 - t) / t.
 
-Whatever reaches t shares at least t / (2 - t) of the template's bigrams. So it holds one of any set of bigrams that
-leaves fewer than that; such sets, chosen to lie on few rare words, give words of which one must be in the text. Texts
-and units without any of them are passed over; no match can be among them."""
+Whatever reaches t shares at least t / (2 - t) of the template's bigrams. Hence two prunings that lose nothing. A match
+holds one of any set of bigrams that leaves fewer than that; such sets, chosen to lie on few rare words, give words of
+which one must be in the text. And a window matches only where that many of its places hold bigrams of the template."""
 
 from __future__ import annotations
 
@@ -95,32 +96,71 @@ def _any_of(text: Column, words: list[str]) -> Column:
     return out | text.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])") if short else out
 
 
+def _let(name: str, value: Column) -> Column:
+    """A column computed once: a generator of one row, which the optimiser neither repeats nor moves."""
+    return F.explode_outer(F.array(value)).alias(name)
+
+
+def _best_windows(literal: Column, share: float) -> Column:
+    """For each template its best window, ``license, unit, dice``, from words ``w``, bigrams ``g`` and the places ``hits``
+    of bigrams that some template has. A window begins with a bigram of its template; of equal ones the first counts."""
+
+    def best(t: Column) -> Column:
+        at = F.filter(F.col("hits"), lambda i: F.array_contains(t["grams"], F.element_at("g", i)))
+        need = F.ceil(t["size"] * F.lit(share) - 1e-9).cast("int")
+        return F.struct(t["license"].alias("license"), t["grams"].alias("grams"), t["size"].alias("size"), t["words"].alias("words"), need.alias("need"), at.alias("at"))
+
+    def starts(x: Column) -> Column:
+        enough = F.filter(F.sequence(F.lit(1), F.size(x["at"]) - x["need"] + 1), lambda j: F.element_at(x["at"], j + x["need"] - 1) - F.element_at(x["at"], j) <= x["words"] - 2)
+        return F.transform(enough, lambda j: F.element_at(x["at"], j))
+
+    def dice(x: Column, p: Column) -> Column:
+        return F.transform(F.array(F.array_distinct(F.slice("g", p, x["words"] - 1))), lambda own: F.lit(2.0) * F.size(F.array_intersect(own, x["grams"])) / (F.size(own) + x["size"]))[0]
+
+    def window(x: Column) -> Column:
+        top = F.array_max(F.transform(starts(x), lambda p: F.struct(dice(x, p).alias("dice"), (-p).alias("p"))))
+        return F.transform(F.array(top), lambda m: F.struct(x["license"].alias("license"), F.array_join(F.slice("w", -m["p"], x["words"]), " ").alias("raw"), m["dice"].alias("dice")))[0]
+
+    found = F.filter(F.transform(literal, best), lambda x: F.size(x["at"]) >= x["need"])
+    return F.filter(F.transform(F.filter(found, lambda x: F.size(starts(x)) > 0), window), lambda m: m["dice"].isNotNull())
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, license, dice, n_units, first_unit`` for each document and licence that some unit of it matches.
 
-    dice is the best unit's, n_units counts matching units and first_unit is the normalised text of the first of these
-    in order of text. A unit matching several templates of a licence counts once. Null, empty and wordless texts match
-    nothing; units of one word have no bigrams. Rows of equal id and text add up only as one; other columns are not read.
+    dice is the best unit's, n_units counts matching units of different texts and first_unit is the normalised text of
+    the first of these in order of text. A unit matching several templates of a licence counts once; notices that differ in a word or a version
+    match each other's templates as well, and dice says which is nearest. Null, empty and
+    wordless texts match nothing; units of one word have no bigrams. Rows of equal id and text add up only as one; other
+    columns are not read.
     """
     words = anchor_words(templates, threshold)
-    known = [(name, bigrams(text)) for name, text in templates]
-    # One constant, which the optimiser folds; as an expression tree of words it would plan for seconds.
-    literal = F.from_json(F.lit(json.dumps([{"license": n, "size": len(g), "grams": g} for n, g in known])), "array<struct<license:string,size:int,grams:array<string>>>")
-    smallest, largest = min(len(g) for _, g in known), max(len(g) for _, g in known)
+    known = [(name, bigrams(text), len(normalise(text).split(" "))) for name, text in templates]
+    # Constants, which the optimiser folds; as expression trees of words they would plan for seconds.
+    literal = F.from_json(F.lit(json.dumps([{"license": n, "size": len(g), "words": w, "grams": g} for n, g, w in known])), "array<struct<license:string,size:int,words:int,grams:array<string>>>")
+    every = F.from_json(F.lit(json.dumps(sorted({x for _, g, _ in known for x in g}))), "array<string>")
+    smallest, largest = min(len(g) for _, g, _ in known), max(len(g) for _, g, _ in known)
+    size, share = F.size("grams"), threshold / (2 - threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(_any_of(F.lower("text"), words))
+    rows = rows.select("id", "text", _let("w", F.split(_normalised(F.col("text")), " ")))
+    rows = rows.select("id", "text", "w", _let("g", F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.concat(F.element_at("w", i + 1), F.lit(" "), x))))
+    rows = rows.select("id", "text", "w", "g", _let("hits", F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(every, x), i + 1)), lambda i: i.isNotNull())))
     lines = F.split("text", r"\n")
     paragraphs = F.filter(F.split("text", r"\n[ \t\r]*\n\s*"), lambda p: F.rtrim(p).contains("\n"))
     whole = F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    natural = F.transform(F.array_distinct(F.concat(lines, paragraphs, whole)), lambda u: F.struct(F.lit(None).cast("string").alias("license"), u.alias("raw"), F.lit(None).cast("double").alias("dice")))
     # explode_outer: for an inner one Spark would compute the array once more to filter by its size.
-    units = rows.select("id", F.explode_outer(F.array_distinct(F.concat(lines, paragraphs, whole))).alias("unit")).where(_any_of(F.lower("unit"), words))
-    units = units.select("id", _normalised(F.col("unit")).alias("unit"))
+    units = rows.select("id", F.explode_outer(F.concat(natural, _best_windows(literal, share))).alias("u")).select("id", "u.*")
+    units = units.where((F.col("dice") >= threshold) | F.col("license").isNull() & _any_of(F.lower("raw"), words))
+    plain = F.col("license").isNull()
+    units = units.select("id", "license", "dice", F.when(plain, _normalised(F.col("raw"))).otherwise(F.col("raw")).alias("unit"))
     # Overlapping pairs of words by look-ahead. distinct() also ends the projection, so nothing below repeats this work.
-    sized = units.select("id", "unit", F.array_distinct(F.regexp_extract_all("unit", F.lit(r"(?:^| )(?=(\S+ \S+))"), F.lit(1))).alias("grams")).distinct()
-    size, share = F.size("grams"), threshold / (2 - threshold)
-    sized = sized.where((size >= smallest * share - 1e-9) & (size * share <= largest + 1e-9))
+    sized = units.select("*", F.when(plain, F.array_distinct(F.regexp_extract_all("unit", F.lit(r"(?:^| )(?=(\S+ \S+))"), F.lit(1)))).alias("grams")).distinct()
+    sized = sized.where(~plain | (size >= smallest * share - 1e-9) & (size * share <= largest + 1e-9))
     fits = F.filter(literal, lambda t: (size >= t["size"] * share - 1e-9) & (size * share <= t["size"] + 1e-9))
     scored = F.transform(fits, lambda t: F.struct(t["license"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect("grams", t["grams"])) / (size + t["size"])).alias("dice")))
-    hits = sized.select("id", "unit", F.explode_outer(F.filter(scored, lambda s: s["dice"] >= threshold)).alias("s")).where("s is not null")
+    scored = F.when(plain, F.filter(scored, lambda s: s["dice"] >= threshold)).otherwise(F.array(F.struct("license", "dice")))
+    hits = sized.select("id", "unit", F.explode_outer(scored).alias("s")).where("s is not null")
     best = hits.groupBy("id", F.col("s.license").alias("license"), "unit").agg(F.max("s.dice").alias("dice"))
     out = best.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"), F.min("unit").alias("first_unit"))
     return out.withColumnRenamed("id", id_col)
@@ -129,17 +169,26 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
 def scan_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL, without any pruning."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, bigrams(t)))}])" for n, t in templates)
+    values = ", ".join(f"({i}, {quoted(n)}, {len(normalise(t).split(' '))}, [{', '.join(map(quoted, bigrams(t)))}])" for i, (n, t) in enumerate(templates))
     return f"""
-WITH t(license, grams) AS (VALUES {values}),
-paragraphs AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n\\s*')) AS unit FROM documents),
+WITH t(t, license, words, grams) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS k, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+paragraphs AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n\\s*')) AS unit FROM docs),
 units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM docs
   UNION ALL SELECT doc_id, unit FROM paragraphs WHERE contains(rtrim(unit), chr(10))
-  UNION ALL SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n')),
+  UNION ALL SELECT doc_id, text FROM docs WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n')),
 plain AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS unit FROM units),
-words AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM plain WHERE contains(unit, ' ')),
-sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words),
-small AS (SELECT * FROM sets WHERE len(g) <= 1000),
-scored AS (SELECT doc_id, unit, license, max(2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)))::DOUBLE AS dice FROM small, t GROUP BY ALL)
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units, min(unit) AS first_unit FROM scored WHERE dice >= {threshold} GROUP BY doc_id, license"""
+natural_ AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM plain WHERE contains(unit, ' ')),
+sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM natural_),
+scored AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM sets, t),
+worded AS (SELECT k, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM docs),
+places AS (SELECT k, unnest(range(1, len(w))) AS p FROM worded),
+grams_ AS (SELECT k, p, w[p] || ' ' || w[p + 1] AS gram FROM places JOIN worded USING (k)),
+starts AS (SELECT k, p, t FROM grams_ JOIN (SELECT t, unnest(grams) AS gram FROM t) USING (gram)),
+windows AS (SELECT k, doc_id, p, t, license, grams, w[p:p + words - 1] AS w FROM starts JOIN t USING (t) JOIN worded USING (k)),
+wsets AS (SELECT k, doc_id, p, t, license, grams, array_to_string(w, ' ') AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM windows),
+wscored AS (SELECT k, doc_id, p, t, license, unit, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM wsets),
+best AS (SELECT doc_id, unit, license, dice FROM wscored QUALIFY row_number() OVER (PARTITION BY k, t ORDER BY dice DESC, p) = 1),
+matches AS (SELECT doc_id, unit, license, max(dice)::DOUBLE AS dice FROM (SELECT * FROM scored UNION ALL SELECT * FROM best) WHERE dice >= {threshold} GROUP BY ALL)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units, min(unit) AS first_unit FROM matches GROUP BY doc_id, license"""
