@@ -48,6 +48,22 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than 1 / HOT_SHARE of all rows is hot; its rows are joined by SALTS keys.
+HOT_SHARE, SALTS = 1024, 64
+
+
+def salted_join(rows: DataFrame, stats: DataFrame, keys: list[str], total: int, by: str) -> DataFrame:
+    """Inner join of ``rows`` with ``stats``, one row a key with ``n``, the rows of that key, of ``total`` in all.
+
+    Hot keys are spread over tasks by a hash of the column ``by``. There are fewer than HOT_SHARE of them, whatever the
+    size, so their table is broadcast; everything else is merge-joined, as it has no bound."""
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(stats.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(stats.withColumn("_salt", F.explode(salts)).drop("n").hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the scan has fewer partitions than the cluster has cores (a file of one row group)."""
     cores = df.sparkSession.sparkContext.defaultParallelism

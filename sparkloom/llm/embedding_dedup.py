@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, salted_join
 from .graph import connected_components
 from .vectors import bounded_sample, kmeans, matrix, unit, usable, usual_length
 
@@ -167,8 +167,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = TA
     met = distinct.mapInArrow(partial(_deal, index=index, dim=dim, kind=kind), _VISIT)
     met = materialize(met)
     cells = met.groupBy("label", "cell").agg(F.count_if("home").alias("residents"), F.count("*").alias("visitors")).where((F.col("residents") > 0) & (F.col("visitors") > 1))
-    cells = cells.select("label", "cell", F.ceil(F.col("residents") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("pb"))
-    dealt = met.join(cells, ["label", "cell"])
+    cells = cells.select("label", "cell", F.ceil(F.col("residents") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("pb"), F.col("visitors").alias("n"))
+    dealt = salted_join(met, cells, ["label", "cell"], met.count(), "id")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     residents = dealt.where("home").select("label", "cell", part("hb").alias("x"), all_("pb").alias("y"), F.lit(0).alias("side"), "own", "id", "c", "v")

@@ -1,9 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is an aggregation with map-side combine and an equi-join; nothing is collected to the driver, and each round
-ends in a table of the shared folder. A node that holds more than ``1 / HOT_SHARE`` of all edges is hot: its edges are
-salted over ``SALTS`` keys of the join. Two ends an edge make at most ``2 * HOT_SHARE`` such nodes, whatever the size, so
-the table of hot nodes is broadcast."""
+ends in a table of the shared folder. The edges of a node with a large share of them all are salted."""
 
 from __future__ import annotations
 
@@ -14,10 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, salted_join
 
 _EDGE = "u long, v long"
-HOT_SHARE, SALTS = 1024, 64
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,25 +44,16 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": nodes[far], "v": roots[far]})
 
 
-def _to_lowest(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """``edges`` with ``m``, their node's smallest neighbour; ``low`` is ``u, m, n`` with n the node's edges."""
-    hot = F.broadcast(low.where(F.col("n") * HOT_SHARE > total).select(F.col("u").alias("hot")))  # 2 * HOT_SHARE rows at most
-    salted = edges.join(hot, F.col("u") == F.col("hot"), "left").select("u", "v", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).alias("salt"))
-    every = F.when(F.col("n") * HOT_SHARE > total, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    # Merge join: the smallest neighbours of all nodes have no bound, so they are never broadcast.
-    return salted.join(low.select("u", "m", F.explode(every).alias("salt")).hint("merge"), ["u", "salt"])
-
-
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return _to_lowest(both.where("v > u"), low, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return salted_join(both.where("v > u"), low, ["u"], total, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Edges point from the larger node to a smaller one."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _to_lowest(edges, low, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = salted_join(edges, low, ["u"], total, "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -16,7 +16,7 @@ def made(n, seed):
 def test_more_than_sixty_four_languages(spark):
     rows = [(80 * i + n, made(n, 80 * i + n), f"l{n:02d}") for n in range(80) for i in range(6)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), lambda i: i >= 0)
-    assert len(model.languages) == 80 and len(model.landmarks) == 240
+    assert len(model.languages) == 80 and len(model.landmarks) == 480
     probe = [(n, made(n, 10_000 + n), 1) for n in range(80)]
     got = language_id.identify(spark.createDataFrame(probe, "doc_id long, text string, lang int"), model).collect()
     assert np.mean([r.lang_pred == f"l{r.doc_id:02d}" for r in got]) > 0.95
