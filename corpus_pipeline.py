@@ -1,7 +1,8 @@
 """The corpus pipeline: quality filter, language filter, near-duplicate removal, packing.
 
-Each stage takes the documents that its predecessor kept; all but the last return the columns they were given. What a
-stage returns is written as a Parquet table in the shared folder and read again for the next one."""
+Each stage takes the documents that its predecessor kept; all but the last return the columns they were given, whatever
+these are. What a stage returns is written as a Parquet table in the shared folder and read again for the next one. A
+table without rows goes through all stages and comes out without rows."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, ngram_join, packing, quality
-from sparkloom.llm.common import crc32_mod, materialize, table
+from sparkloom.llm.common import crc32_mod, drop_table, materialize, table
 from sparkloom.llm.queries import with_crc32
 
 #: A document goes where its quality is below this, or where no learned language has this share of the margin.
@@ -19,13 +20,17 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of quality 0.5 or more; labels of the corpus are joined to what is there."""
+    """Rows of quality 0.5 or more; labels of the corpus are joined to what is there.
+
+    A row is judged by its text alone: null and empty texts get the score of an empty passage, repeated rows stay or go
+    together, null ids are no hindrance (they have no label). Without any label all rows stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", lambda i: crc32_mod(i, 3) != 1)
     return quality.keep(docs, model, MIN_QUALITY)
 
 
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of a learned language; ``und`` goes, and so does text that no language claims."""
+    """Rows of a learned language; ``und`` goes (null and empty texts, texts without a letter), and so does text that no
+    language claims. Repeated rows stay or go together, null ids are no hindrance. Without any lang all rows stay."""
     model = language_id.fit(docs, lambda i: crc32_mod(i, 5) != 0)
     return language_id.keep(docs, model, MIN_LANGUAGE)
 
@@ -33,7 +38,8 @@ def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row of the smallest id, one without an id last; of equal rows, one.
 
-    Rows are grouped by their texts: an id with several texts may have several survivors, and a null id may have one."""
+    Rows are grouped by their texts: an id with several texts may have several survivors, and a null id may have one.
+    Null and empty texts are near duplicates of nothing but rows that are equal in id and text."""
     if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
         groups = materialize(ngram_join.ngram_jaccard_join(docs, k=SHINGLE_WORDS, percent=PERCENT))
         # Ids of kept documents have no bound, so they are merged with, never broadcast.
@@ -51,6 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, as op10 returns them; null and empty texts are one token, repeated rows are packed each."""
     return with_crc32(packing.pack_documents(docs))
 
 
@@ -63,6 +70,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, over the whole table of documents."""
     docs = table(spark, sf_dir, "documents")
+    kept = None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if kept is not None:
+            drop_table(kept)
+        kept = docs
     return STAGES[-1][1](spark, docs, sf_dir)
