@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spread, text_slices
+from .common import lowest_hashes, spread, text_slices
 
 BUCKETS = 4096
 #: Landmarks at least, and of each language.
@@ -94,11 +94,6 @@ def train(bits: np.ndarray, labels: list[str], landmarks: int | None = None, rid
     return KernelModel(languages, marks, norms, (root @ w).astype(np.float32), (level - mean @ w).astype(np.float32))
 
 
-def lowest_hashes(wanted: int, rows: int) -> int:
-    """The signed 64-bit number up to which the hashes of about ``wanted`` of ``rows`` rows lie."""
-    return (1 << 63) - 1 if wanted >= rows else -(1 << 63) + (1 << 64) * wanted // rows
-
-
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in text_slices(batch.column(0)):

@@ -138,13 +138,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     known = [(name, bigrams(text), len(normalise(text).split(" "))) for name, text in templates]
     # Constants, which the optimiser folds; as expression trees of words they would plan for seconds.
     literal = F.from_json(F.lit(json.dumps([{"license": n, "size": len(g), "words": w, "grams": g} for n, g, w in known])), "array<struct<license:string,size:int,words:int,grams:array<string>>>")
-    every = F.from_json(F.lit(json.dumps(sorted({x for _, g, _ in known for x in g}))), "array<string>")
+    every = sorted({x for _, g, _ in known for x in g})  # looked up as a hash set
     smallest, largest = min(len(g) for _, g, _ in known), max(len(g) for _, g, _ in known)
     size, share = F.size("grams"), threshold / (2 - threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(_any_of(F.lower("text"), words))
     rows = rows.select("id", "text", _let("w", F.split(_normalised(F.col("text")), " ")))
     rows = rows.select("id", "text", "w", _let("g", F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.concat(F.element_at("w", i + 1), F.lit(" "), x))))
-    rows = rows.select("id", "text", "w", "g", _let("hits", F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(every, x), i + 1)), lambda i: i.isNotNull())))
+    rows = rows.select("id", "text", "w", "g", _let("hits", F.filter(F.transform("g", lambda x, i: F.when(x.isin(every), i + 1)), lambda i: i.isNotNull())))
     lines = F.split("text", r"\n")
     paragraphs = F.filter(F.split("text", r"\n[ \t\r]*\n\s*"), lambda p: F.rtrim(p).contains("\n"))
     whole = F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), F.array("text")).otherwise(F.array().cast("array<string>"))
