@@ -33,3 +33,10 @@ def completion_mask(ids: Column, prompt_length: Column, end: Column) -> Column:
 
 def pad_id_or_end(pad_id: Column, end_id: Column) -> Column:
     return F.coalesce(pad_id, end_id)
+
+
+def rollout_row(ids: Column, mask: Column, length: Column, pad_id: int) -> tuple[Column, Column, Column]:
+    """x, y and the mask of y for a rollout padded to a length: y are the ids after each of x, padding is masked."""
+    full, marks = pad(ids, length, pad_id), pad(mask, length, 0)
+    n = F.greatest(F.size(full) - 1, F.lit(0))
+    return F.slice(full, 1, n), F.slice(full, 2, n), F.slice(marks, 2, n)

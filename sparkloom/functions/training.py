@@ -35,3 +35,10 @@ def kl_estimate(log_reference: Column, log_policy: Column) -> Column:
     """exp(d) - d - 1 with d the difference of log-probabilities."""
     d = log_reference - log_policy
     return F.exp(d) - d - 1
+
+
+def token_log_prob(logits: Column, index: Column) -> Column:
+    """Log of the softmax of an array of logits at an index from 0; safe for large logits, null outside the array."""
+    top = F.array_max(logits)
+    total = F.aggregate(F.transform(logits, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
+    return F.get(logits, index) - top - F.log(total)

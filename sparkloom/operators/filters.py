@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ class FilterConfig:
     max_chars: int = 100_000
     min_mean_word_len: float = 3.0
     max_mean_word_len: float = 10.0
-    max_symbol_word_ratio: float = 0.10
+    max_symbol_to_word_ratio: float = 0.10
     min_alpha_fraction: float = 0.60
     max_dup_line_fraction: float = 0.30
     code_max_mean_line_len: float = 200.0
@@ -25,9 +26,12 @@ class FilterConfig:
 
     @classmethod
     def from_dict(cls, values: dict | None) -> "FilterConfig":
-        """Unknown keys are ignored."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in (values or {}).items() if k in known})
+        """Thresholds by name, as numbers. A key that is none of them changes nothing and is warned of."""
+        given = dict(values or {})
+        config = {f.name: type(f.default)(given.pop(f.name)) for f in fields(cls) if given.get(f.name) is not None}
+        if given:
+            warnings.warn(f"unknown filter settings: {', '.join(sorted(map(str, given)))}", stacklevel=2)
+        return cls(**config)
 
 
 def _features(is_code: Column) -> dict[str, Column]:
@@ -54,7 +58,7 @@ def prose_ladder(c: FilterConfig) -> Column:
         .when(w == 0, "no_words")
         .when(word_len < c.min_mean_word_len, "mean_word_len_low")
         .when(word_len > c.max_mean_word_len, "mean_word_len_high")
-        .when(symbols > c.max_symbol_word_ratio, "symbol_ratio_high")
+        .when(symbols > c.max_symbol_to_word_ratio, "symbol_ratio_high")
         .when(F.col("_f._alpha") < c.min_alpha_fraction, "alpha_fraction_low")
         .when(F.col("_f._dup") > c.max_dup_line_fraction, "dup_lines_high")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +24,30 @@ def token_dtype(vocab_size: int) -> str:
 
 
 def split_of(order: Column, val_fraction: float, seed: int = 0) -> Column:
-    """Train or val by a hash of the order number, so a document's split doesn't depend on the others."""
-    return F.when(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(1_000_000)) < int(val_fraction * 1_000_000), "val").otherwise("train")
+    """Train or val by a hash of the order number (32 bits of MD5, the same in every engine), so a document's split doesn't
+    depend on the others."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), order.cast("string"))), 1, 8), 16, 10).cast("long") % F.lit(1_000_000)
+    return F.when(drawn < int(val_fraction * 1_000_000), "val").otherwise("train")
+
+
+def sequential_split(rows: DataFrame, order_col: str, val_fraction: float, seed: int = 0) -> DataFrame:
+    """Adds ``split`` as a sequential pass draws it: the k-th document in order gets the k-th number of a generator.
+
+    Documents are numbered in two levels, and each block of ORDER_BLOCK numbers moves the generator on to its first."""
+    numbered = stream_offsets(rows.withColumn("_one", F.lit(1).cast("long")), order_col, "_one").drop("_one").withColumnRenamed("pos", "_k")
+
+    @F.pandas_udf("string")
+    def draw(places: pd.Series) -> pd.Series:
+        out = np.empty(len(places), dtype=object)
+        for block in np.unique(places // ORDER_BLOCK):
+            bits = np.random.PCG64(seed)
+            bits.advance(int(block) * ORDER_BLOCK)  # a double takes one step
+            drawn = np.random.Generator(bits).random(ORDER_BLOCK)
+            at = (places // ORDER_BLOCK == block).to_numpy()
+            out[at] = np.where(drawn[places[at] % ORDER_BLOCK] < val_fraction, "val", "train")
+        return pd.Series(out)
+
+    return numbered.withColumn("split", draw("_k")).drop("_k")
 
 
 def stream_offsets(rows: DataFrame, order_col: str, length_col: str, split_col: str | None = None) -> DataFrame:
@@ -56,6 +80,20 @@ def blocks(rows: DataFrame, block: int, ids_col: str = "ids") -> DataFrame:
     return tokens.select("block", F.slice("t", 1, block).alias("x"), F.slice("t", 2, block).alias("y"))
 
 
+def crops(rows: DataFrame, starts: DataFrame, block: int, ids_col: str = "ids") -> DataFrame:
+    """``start, x, y`` of ``block`` tokens from each start of ``pos, ids`` on; y are the tokens after each of x. Starts
+    without as many tokens behind them give nothing. A crop meets the documents of the blocks that it touches."""
+    last = F.col("pos") + F.size(ids_col) - 1
+    parts = rows.where(F.size(ids_col) > 0).select("pos", ids_col, F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor(last / block))).alias("_b"))
+    first = F.floor(F.col("start") / block)
+    wanted = starts.select("start", F.explode(F.sequence(first, F.floor((F.col("start") + block) / block))).alias("_b"))
+    begin = F.greatest(F.col("start"), F.col("pos"), F.col("_b") * block)
+    end = F.least(F.col("start") + block + 1, F.col("pos") + F.size(ids_col), (F.col("_b") + 1) * block)
+    met = wanted.join(parts, "_b").where(begin < end).select("start", begin.alias("at"), F.slice(ids_col, (begin - F.col("pos") + 1).cast("int"), (end - begin).cast("int")).alias("s"))
+    whole = met.groupBy("start").agg(F.flatten(F.sort_array(F.collect_list(F.struct("at", "s"))).getField("s")).alias("t")).where(F.size("t") == block + 1)
+    return whole.select("start", F.slice("t", 1, block).alias("x"), F.slice("t", 2, block).alias("y"))
+
+
 def token_totals(rows: DataFrame, split_col: str = "split", length_col: str = "n_tokens") -> DataFrame:
     return rows.groupBy(split_col).agg(F.count("*").alias("n_docs"), F.sum(length_col).alias("tokens"))
 

@@ -64,3 +64,10 @@ def last_user_message(conversations: DataFrame) -> DataFrame:
     user = F.col("role") == "user"
     last = F.max_by(F.when(user, F.coalesce("text", F.lit(""))), F.when(user, F.col("turn")))
     return conversations.groupBy("conv_id").agg(F.coalesce(last, F.lit("")).alias("message"))
+
+
+def evaluation_loss(rows: DataFrame, keys: list[str], batch_col: str, loss_col: str = "loss", batches: int = 20) -> DataFrame:
+    """Mean loss over the first batches of each evaluation. Map tasks keep no more than these."""
+    first = Window.partitionBy(*keys).orderBy(batch_col)
+    kept = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= batches)
+    return kept.groupBy(*keys).agg(F.avg(loss_col).alias("val_loss"), F.count("*").alias("n_batches"))

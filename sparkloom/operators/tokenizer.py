@@ -1,7 +1,8 @@
-"""Byte-level BPE: word counting in Spark, merges on the driver over a bounded list of words, encoding by Arrow UDFs."""
+"""Byte-level BPE: word counting in Spark, merges on the driver over the distinct words, encoding by Arrow UDFs."""
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens, the most frequent ones, that the driver merges over.
-MAX_PRETOKENS = 500_000
 
 
 def pretoken_counts(docs: DataFrame) -> DataFrame:
@@ -50,18 +49,25 @@ class Tokenizer:
             raise KeyError(token) from None
 
     def _word(self, word: str) -> list[int]:
+        """Merges in order of rank, then of place: a heap over the pairs of a linked list, n log n for a word of n bytes."""
         ids = [self.base + b for b in word.encode("utf-8")]
-        while len(ids) > 1:
-            rank, at = min((self.rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            pair, new, out, i = self.merges[rank], self.base + 256 + rank, [], 0
-            while i < len(ids):
-                hit = i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair
-                out.append(new if hit else ids[i])
-                i += 2 if hit else 1
-            ids = out
-        return ids
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.rank.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            if j >= n or (ids[i], ids[j]) != self.merges[rank]:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = self.base + 256 + rank, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (r := self.rank.get((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -98,16 +104,21 @@ def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple
             pairs[p] += n
             where[p].add(i)
     merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] <= 0:
-            break
+    # Counts change, so an entry may be out of date; it is then dropped, as the pair stands there with its new count too.
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    while len(merges) < n_merges and heap:
+        count, best = heapq.heappop(heap)
+        if pairs.get(best, 0) != -count:
+            continue
+        changed: set[tuple[int, int]] = set()
         new = base + 256 + len(merges)
         merges.append(best)
         for i in list(where.pop(best, ())):
             ids, n = words[i]
             for p in zip(ids, ids[1:], strict=False):
                 pairs[p] -= n
+                changed.add(p)
                 if pairs[p] <= 0:
                     del pairs[p]
                 where[p].discard(i)
@@ -119,16 +130,25 @@ def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple
             words[i] = (out, n)
             for p in zip(out, out[1:], strict=False):
                 pairs[p] += n
+                changed.add(p)
                 where[p].add(i)
+        for p in changed:
+            if pairs.get(p, 0) > 0:
+                heapq.heappush(heap, (-pairs[p], p))
     return merges
 
 
-def train_tokenizer(docs: DataFrame, vocab_size: int = 32_000, special: tuple[str, ...] = ("<|endoftext|>",), sample_docs: int | None = None, order_col: str = "ord") -> Tokenizer:
-    """From the first ``sample_docs`` documents in order (all if none is given)."""
+def train_tokenizer(docs: DataFrame, vocab_size: int = 32_000, special: tuple[str, ...] = ("<|endoftext|>",), sample_docs: int | None = None, order_col: str = "ord", max_pretokens: int | None = None) -> Tokenizer:
+    """From the first ``sample_docs`` documents in order (all if none is given).
+
+    The driver merges over the distinct pre-tokens of all these documents. Where these are too many for it,
+    ``max_pretokens`` keeps the most frequent ones; rarer ones then have no say in the merges."""
     if sample_docs:
         docs = docs.orderBy(order_col).limit(sample_docs)
-    top = pretoken_counts(docs).orderBy(F.desc("n"), "pretoken").limit(MAX_PRETOKENS).collect()
-    return Tokenizer(train_merges({r["pretoken"]: r["n"] for r in top}, vocab_size - 256 - len(special), len(special)), list(special))
+    counts = pretoken_counts(docs)
+    top = counts.orderBy(F.desc("n"), "pretoken").limit(max_pretokens) if max_pretokens else counts
+    found = top.toArrow()
+    return Tokenizer(train_merges(dict(zip(found["pretoken"].to_pylist(), found["n"].to_pylist(), strict=True)), vocab_size - 256 - len(special), len(special)), list(special))
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", out_col: str = "ids") -> DataFrame:

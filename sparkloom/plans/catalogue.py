@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rewards, sequences, training
 from ..functions import text as t
 from ..operators import dedup, filters, packing, rollouts, tasks, tokenizer
-from ..sources import logs, readers
+from ..operators import code_exec
+from ..sources import logs, readers, writers
+from ..sources.checkpoint import materialize, shared_folder
 
 WS, LB = t.WS, t.LB
 NUM_PERM, BANDS, ROWS, K, THRESHOLD = 16, 8, 2, 5, 0.8
@@ -96,11 +101,8 @@ def shingle_counts(spark, d):
 
 
 def optimal_bands(spark, d):
-    n, threshold, b = F.col("num_perm"), F.col("threshold"), F.col("b")
-    pairs = spark.sql("SELECT * FROM VALUES (128L, 0.8D), (64L, 0.7D), (64L, 0.6D), (256L, 0.5D), (100L, 0.9D) AS v(num_perm, threshold)")
-    rows = pairs.select("num_perm", "threshold", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("b")).where(n % b == 0)
-    miss = F.abs(threshold - F.pow(F.lit(1.0) / b, b / n))
-    return rows.groupBy("num_perm", "threshold").agg(F.min_by("b", F.struct(F.round(miss, 12), "b")).alias("bands")).select("num_perm", "threshold", "bands", (n / F.col("bands")).cast("long").alias("rows"))
+    settings = ((128, 0.8), (64, 0.7), (64, 0.6), (256, 0.5), (100, 0.9))
+    return spark.createDataFrame([(n, x, *dedup.optimal_bands(n, x)) for n, x in settings], "num_perm long, threshold double, bands long, rows long")
 
 
 def _signed(spark, d):
@@ -116,7 +118,7 @@ def lsh_candidate_pairs(spark, d):
 
 
 def near_dup_pairs(spark, d):
-    signed = _signed(spark, d)
+    signed = materialize(_signed(spark, d))
     pairs = dedup.verified_pairs(signed, dedup.owner_pairs(signed, BANDS, ROWS), THRESHOLD)
     return pairs.withColumn("similarity", _r(F.col("similarity")))
 
@@ -147,8 +149,7 @@ sim AS (SELECT owner, p.doc_id, len(list_filter(list_zip(x.sig, y.sig), lambda z
 # --- tokens, packing, sequences
 
 def pretoken_counts(spark, d):
-    words = _docs(spark, d).select(F.explode_outer(F.regexp_extract_all("text", F.lit(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"), F.lit(0))).alias("pretoken"))
-    return words.where("pretoken is not null").groupBy("pretoken").agg(F.count("*").alias("n"))
+    return tokenizer.pretoken_counts(_docs(spark, d))
 
 
 def bpe_encode_stats(spark, d):
@@ -170,11 +171,53 @@ def pack_manifest(spark, d):
 
 
 def split_hash(spark, d):
-    """Two splits by a linear congruence of the id, which any engine computes alike."""
-    rows = _docs(spark, d).select(F.length("text").cast("long").alias("n_tokens"), F.when(tasks.draw(F.col("doc_id"), 0, 1, 1000) < 50, "val").otherwise("train").alias("split"))
+    rows = _docs(spark, d).select(F.length("text").cast("long").alias("n_tokens"), packing.split_of(F.col("doc_id"), 0.05, 3).alias("split"))
     return packing.token_totals(rows)
 
 
+def end_tokens(spark, d):
+    """Code points stand for tokens; empty texts go."""
+    rows = packing.with_end_token(_t(spark, d, "conversations").select("conv_id", "turn", t.code_points(F.col("text")).alias("ids")), 7, 1 << 21)
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("conv_id", "turn", F.size("ids").alias("n"), total.alias("total"), F.element_at("ids", -1).alias("last"))
+
+
+def mixture(spark, d):
+    """Two sources one behind the other, the first of them capped."""
+    specs = [readers.SourceSpec("docs", f"{d}/documents.parquet", order_key="doc_id", max_docs=77), readers.SourceSpec("pages", f"{d}/pages.parquet", text_key="html", kind="code", order_key="page_id")]
+    return readers.read_mixture(spark, specs).select("ord", "idx", "source", "kind", F.length("text").alias("n"))
+
+
+def token_shards(spark, d):
+    rows = packing.shards(pack_offsets(spark, d), 100_000)
+    return rows.groupBy("split", "shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+
+
+def token_crops(spark, d):
+    stream = _chat_tokens(spark, d)
+    starts = stream.agg((F.sum("n") - 1).alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"), F.lit(997).cast("long"))).alias("start"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return packing.crops(stream.select("pos", "ids"), starts, 300).select("start", total("x").alias("sum_x"), total("y").alias("sum_y"), F.element_at("x", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
+
+
+def clean_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/clean-{uuid.uuid4().hex}"
+    writers.write_clean(_docs(spark, d).select(F.col("doc_id").alias("ord"), "text", "source", "kind"), path)
+    return readers.read_clean(spark, path).select("ord", "source", "kind", F.md5("text").alias("text_md5"))
+
+
+def packed_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    rows = _chat_tokens(spark, d).select("pos", "ids", F.when(F.col("pos") % 5 == 0, "val").otherwise("train").alias("split"))
+    writers.write_packed(rows, path, "uint32")
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _union([writers.read_packed(spark, path, s, "uint32").select(F.lit(s).alias("split"), "pos", F.size("ids").alias("n"), total.alias("total")) for s in ("train", "val")])
+
+
+def _union(parts):
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _chat_tokens(spark, d):
     rows = _t(spark, d, "conversations").where("length(text) > 0").select((F.col("conv_id") * 64 + F.col("turn")).alias("ord"), F.concat(t.code_points(F.col("text")), F.array(F.lit(0))).alias("ids"))
     return packing.stream_offsets(rows.withColumn("n", F.size("ids").cast("long")), "ord", "n")
@@ -196,7 +239,7 @@ b AS (SELECT pos // 512 AS block, count(*) AS n, count(nxt) AS m, sum(id)::BIGIN
 
 def _example(spark, d):
     ids = t.code_points(F.col("text"))
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.slice(ids, 1, 20).alias("prompt"), F.slice(ids, 21, 300).alias("target"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.slice(ids, 1, 20).alias("prompt"), F.slice(ids, F.lit(21), F.greatest(F.size(ids) - 20, F.lit(0))).alias("target"))
 
 
 def sft_mask(spark, d):
@@ -334,7 +377,66 @@ def softmax_events(spark, d):
     return rows.select("user_id", "event_id", _r(F.col("share")).alias("share"))
 
 
-_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events)
+def supervised_pairs(spark, d):
+    return tasks.supervised(tasks.arithmetic_examples(spark, 3000, 3, 99, "+-*"))
+
+
+def reinforcement_prompts(spark, d):
+    return tasks.reinforcement(tasks.preset(spark, "arithmetic_hard", 3000, 5))
+
+
+def solved_questions(spark, d):
+    key = F.col("o_orderkey").cast("string")
+    answer = F.concat(F.lit("first "), key, F.lit(", then more\n#### "), key, F.lit(",000"))
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("How many "), key, F.lit("?")).alias("question"), answer.alias("answer"))
+    return tasks.solved_questions(rows, 500)
+
+
+def batch_sizes(spark, d):
+    """Batches of a seeded shuffle: every row in one, all full but the last."""
+    rows = tasks.batches(_t(spark, d, "events").select(F.col("event_id").alias("id")), 64, 5, 1)
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+def rollout_rows(spark, d):
+    """Texts as rollouts: padded to the longest of the conversation, shifted by one; the first ten tokens are prompt."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", t.code_points(F.col("text")).alias("ids"))
+    rows = rows.withColumn("mask", sequences.completion_mask(F.col("ids"), F.lit(10), F.size("ids")))
+    longest = rows.groupBy("conv_id").agg(F.max(F.size("ids")).alias("longest"))
+    x, y, m = sequences.rollout_row(F.col("ids"), F.col("mask"), F.col("longest"), 0)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.join(longest, "conv_id").select("conv_id", "turn", F.size(x).alias("n"), total(x).alias("sum_x"), total(y).alias("sum_y"), total(m).alias("n_completion"))
+
+
+def evaluation_loss(spark, d):
+    rows = _t(spark, d, "events").select("event_type", "event_id", (F.col("value") / 10).alias("loss"))
+    out = rollouts.evaluation_loss(rows, ["event_type"], "event_id")
+    return out.select("event_type", _r(F.col("val_loss")).alias("val_loss"), "n_batches")
+
+
+def token_log_prob(spark, d):
+    v = F.col("value")
+    rows = _t(spark, d, "events").select("event_id", F.array(v / 10, v / 20, F.lit(1.5), -v).alias("logits"), (F.col("event_id") % 4).cast("int").alias("i"))
+    return rows.select("event_id", (_r(training.token_log_prob(F.col("logits"), F.col("i"))) + F.lit(0.0)).alias("log_prob"))
+
+
+def code_pass_rate(spark, d):
+    """Fixed, harmless programs: one group of tests passes, one fails; a program without tests gets 0."""
+    key = F.col("r_regionkey").cast("string")
+    code = F.concat(F.lit("see\n```python\ndef f(x):\n    return x + "), key, F.lit("\n```"))
+    tests = F.when(F.col("r_regionkey") == 4, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("assert f(1) == 1 + "), key), F.concat(F.lit("assert f(1) == 2 + "), key)))
+    rows = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), code.alias("completion"), tests.alias("tests"))
+    return code_exec.code_rewards(rows, allow_untrusted=True)
+
+
+def unicode_numbers(spark, d):
+    """Numbers in ASCII, Arabic-Indic and full-width digits."""
+    key = F.col("o_orderkey").cast("string")
+    shown = F.when(F.col("o_orderkey") % 3 == 0, key).when(F.col("o_orderkey") % 3 == 1, F.translate(key, "0123456789", "".join(chr(0x660 + i) for i in range(10)))).otherwise(F.translate(key, "0123456789", "".join(chr(0xFF10 + i) for i in range(10))))
+    return _t(spark, d, "orders").select("o_orderkey", rewards.to_number(F.concat(F.lit("about "), shown, F.lit(" in all"))).alias("number"))
+
+
+_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events, end_tokens, mixture, token_shards, token_crops, clean_round_trip, packed_round_trip, supervised_pairs, reinforcement_prompts, solved_questions, batch_sizes, rollout_rows, evaluation_loss, token_log_prob, code_pass_rate, unicode_numbers)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _NORMAL = f"SELECT *, array_to_string(regexp_extract_all(text, '[^{WS}]+'), ' ') AS p FROM documents"
@@ -353,13 +455,14 @@ ORACLE_SQL = {
     "minhash_signatures": f"WITH {_SIGNED} SELECT * FROM sig",
     "lsh_candidate_pairs": f"WITH {_SIGNED} SELECT owner, doc_id FROM pairs",
     "near_dup_pairs": f"WITH {_SIGNED} SELECT owner, doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {THRESHOLD}",
-    "pretoken_counts": r"SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, ' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) AS pretoken FROM documents) GROUP BY pretoken",
+    # White space before a word parts at its last character; a mark stands there, as this engine's patterns look at nothing ahead.
+    "pretoken_counts": r"SELECT replace(pretoken, chr(1), '') AS pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '(\s)(\S)', chr(1) || '\1\2', 'g'), '\x01?''(?:s|t|re|ve|m|ll|d)|\x01? ?\p{L}+|\x01? ?\p{N}+|\x01? ?[^\s\p{L}\p{N}\x01]+|\x01?\s+')) AS pretoken FROM documents) GROUP BY 1",
     "pack_offsets": "SELECT doc_id, n_tokens, split, coalesce(sum(n_tokens) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM (SELECT doc_id, length(text) + 1 AS n_tokens, CASE WHEN doc_id % 20 = 0 THEN 'val' ELSE 'train' END AS split FROM documents)",
     "pack_manifest": "SELECT 'uint16' AS dtype, 0 AS eot_id, 32000 AS vocab_size, count(*) AS n_docs, coalesce(sum(length(text) + 1) FILTER (doc_id % 20 <> 0), 0)::BIGINT AS train_tokens, coalesce(sum(length(text) + 1) FILTER (doc_id % 20 = 0), 0)::BIGINT AS val_tokens FROM documents",
-    "split_hash": f"SELECT CASE WHEN {_draw_sql('doc_id', 0, 1, 1000)} < 50 THEN 'val' ELSE 'train' END AS split, count(*) AS n_docs, sum(length(text))::BIGINT AS tokens FROM documents GROUP BY 1",
+    "split_hash": "SELECT CASE WHEN ('0x' || substr(md5('3:' || doc_id), 1, 8))::BIGINT % 1000000 < 50000 THEN 'val' ELSE 'train' END AS split, count(*) AS n_docs, sum(length(text))::BIGINT AS tokens FROM documents GROUP BY 1",
     "pack_blocks": f"WITH {_CHAT_TOKENS} SELECT block, n, sum_x, sum_y, first_x, last_y FROM b WHERE n = 512 AND m = 512",
-    "sft_mask": "WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations), f AS (SELECT conv_id, turn, len(ids[:20]) AS p, list_append(ids[:320], 0)[:128] AS full_ FROM c), y AS (SELECT *, list_transform(range(2, len(full_) + 1), lambda i: CASE WHEN i <= p THEN -1 ELSE full_[i] END) AS y FROM f WHERE len(full_) >= 2 AND p < len(full_)) SELECT conv_id, turn, len(y) AS n, len(list_filter(y, lambda v: v = -1)) AS n_masked, array_to_string(y, ' ') AS labels FROM y",
-    "pad_batch": "WITH c AS (SELECT conv_id, turn, least(length(text), 320) AS k FROM conversations), m AS (SELECT *, max(k) OVER (PARTITION BY conv_id) AS longest FROM c) SELECT conv_id, turn, longest AS n, longest - k AS n_pad FROM m",
+    "sft_mask": "WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations), f AS (SELECT conv_id, turn, len(ids[:20]) AS p, list_append(ids, 0)[:128] AS full_ FROM c), y AS (SELECT *, list_transform(range(2, len(full_) + 1), lambda i: CASE WHEN i <= p THEN -1 ELSE full_[i] END) AS y FROM f WHERE len(full_) >= 2 AND p < len(full_)) SELECT conv_id, turn, len(y) AS n, len(list_filter(y, lambda v: v = -1)) AS n_masked, array_to_string(y, ' ') AS labels FROM y",
+    "pad_batch": "WITH c AS (SELECT conv_id, turn, length(text) AS k FROM conversations), m AS (SELECT *, max(k) OVER (PARTITION BY conv_id) AS longest FROM c) SELECT conv_id, turn, longest AS n, longest - k AS n_pad FROM m",
     "eot_mask": "WITH c AS (SELECT conv_id, turn, length(text) AS n, least(10, length(text)) AS p, instr(substr(text, least(10, length(text)) + 1), ' ') AS hit FROM conversations) SELECT conv_id, turn, CASE WHEN hit > 0 THEN p + hit ELSE n END AS end_index, CASE WHEN hit > 0 THEN hit ELSE n - p END AS n_completion FROM c",
     "rollout_rewards": f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, answer, numeric, format, round(numeric + 0.1 * format, 6) AS reward FROM r",
     "eval_accuracy": f"WITH {_SCORED} SELECT count(*) AS n, round(avg(numeric) * 100, 6) AS accuracy, round(avg(format) * 100, 6) AS format_rate FROM r",
@@ -377,4 +480,19 @@ ORACLE_SQL = {
     "last_user_message": "SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS message FROM conversations GROUP BY conv_id",
     "top_k_events": "SELECT event_type, event_id, value FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r FROM events) WHERE r <= 50",
     "softmax_events": "SELECT user_id, event_id, round(exp((value - max(value) OVER w) / 25) / sum(exp(value / 25)) OVER w * exp(max(value) OVER w / 25), 6) AS share FROM events WINDOW w AS (PARTITION BY user_id)",
+    "end_tokens": "SELECT conv_id, turn, length(text) + 1 AS n, (list_sum(list_transform(string_split(text, ''), lambda x: unicode(x))) + 7)::BIGINT AS total, 7 AS last FROM conversations WHERE length(text) > 0",
+    "mixture": "WITH a AS (SELECT row_number() OVER (ORDER BY doc_id, text) - 1 AS idx, 'docs' AS source, 'prose' AS kind, length(text) AS n FROM documents WHERE text <> ''), b AS (SELECT row_number() OVER (ORDER BY page_id, html) - 1 AS idx, 'pages' AS source, 'code' AS kind, length(html) AS n FROM pages WHERE html <> '') SELECT idx AS ord, * FROM a WHERE idx < 77 UNION ALL SELECT idx + (SELECT count(*) FROM a WHERE idx < 77), * FROM b",
+    "token_shards": "WITH r AS (SELECT length(text) + 1 AS n, CASE WHEN doc_id % 20 = 0 THEN 'val' ELSE 'train' END AS split, doc_id FROM documents), p AS (SELECT *, sum(n) OVER (PARTITION BY split ORDER BY doc_id) - n AS pos FROM r) SELECT split, (pos // 100000)::BIGINT AS shard, count(*) AS n_docs, sum(n)::BIGINT AS tokens FROM p GROUP BY 1, 2",
+    "token_crops": f"WITH {_CHAT_TOKENS.split('b AS (')[0].rstrip().rstrip(',')}, q AS (SELECT pos, pos AS start FROM n WHERE pos % 997 = 0) SELECT q.start, sum(n.id)::BIGINT AS sum_x, sum(n.nxt)::BIGINT AS sum_y, arg_min(n.id, n.pos) AS first_x, arg_max(n.nxt, n.pos) AS last_y FROM q JOIN n ON n.pos BETWEEN q.start AND q.start + 299 GROUP BY q.start HAVING count(n.nxt) = 300",
+    "clean_round_trip": "SELECT doc_id AS ord, source, CASE WHEN source IN ('src0','src1','src2','src3','src4') THEN 'code' ELSE 'prose' END AS kind, md5(text) AS text_md5 FROM documents",
+    "packed_round_trip": "WITH c AS (SELECT conv_id * 64 + turn AS ord, length(text) + 1 AS n, list_sum(list_transform(string_split(text, ''), lambda x: unicode(x)))::BIGINT AS total FROM conversations WHERE length(text) > 0), p AS (SELECT *, (sum(n) OVER (ORDER BY ord) - n)::BIGINT AS pos FROM c) SELECT CASE WHEN pos % 5 = 0 THEN 'val' ELSE 'train' END AS split, pos, n, total FROM p",
+    "supervised_pairs": f"SELECT id, 'Solve the problem. Think first, then give the answer.' || chr(10) || 'Question: What is ' || a || ' ' || op || ' ' || b || '?' || chr(10) AS prompt, '<think>' || {_spaced_sql('a')} || ' ' || op || ' ' || {_spaced_sql('b')} || ' = ' || {_spaced_sql(_VALUE)} || '</think>' || chr(10) || '<answer>' || {_spaced_sql(_VALUE)} || '</answer>' AS target FROM {_tasks_sql(3000, 3, 99, '+-*')}",
+    "reinforcement_prompts": f"SELECT id, 'Solve the problem. Think first, then give the answer.' || chr(10) || 'Question: What is ' || a || ' ' || op || ' ' || b || '?' || chr(10) AS prompt, {_VALUE}::VARCHAR AS gold FROM {_tasks_sql(3000, 5, 999, '+-')}",
+    "solved_questions": "SELECT o_orderkey AS id, 'How many ' || o_orderkey || '?' AS question, 'first ' || o_orderkey || ', then more' AS thought, o_orderkey || '000' AS gold FROM orders ORDER BY o_orderkey LIMIT 500",
+    "batch_sizes": "WITH e AS (SELECT count(*) AS c FROM events) SELECT range::BIGINT AS batch, least(64, c - 64 * range)::BIGINT AS n, least(64, c - 64 * range)::BIGINT AS n_ids FROM e, range((SELECT (count(*) + 63) // 64 FROM events))",
+    "rollout_rows": "WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations), l AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS longest FROM c) SELECT conv_id, turn, greatest(longest - 1, 0) AS n, (coalesce(list_sum(ids), 0) - CASE WHEN len(ids) = longest THEN coalesce(ids[-1], 0) ELSE 0 END)::BIGINT AS sum_x, (coalesce(list_sum(ids), 0) - coalesce(ids[1], 0))::BIGINT AS sum_y, greatest(len(ids) - 10, 0)::BIGINT AS n_completion FROM l",
+    "evaluation_loss": "SELECT event_type, round(avg(value / 10), 6) AS val_loss, count(*) AS n_batches FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY event_type",
+    "token_log_prob": "WITH l AS (SELECT event_id, [value / 10, value / 20, 1.5::DOUBLE, -value] AS x FROM events) SELECT event_id, round(x[event_id % 4 + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 6) + 0.0::DOUBLE AS log_prob FROM l",
+    "code_pass_rate": "SELECT r_regionkey AS id, CASE WHEN r_regionkey = 4 THEN 0.0 ELSE 0.5 END::DOUBLE AS pass_rate FROM region",
+    "unicode_numbers": "SELECT o_orderkey, o_orderkey::DOUBLE AS number FROM orders",
 }

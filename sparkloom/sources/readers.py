@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCHEMA = "ord long, text string, source string, kind string, idx long"
-#: Rows of a source that a task numbers at a time.
-NUMBER_BLOCK_BITS = 33
-
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -32,22 +29,41 @@ class SourceSpec:
         return cls(**known, options=tuple(sorted((d.get("options") or {}).items())))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``idx``, 0 to n - 1 in the order of the partitions: a row's place in its partition and what is before that.
+
+    The table of partition sizes has a row a partition; no task sees more than that or its own partition."""
+    placed = rows.withColumn("_m", F.monotonically_increasing_id())  # partition in the upper, place in the lower 33 bits
+    placed = placed.withColumn("_p", F.shiftright("_m", 33))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return placed.join(starts, "_p").withColumn("idx", F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_s")
+
+
 def read_source(spark: SparkSession, spec: SourceSpec, limit: int | None = None) -> DataFrame:
-    """``idx, text, source, kind`` of one source. Null and empty texts go before numbering and don't count towards the
-    cap, which is the smaller of max_docs and limit; 0 is no cap."""
+    """``idx, text, source, kind`` of one source, numbered without gaps in the order of its key, or else of its files.
+    Null and empty texts go before numbering and don't count towards the cap, which is the smaller of max_docs and limit;
+    0 is no cap."""
     rows = spark.read.format(spec.format).options(**dict(spec.options)).load(spec.path)
     text = F.col("value" if spec.format == "text" and spec.text_key == "text" else spec.text_key).cast("string")
-    order = F.col(spec.order_key) if spec.order_key else F.monotonically_increasing_id()
-    rows = rows.select(order.alias("_o"), text.alias("text")).where("text is not null and text <> ''")
+    order = [F.col(spec.order_key).alias("_o")] if spec.order_key else []
+    rows = rows.select(*order, text.alias("text")).where("text is not null and text <> ''")
+    rows = _numbered(rows.orderBy("_o", "text") if order else rows)
     caps = [c for c in (spec.max_docs, limit) if c]
     if caps:
-        rows = rows.orderBy("_o").limit(min(caps))
-    return rows.select(F.col("_o").cast("long").alias("idx"), "text", F.lit(spec.name).alias("source"), F.lit(spec.kind).alias("kind"))
+        rows = rows.where(F.col("idx") < min(caps))
+    return rows.select("idx", "text", F.lit(spec.name).alias("source"), F.lit(spec.kind).alias("kind"))
 
 
 def read_mixture(spark: SparkSession, specs: list[SourceSpec], limit: int | None = None) -> DataFrame:
-    """All sources one behind the other: ``ord`` rises with the source's place, then with idx. Bag semantics."""
-    parts = [read_source(spark, s, limit).withColumn("ord", F.lit(i).cast("long") * (1 << 48) + F.col("idx")) for i, s in enumerate(specs)]
+    """All sources one behind the other: ``ord`` counts on from source to source without gaps, so it never overflows."""
+    parts, start = [], 0
+    for i, spec in enumerate(specs):
+        part = read_source(spark, spec, limit)
+        parts.append(part.withColumn("ord", F.col("idx") + F.lit(start)))
+        if i < len(specs) - 1:
+            start += part.count()
     return reduce(DataFrame.unionByName, parts).select("ord", "text", "source", "kind", "idx")
 
 
