@@ -38,8 +38,11 @@ def _r(c, n=6):
 # --- text features and quality rules
 
 def quality_features(spark, d):
-    x = F.col("text")
-    return _docs(spark, d).select("doc_id", F.length(x).alias("n_chars"), t.word_count(x).alias("n_words"), _r(t.mean_word_length(x)).alias("mean_word_len"), t.symbol_count(x).alias("n_symbols"), _r(t.symbol_ratio(x)).alias("symbol_ratio"), _r(t.alpha_fraction(x)).alias("alpha_fraction"), _r(t.alnum_fraction(x)).alias("alnum_fraction"), _r(t.duplicate_line_fraction(x)).alias("dup_line_fraction"), _r(t.mean_line_length(x)).alias("mean_line_len"), F.length(t.normalise_space(x)).alias("n_normal"))
+    # White space is normalised once, by a generator of one row, which the optimiser doesn't write into each feature.
+    docs = _docs(spark, d).select("doc_id", "text", F.explode_outer(F.array(t.normalise_space(F.col("text")))).alias("normal"))
+    docs = docs.select("doc_id", "text", F.length("normal").alias("n_normal"), t.count_words(F.col("normal")).alias("n_words"), t.inked(F.col("normal")).alias("inked"), t.symbol_count(F.col("text")).alias("n_symbols"))
+    x, words = F.col("text"), F.nullif(F.col("n_words"), F.lit(0))
+    return docs.select("doc_id", F.length(x).alias("n_chars"), "n_words", _r(F.col("inked") / words).alias("mean_word_len"), "n_symbols", _r(F.col("n_symbols") / words).alias("symbol_ratio"), _r(t.alpha_fraction(x)).alias("alpha_fraction"), _r(t.alnum_fraction(x)).alias("alnum_fraction"), _r(t.duplicate_line_fraction(x)).alias("dup_line_fraction"), _r(t.mean_line_length(x)).alias("mean_line_len"), "n_normal")
 
 
 _FEATURES = f"""
