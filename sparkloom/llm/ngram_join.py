@@ -279,7 +279,8 @@ def _link_blocks(batches: Iterator[pa.RecordBatch], percent: int, exact: bool) -
 def _linked(points: DataFrame, percent: int, exact: bool) -> DataFrame:
     """A table of edges within each area, by verified links or by the bound alone; ``points`` is a table of its sets."""
     link = lambda rows: rows.repartition("area", "x", "y").sortWithinPartitions("area", "x", "y").mapInArrow(partial(_link_blocks, percent=percent, exact=exact), "u long, v long")
-    volume = F.col("n") if exact else F.octet_length("data").cast("long")
+    # A block has a bounded number of rows as well, 512 of sets or 2,048 of vectors.
+    volume = F.greatest("n", F.lit(BLOCK_SHINGLES // 512)) if exact else F.greatest(F.octet_length("data"), F.lit(BLOCK_SHINGLES // 2048)).cast("long")
     sized = points.groupBy("area").agg(F.sum(volume).alias("volume"), F.min("id").alias("hub"), F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"))
     total = points.count()
     dealt = salted_join(points, sized.select("area", "hub", "blocks", F.col("c").alias("n")), ["area"], total, "id")
