@@ -103,10 +103,35 @@ def owner_pairs(signed: DataFrame, n_bands: int, rows: int, id_col: str = "doc_i
     return banded.join(first, ["band", "key"]).where(F.col("owner") != F.col(id_col)).select("owner", id_col).distinct()
 
 
-def verified_pairs(signed: DataFrame, pairs: DataFrame, threshold: float, id_col: str = "doc_id") -> DataFrame:
-    one = signed.select(F.col(id_col).alias("owner"), F.col("sig").alias("x"))
-    both = pairs.join(signed, id_col).join(one, "owner")
-    return both.select("owner", id_col, estimated_jaccard(F.col("x"), F.col("sig")).alias("similarity")).where(F.col("similarity") >= threshold)
+def section_keys(num_perm: int, threshold: float, levels: int = 2) -> list[list[int]]:
+    """Sets of places of which every two signatures of that similarity agree on at least one set.
+
+    With at most m places that differ, one of m + 1 sections agrees throughout; of the places outside it, at most m
+    differ too, so one of m + 1 sections of these agrees as well, and so on for each level."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not in (0, 1]")
+    parts = num_perm - min(c for c in range(num_perm + 1) if c / num_perm >= threshold) + 1
+    found: list[list[int]] = [[]]
+    for _ in range(levels):
+        found = [s + rest.tolist() for s in found for rest in np.array_split([i for i in range(num_perm) if i not in s], parts)]
+    return found
+
+
+def signature_links(signed: DataFrame, num_perm: int, threshold: float, levels: int = 2, id_col: str = "doc_id") -> DataFrame:
+    """``owner, id, similarity``: all links of signatures whose estimated similarity reaches the threshold, none lost.
+
+    Equal signatures are one class, named by its smallest id: a row ties each other member to it with similarity 1, so
+    copies are never expanded into pairs. Between the smallest ids of different classes there is a row for each link.
+    Classes meet by the values of ``section_keys``, as hashes; with two levels and 16 places at 0.8 those that meet
+    agree on seven places. The number of keys is a matter of num_perm and threshold: 16 here, 26 at 128 and one level."""
+    classes = materialize(signed.groupBy("sig").agg(F.min(id_col).alias("owner")))
+    members = signed.join(classes, "sig").where(F.col(id_col) != F.col("owner")).select("owner", id_col, F.lit(1.0).alias("similarity"))
+    keys = [F.xxhash64(F.lit(n), *[F.element_at("sig", i + 1) for i in places]) for n, places in enumerate(section_keys(num_perm, threshold, levels))]
+    keyed = classes.select("owner", "sig", F.explode(F.array(*keys)).alias("key"))
+    other = keyed.select(F.col("owner").alias(id_col), F.col("sig").alias("y"), "key")
+    met = keyed.join(other, "key").where(F.col("owner") < F.col(id_col))
+    links = met.select("owner", id_col, estimated_jaccard(F.col("sig"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
+    return members.unionByName(links)
 
 
 def greedy_duplicates(signed: DataFrame, n_bands: int, rows: int, threshold: float, id_col: str = "doc_id") -> DataFrame:

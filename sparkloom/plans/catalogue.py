@@ -122,8 +122,7 @@ def lsh_candidate_pairs(spark, d):
 
 def near_dup_pairs(spark, d):
     signed = materialize(_signed(spark, d))
-    pairs = dedup.verified_pairs(signed, dedup.owner_pairs(signed, BANDS, ROWS), THRESHOLD)
-    return pairs.withColumn("similarity", _r(F.col("similarity")))
+    return dedup.signature_links(signed, NUM_PERM, THRESHOLD).withColumn("similarity", _r(F.col("similarity")))
 
 
 def greedy_dedup(spark, d):
@@ -146,7 +145,9 @@ arr AS (SELECT doc_id, [{", ".join(f"m{i}" for i in range(NUM_PERM))}] AS sig FR
 band AS (SELECT doc_id, b, sig[b * {ROWS} + 1:b * {ROWS} + {ROWS}] AS key FROM arr, range({BANDS}) r(b)),
 own AS (SELECT b, key, min(doc_id) AS owner FROM band GROUP BY b, key),
 pairs AS (SELECT DISTINCT owner, doc_id FROM band JOIN own USING (b, key) WHERE owner <> doc_id),
-sim AS (SELECT owner, p.doc_id, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {NUM_PERM} AS similarity FROM pairs p JOIN arr x ON x.doc_id = owner JOIN arr y ON y.doc_id = p.doc_id)"""
+classes AS (SELECT sig, min(doc_id) AS owner FROM arr GROUP BY sig),
+sim AS (SELECT x.owner, y.owner AS doc_id, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {NUM_PERM} AS similarity FROM classes x JOIN classes y ON x.owner < y.owner
+UNION ALL SELECT owner, doc_id, 1.0 FROM arr JOIN classes USING (sig) WHERE doc_id <> owner)"""
 
 
 # --- tokens, packing, sequences

@@ -33,6 +33,28 @@ def test_greedy_equals_a_sequential_pass(spark, seed):
     assert {r.doc_id for r in dedup.greedy_duplicates(df, 4, 2, 0.75).collect()} == sequential(signed, 4, 2, 0.75)
 
 
+@pytest.mark.parametrize(("places", "threshold", "levels"), [(8, 0.75, 1), (8, 0.75, 2), (16, 0.8, 2), (8, 1.0, 2)])
+def test_links_equal_all_pairs(spark, places, threshold, levels):
+    rng = random.Random(places)
+    signed = {0: [rng.randrange(3) for _ in range(places)]}
+    for d in range(1, 150):
+        base = signed[rng.choice(list(signed))] if rng.random() < 0.8 else [rng.randrange(3) for _ in range(places)]
+        signed[d] = [x if rng.random() < 0.9 else rng.randrange(3) for x in base]
+    owner = {tuple(s): d for d, s in reversed(signed.items())}
+    want = {(owner[tuple(s)], d, 1.0) for d, s in signed.items() if owner[tuple(s)] != d}
+    agree = {(a, b): np.mean(np.equal(s, t)) for s, a in owner.items() for t, b in owner.items() if a < b}
+    want |= {(a, b, x) for (a, b), x in agree.items() if x >= threshold}
+    df = spark.createDataFrame(list(signed.items()), "doc_id long, sig array<bigint>").repartition(5)
+    got = [tuple(r) for r in dedup.signature_links(df, places, threshold, levels).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert dedup.signature_links(df.limit(0), places, threshold, levels).isEmpty()
+
+
+def test_section_keys_refuse_a_threshold_that_links_all():
+    with pytest.raises(ValueError):
+        dedup.section_keys(16, 0.0)
+
+
 def test_permutations_in_longs(spark):
     rng = random.Random(1)
     xs = [0, 1, (1 << 32) - 1] + [rng.randrange(1 << 32) for _ in range(500)]
