@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..sources.checkpoint import materialize
+from ..sources.checkpoint import drop_table, materialize
 
 PRIME = (1 << 61) - 1
 
@@ -140,7 +140,8 @@ def greedy_duplicates(signed: DataFrame, n_bands: int, rows: int, threshold: flo
 
     Rounds: in each bucket the earliest document not dropped is the owner if it is kept already. A document is dropped
     once a settled owner resembles it, and kept once each of its buckets is its own or has a settled owner that does
-    not. The earliest open document can always be decided, so rounds end; each ends in a table."""
+    not. The earliest open document can always be decided, so rounds end; each ends in a table, which goes
+    with the next round; only the last one stays, for the result."""
     signed = materialize(signed)
     banded = bands(signed, n_bands, rows, id_col).withColumnRenamed(id_col, "d")
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
@@ -156,8 +157,11 @@ def greedy_duplicates(signed: DataFrame, n_bands: int, rows: int, threshold: flo
         clear = (F.col("d") == F.col("owner")) | (F.col("settled") & ~close)
         decided = judged.groupBy("d").agg(F.bool_or(close).alias("dup"), F.bool_and(clear).alias("free"))
         verdict = F.when(F.col("dup"), F.lit(False)).when(F.col("free"), F.lit(True))
-        state = materialize(state.join(decided, "d", "left").select("d", F.coalesce("kept", verdict).alias("kept")))
+        before, state = state, materialize(state.join(decided, "d", "left").select("d", F.coalesce("kept", verdict).alias("kept")))
+        drop_table(before)
         if state.where("kept is null").isEmpty():
+            drop_table(signed)
+            drop_table(entries)
             return state.where(~F.col("kept")).select(F.col("d").alias(id_col))
 
 

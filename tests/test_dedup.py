@@ -1,12 +1,14 @@
 """MinHash against integers of any size, and the greedy resolution against a sequential model."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import dedup
+from sparkloom.sources.checkpoint import shared_folder
 
 
 def sequential(signed, n_bands, rows, threshold):
@@ -30,7 +32,10 @@ def test_greedy_equals_a_sequential_pass(spark, seed):
         base = list(signed[rng.choice(list(signed))]) if signed and rng.random() < 0.7 else [rng.randrange(3) for _ in range(8)]
         signed[d] = [x if rng.random() < 0.8 else rng.randrange(3) for x in base]
     df = spark.createDataFrame(list(signed.items()), "doc_id long, sig array<bigint>")
+    folder = Path(shared_folder(spark))
+    before = set(folder.glob("t-*"))
     assert {r.doc_id for r in dedup.greedy_duplicates(df, 4, 2, 0.75).collect()} == sequential(signed, 4, 2, 0.75)
+    assert len(set(folder.glob("t-*")) - before) == 1  # the result's own table
 
 
 @pytest.mark.parametrize(("places", "threshold", "levels"), [(8, 0.75, 1), (8, 0.75, 2), (16, 0.8, 2), (8, 1.0, 2)])
