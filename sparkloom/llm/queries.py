@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantization, bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, toxicity
+from . import additive_quantization, bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, rank_bpe, toxicity
 from .common import crc32_mod, table
 
 
@@ -63,11 +63,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op11_rank_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rank_bpe.rank_round_trip(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def with_crc32(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing, op11_rank_bpe_round_trip)}
 
 _OP4 = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
