@@ -3,9 +3,10 @@
 The parts of a pre-token form a linked list of places. Every place whose part merges with the next one waits in the bucket
 of that merge's rank. Over the buckets lie three levels of 64-bit words: a bit of the lowest level says that a bucket is
 filled, a bit of a higher one that a word below it is not zero. Find-first-set, once a level, names the lowest rank; its
-leftmost place is merged, and the two pairs that this makes are queued. Places whose parts have changed since are not taken
-out of their buckets: they are skipped when they come up, as their pair no longer has that rank. So n bytes cost n log n
-steps at most (the logarithm keeps a bucket's places in order), where looking for the lowest rank anew costs n squared.
+places are merged from left to right, and the two pairs that each merge makes are queued. Places whose parts have changed
+since are not taken out of their buckets: they are skipped when they come up, as their pair no longer has that rank. So n
+bytes cost n log n steps at most (the logarithm sorts a bucket), where looking for the lowest rank anew costs n squared.
+Many pre-tokens are merged as one list of places with seams that no pair crosses.
 
 Decoding: entries lie in one byte buffer with an offset table; the ids of many texts become bytes by array indexing."""
 
@@ -17,7 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from heapq import heappop, heappush
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,100 +33,129 @@ from .common import spread, text_slices
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Up to here letters and numbers are the same in all versions of Unicode in use.
 _LATIN = 0x24F
+#: Characters of pre-tokens that are merged together.
+BLOCK_LENGTH = 1 << 18
 
 
 class RankQueue:
-    """Places by rank; ``first`` is the lowest rank with a place."""
+    """Places by rank; ``take`` hands out the lowest rank that has places."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.levels: list[list[int]] = []
         while not self.levels or len(self.levels[-1]) > 1:
             ranks = (ranks + 63) >> 6
             self.levels.append([0] * max(ranks, 1))
 
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        for level in self.levels:
-            word = level[rank >> 6]
-            level[rank >> 6] = word | 1 << (rank & 63)
-            if word:
-                return
-            rank >>= 6
-
-    def first(self) -> int:
-        """The lowest rank that has a place, -1 without any."""
+    def push(self, rank: int, places: list[int]) -> None:
+        bucket = self.buckets[rank]
+        if not bucket:
+            for level in self.levels:
+                word = level[at := rank >> 6]
+                level[at] = word | 1 << (rank & 63)
+                if word:
+                    break
+                rank = at
+        bucket += places
+
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest filled rank and its places from left to right, which leave the queue; -1 if nothing waits."""
         if not self.levels[-1][0]:
-            return -1
+            return -1, []
         at = 0
         for level in reversed(self.levels):
             word = level[at]
             at = at << 6 | ((word & -word).bit_length() - 1)
-        return at
-
-    def pop(self, rank: int) -> int:
-        """The leftmost place of a rank that has one."""
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                level[rank >> 6] &= ~(1 << (rank & 63))
-                if level[rank >> 6]:
-                    break
-                rank >>= 6
-        return place
+        rank, places = at, self.buckets[at]
+        self.buckets[rank] = []
+        for level in self.levels:
+            level[at >> 6] &= ~(1 << (at & 63))
+            if level[at >> 6]:
+                break
+            at >>= 6
+        places.sort()
+        return rank, places
 
 
 class RankEncoder:
-    """Merges of one pre-token, the lowest rank first and of equal ranks the leftmost."""
+    """Merges of pre-tokens, the lowest rank first and of equal ranks the leftmost."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        #: Rank of what two neighbouring entries make together.
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        #: Rank of what two neighbouring entries make together, and the same for two bytes.
         self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.byte_pairs = np.array([self.pairs.get(int(a) << 32 | int(b), -1) for a in self.single for b in self.single])
         self.queue = RankQueue(max(ranks.values()) + 1)
 
-    def encode(self, word: bytes) -> list[int]:
-        if not word:
-            return []
-        whole = self.ranks.get(word)
-        if whole is not None:
-            return [whole]
-        ids, pairs, queue = [self.single[b] for b in word], self.pairs, self.queue
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [-1] * n  # the rank under which a place waits, -1 for none: tells stale entries
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
-            if rank is not None:
-                waits[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if waits[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            ids[i], ids[j], after[i], waits[i], waits[j] = rank, -1, k, -1, -1
-            if k < n:
-                before[k] = i
-                new = pairs.get(rank << 32 | ids[k])
-                if new is not None:
-                    waits[i] = new
-                    queue.push(new, i)
-            h = before[i]
-            if h >= 0:
-                new = pairs.get(ids[h] << 32 | rank)
-                waits[h] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, h)
-        return [x for x in ids if x >= 0]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as unsigned 32-bit bytes. All words share one list of places, without a pair across a seam."""
+        found = [self.ranks.get(w) for w in words]
+        open_ = [w for w, r in zip(words, found, strict=True) if r is None and w]
+        merged = iter(self._merge(open_) if open_ else ())
+        return [(next(merged) if w else b"") if r is None else array("I", [r]).tobytes() for w, r in zip(words, found, strict=True)]
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])
+        n = len(data)
+        first = np.append(self.byte_pairs[data[:-1] << 8 | data[1:]], -1)
+        first[ends - 1] = -1
+        queue, pairs, buckets = self.queue, self.pairs, self.queue.buckets
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        ranks, begins = np.unique(first[order], return_index=True)
+        for rank, places in zip(ranks.tolist(), np.split(order, begins[1:]), strict=True) if len(ranks) else ():
+            queue.push(rank, places.tolist())
+        ids, waits = self.single[data].tolist(), first.tolist()  # under which rank a place waits: tells stale entries
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[np.append(0, ends[:-1])] = n, -1
+        after, before = after.tolist(), before.tolist()
+        while True:
+            rank, places = queue.take()
+            if rank < 0:
+                break
+            high = rank << 32
+            for at, i in enumerate(places):
+                if waits[i] != rank:
+                    continue
+                j = after[i]
+                k = after[j]
+                ids[i], ids[j], after[i], waits[i], waits[j] = rank, -1, k, -1, -1
+                lowest = rank
+                if k < n:
+                    before[k] = i
+                    new = pairs.get(high | ids[k])
+                    if new is not None:
+                        waits[i] = new
+                        if bucket := buckets[new]:
+                            bucket.append(i)
+                        else:
+                            queue.push(new, [i])
+                        if new < lowest:
+                            lowest = new
+                h = before[i]
+                if h >= 0:
+                    new = pairs.get(ids[h] << 32 | rank)
+                    if new is None:
+                        waits[h] = -1
+                    else:
+                        waits[h] = new
+                        if bucket := buckets[new]:
+                            bucket.append(h)
+                        else:
+                            queue.push(new, [h])
+                        if new < lowest:
+                            lowest = new
+                if lowest < rank:  # an entry made of later merges that ranks before them
+                    if rest := places[at + 1 :]:
+                        queue.push(rank, rest)
+                    break
+        out = np.array(ids)
+        left = out >= 0
+        stops = (4 * np.cumsum(left)[ends - 1]).tolist()
+        flat = out[left].astype(np.uint32).tobytes()
+        return [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,20 +227,34 @@ class RankCodec:
             self.wide = regex.compile(self._classes(*classes))
         return self.wide.findall(text)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a pre-token as unsigned 32-bit bytes."""
-        known = self.old.get(word)
-        if known is None:
-            known = array("I", self.encoder.encode(word.encode("utf-8"))).tobytes()
-        if len(word) <= CACHE_LENGTH:
-            if len(self.young) >= CACHE_PIECES:
-                self.old, self.young = self.young, {}
-            self.young[word] = known
-        return known
-
-    def encode(self, text: str) -> np.ndarray:
-        known = self.young.get
-        return np.frombuffer(b"".join([known(w) or self._word(w) for w in self.words(text)]), dtype=np.uint32)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one behind the other, and where each text's begin (and the end).
+
+        Pre-tokens not seen lately are encoded together, some 256 KB at a time; long ones are forgotten again."""
+        cut = [self.words(t) for t in texts]
+        known = self.young
+        new: set[str] = set()
+        for words in cut:
+            new.update(filterfalse(known.__contains__, words))
+        for word in [w for w in new if w in self.old]:
+            known[word] = self.old[word]
+            new.remove(word)
+        block: list[str] = []
+        size = 0
+        for word in chain(new, (None,)):
+            if word is not None:
+                block.append(word)
+                size += len(word)
+            if word is None or size >= BLOCK_LENGTH:
+                known.update(zip(block, self.encoder.encode([w.encode("utf-8") for w in block]), strict=True))
+                block, size = [], 0
+        flat = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in new:
+            if len(word) > CACHE_LENGTH:
+                del known[word]
+        if len(known) >= CACHE_PIECES:
+            self.old, self.young = known, {}
+        return np.frombuffer(b"".join(flat), dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) >> 2 for x in flat])]).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of a sequence of ids, and where those of each id begin (and the end)."""
@@ -241,10 +285,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str | No
     coder = codec(ranks, pattern)
     for batch in batches:
         for a, b in text_slices(batch.column(1), 1 << 22):
-            found = [coder.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(ids.view(np.int32))), _decoded(coder, ids, ends)], names=["id", "ids", "decoded"])
+            ids, ends = coder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids.view(np.int32))), _decoded(coder, ids, ends)], names=["id", "ids", "decoded"])
 
 
 def rank_round_trip(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
