@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantization, bpe, chat_format, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, rank_bpe, toxicity
+from . import additive_quantization, bpe, chat_format, code_compression, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, rank_bpe, toxicity
 from .common import crc32_mod, table
 
 
@@ -69,11 +69,17 @@ def op11_rank_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = code_compression.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    out = code_compression.with_label_error(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(code_compression.codebook_digest(books)).alias("codebooks_sha256"))
+
+
 def with_crc32(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing, op11_rank_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing, op11_rank_bpe_round_trip, op13_code_compression)}
 
 _OP4 = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -104,4 +110,28 @@ reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN l
 parts AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, least(coalesce(low, doc_id), doc_id) AS component_id FROM sets LEFT JOIN parts ON parts.a = doc_id"""
 
-ORACLE_SQL = {"op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4, "op5_embedding_dedup": _OP5, "op6_ngram_join": _OP6}
+def _nearest_sql(n: int) -> str:
+    """Each part with its nearest entry of the codebooks b{n}, ties to the lower one."""
+    return f"""n{n} AS MATERIALIZED (SELECT a.row, a.p, arg_min(b.k, (f, b.k)) AS k, min(f) AS far FROM parts a JOIN b{n} b USING (p),
+  LATERAL (SELECT list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS f) GROUP BY a.row, a.p)"""
+
+
+def _moved_sql(n: int) -> str:
+    """The codebooks after round n: floors of means, unused entries as before."""
+    return f"""s{n} AS (SELECT p, k, i, sum(x)::BIGINT AS s, count(*) AS c FROM (SELECT p, k, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM parts JOIN n{n} USING (row, p)) GROUP BY p, k, i),
+m{n} AS (SELECT p, k, list((s - ((s % c) + c) % c) // c ORDER BY i) AS x FROM s{n} GROUP BY p, k),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m USING (p, k))"""
+
+
+# All parts with all entries, two rounds and the last assignment; vectors of one length that 16 divides.
+_OP13 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS x FROM kept, range(16) r(p)),
+b0 AS MATERIALIZED (SELECT p, row - 1 AS k, x FROM parts WHERE row <= 64),
+{_nearest_sql(0)}, {_moved_sql(0)}, {_nearest_sql(1)}, {_moved_sql(1)}, {_nearest_sql(2)},
+e AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM n2 GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN kept USING (row), h"""
+
+ORACLE_SQL = {"op13_code_compression": _OP13, "op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4, "op5_embedding_dedup": _OP5, "op6_ngram_join": _OP6}
