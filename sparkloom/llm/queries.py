@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quantization, bpe, chat_format, code_compression, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, rank_bpe, toxicity
+from . import additive_quantization, bpe, chat_format, code_compression, conversation_repair, embedding_dedup, language_id, license_scan, ngram_join, packing, quality, rank_bpe, toxicity
 from .common import crc32_mod, table
 
 
@@ -69,6 +69,10 @@ def op11_rank_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_all(table(spark, sf_dir, "conversations"))
+
+
 def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = code_compression.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
     out = code_compression.with_label_error(coded)
@@ -79,7 +83,7 @@ def with_crc32(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing, op11_rank_bpe_round_trip, op13_code_compression)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_license_scan, op3_bpe_round_trip, op4_chat_format, op5_embedding_dedup, op6_ngram_join, op7_language_id, op8_toxicity, op9_quality, op10_packing, op11_rank_bpe_round_trip, op12_conversation_repair, op13_code_compression)}
 
 _OP4 = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -134,4 +138,41 @@ e AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(far)
 h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN kept USING (row), h"""
 
-ORACLE_SQL = {"op13_code_compression": _OP13, "op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4, "op5_embedding_dedup": _OP5, "op6_ngram_join": _OP6}
+def _edits_sql() -> str:
+    """Best lists of edits from row i on, out of each state, from the best ones behind it (r0 to r3: cost, audit, text)."""
+    due, to = ("user", "user", "assistant", "user"), (2, 2, 3, 2)
+    kept = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    edit = lambda cost, letter, said, q: f"{{'c': {cost} + r{q}.c, 'a': '{letter}' || r{q}.a, 'o': {said} || r{q}.o}}"
+    base = []
+    for q in range(4):
+        keep = " ".join(f"WHEN initial = '{k}' THEN {edit('late', 'K', 'role || chr(58) || text || chr(10)', n)}" for k, n in kept[q].items())
+        stay = f"CASE WHEN must_go THEN NULL {keep} END"
+        again = f"CASE WHEN NOT must_go THEN {edit('2 + late', 'R', f"'{due[q]}:' || text || chr(10)", to[q])} END"
+        base.append(f"list_min(list_filter([{edit('3', 'D', "''", q)}, {stay}, {again}], lambda x: x IS NOT NULL)) AS b{q}")
+    put = lambda q, x: f"{{'c': 2 + {x}.c, 'a': 'I' || {x}.a, 'o': '{due[q]}:' || chr(10) || {x}.o}}"
+    once = ", ".join(f"list_min([b{q}, {put(q, f'b{to[q]}')}]) AS d{q}" for q in range(4))
+    twice = ", ".join(f"list_min([d{q}, {put(q, f'd{to[q]}')}]) AS r{q}" for q in range(4))
+    return f"SELECT g, n, i - 1 AS i, {twice} FROM (SELECT *, {once} FROM (SELECT best.g, best.n, best.i, {', '.join(base)} FROM best JOIN f ON f.g = best.g AND f.i = best.i - 1 ))"
+
+
+# The remainders of all bytes, and the checksum of an ASCII text by them.
+_CRC_TABLE = "SELECT list(list_reduce(list_prepend(t::UBIGINT, list_transform(range(8), lambda z: 0::UBIGINT)), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) ORDER BY t) AS of_byte FROM range(256) r(t)"
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda x: unicode(x)::UBIGINT)), lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)"
+
+_OP12 = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+t AS ({_CRC_TABLE}),
+h AS MATERIALIZED (SELECT c.*, {_CRC} % 20 AS hit FROM c, t),
+d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, range(2) r(k) WHERE hit <> 0 AND (k = 0 OR hit = 3)),
+o AS (SELECT *, coalesce(conv_id::VARCHAR, '') AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+e AS (SELECT *, left(role, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final_, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+f AS MATERIALIZED (SELECT *, CASE WHEN final_ = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN final_ NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, fault IN ('blank', 'duplicate') AS must_go, (fault = 'truncated')::BIGINT AS late,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM e),
+best AS (SELECT g, n, n + 1 AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS r0, {{'c': 4::BIGINT, 'a': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS r1, {{'c': 2::BIGINT, 'a': 'I', 'o': 'assistant:' || chr(10)}} AS r2, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS r3 FROM (SELECT g, count(*) AS n FROM f GROUP BY g)
+  UNION ALL {_edits_sql()}),
+s AS (SELECT conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id, g)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(r0.c, 0) AS cost, coalesce(r0.a, '') AS audit, sha256(coalesce(r0.o[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.g = s.g AND best.i = 1"""
+
+ORACLE_SQL = {"op12_conversation_repair": _OP12, "op13_code_compression": _OP13, "op2_license_scan": license_scan.scan_sql(), "op4_chat_format": _OP4, "op5_embedding_dedup": _OP5, "op6_ngram_join": _OP6}
