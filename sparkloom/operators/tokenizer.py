@@ -1,4 +1,4 @@
-"""Byte-level BPE: word counting in Spark, merges on the driver over the distinct words, encoding by Arrow UDFs."""
+"""Byte-level BPE: words are counted and merges found in Spark, texts are encoded by Arrow UDFs or by a dictionary table."""
 
 from __future__ import annotations
 
@@ -6,14 +6,23 @@ import heapq
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import filterfalse
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoint import drop_table, materialize
+from . import bpe_training
+
 # Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bounds of what a tokenizer remembers: words, and characters of a word; longer words than LONG bytes are merged by heap.
+CACHE_WORDS, CACHE_LENGTH, LONG = 400_000, 64, 1024
+#: A pre-token with more than 1 / HOT_SHARE of all occurrences is joined by SALTS keys.
+HOT_SHARE, SALTS = 1024, 64
 
 
 def pretoken_counts(docs: DataFrame) -> DataFrame:
@@ -32,7 +41,7 @@ class Tokenizer:
             self.pieces.append(self.pieces[a] + self.pieces[b])
         self.rank = {m: i for i, m in enumerate(self.merges)}
         self.base = base
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.pattern = regex.compile(PRETOKEN)
 
     @property
@@ -70,14 +79,26 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.pattern.findall(text):
-            ids = self.cache.get(word)
-            if ids is None:
-                if len(self.cache) > 200_000:
-                    self.cache.clear()
-                ids = self.cache[word] = self._word(word)
-            out += ids
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text: the words that no text before had are merged all at once, then put together by place."""
+        cut = [self.pattern.findall(t) for t in texts]
+        new: set[str] = set()
+        for words in cut:
+            new.update(filterfalse(self.cache.__contains__, words))
+        data = {w: w.encode("utf-8") for w in new}
+        short = [w for w in new if len(data[w]) <= LONG]
+        for word, ids in zip(short, bpe_training.encode_words([data[w] for w in short], self.merges, self.base), strict=True):
+            self.cache[word] = ids.astype(np.int32).tobytes()
+        for word in new.difference(short):
+            self.cache[word] = np.array(self._word(word), dtype=np.int32).tobytes()
+        out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype=np.int32) for words in cut]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        for word in new:
+            if len(word) > CACHE_LENGTH:
+                self.cache.pop(word, None)
         return out
 
     def decode(self, ids) -> str:
@@ -138,36 +159,60 @@ def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple
     return merges
 
 
-def train_tokenizer(docs: DataFrame, vocab_size: int = 32_000, special: tuple[str, ...] = ("<|endoftext|>",), sample_docs: int | None = None, order_col: str = "ord", max_pretokens: int | None = None) -> Tokenizer:
-    """From the first ``sample_docs`` documents in order (all if none is given).
+def first_documents(docs: DataFrame, n: int, order_col: str) -> DataFrame:
+    """The first ``n`` documents in order (with those of an equal last place): order numbers alone are sorted for it."""
+    last = docs.select(order_col).where(F.col(order_col).isNotNull()).orderBy(order_col).limit(n).agg(F.max(order_col)).first()[0]
+    return docs.where(F.col(order_col) <= last)
+
 
-    The driver merges over the distinct pre-tokens of all these documents. Where these are too many for it,
-    ``max_pretokens`` keeps the most frequent ones; rarer ones then have no say in the merges."""
-    if sample_docs:
-        docs = docs.orderBy(order_col).limit(sample_docs)
-    counts = pretoken_counts(docs)
-    top = counts.orderBy(F.desc("n"), "pretoken").limit(max_pretokens) if max_pretokens else counts
-    found = top.toArrow()
-    return Tokenizer(train_merges(dict(zip(found["pretoken"].to_pylist(), found["n"].to_pylist(), strict=True)), vocab_size - 256 - len(special), len(special)), list(special))
+def train_tokenizer(docs: DataFrame, vocab_size: int = 32_000, special: tuple[str, ...] = ("<|endoftext|>",), sample_docs: int | None = None, order_col: str = "ord") -> Tokenizer:
+    """From the first ``sample_docs`` documents in order (all if none is given); the driver gets merges alone."""
+    counts = materialize(pretoken_counts(first_documents(docs, sample_docs, order_col) if sample_docs else docs))
+    merges = bpe_training.train(counts, vocab_size - 256 - len(special), len(special))
+    drop_table(counts)
+    return Tokenizer([m[:2] for m in merges], list(special))
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """Without a shuffle: each Arrow batch encodes the words it is first to see."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # the vocabulary
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda x: shared.value.encode(x or ""))
+            yield pd.Series(shared.value.encode_all(texts.fillna("").tolist()), dtype=object)
 
     return docs.withColumn(out_col, encode(text_col))
 
 
+def word_dictionary(counts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``pretoken, n, ids`` of a table of pre-tokens: each one encoded once, wherever and however often it occurs."""
+    return bpe_training.dictionary(counts, tokenizer.merges, tokenizer.base)
+
+
+def encode_by_dictionary(docs: DataFrame, words: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, ids`` of every document, whose ids are unique, by joining its pre-tokens with the table ``words``.
+
+    Null and empty texts have no ids. Neither side has a bound, so they are merge-joined; pre-tokens as frequent as " the"
+    are spread over tasks by a hash of the document. The list of these has less than HOT_SHARE entries."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot = F.broadcast(words.where(is_hot).select("pretoken", F.lit(True).alias("hot")))
+    cut = docs.select(id_col, F.posexplode_outer(F.regexp_extract_all("text", F.lit(PRETOKEN), F.lit(0))).alias("pos", "pretoken"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    tokens = cut.join(hot, "pretoken", "left").withColumn("salt", salt).drop("hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = words.select("pretoken", "ids", F.explode(salts).alias("salt")).hint("merge")
+    placed = tokens.join(dealt, ["pretoken", "salt"], "left").groupBy(id_col).agg(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))).alias("parts"))
+    return placed.select(id_col, F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
+
+
 def decode_documents(rows: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for ids in batches:
-            yield ids.map(lambda x: shared.value.decode(x))
+            yield pd.Series([shared.value.decode(x) for x in ids])
 
     return rows.withColumn(out_col, decode(ids_col))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rewards, sequences, training
 from ..functions import text as t
-from ..operators import dedup, filters, packing, rollouts, tasks, tokenizer
+from ..operators import bpe_training, dedup, filters, packing, rollouts, tasks, tokenizer
 from ..operators import code_exec
 from ..sources import logs, readers, writers
-from ..sources.checkpoint import materialize, shared_folder
+from ..sources.checkpoint import drop_table, materialize, shared_folder
 
 WS, LB = t.WS, t.LB
 NUM_PERM, BANDS, ROWS, K, THRESHOLD = 16, 8, 2, 5, 0.8
@@ -156,6 +156,21 @@ def pretoken_counts(spark, d):
     return tokenizer.pretoken_counts(_docs(spark, d))
 
 
+def bpe_merges(spark, d):
+    """The first 16 merges of all documents' words, with the count that each pair had when its turn came."""
+    counts = materialize(tokenizer.pretoken_counts(_docs(spark, d)))
+    merges = bpe_training.train(counts, 16, 0)
+    drop_table(counts)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, left_id int, right_id int, n long")
+
+
+def bpe_words(spark, d):
+    """The dictionary of all documents' words: how often each occurs and how many tokens 16 merges leave of it."""
+    counts = materialize(tokenizer.pretoken_counts(_docs(spark, d)))
+    words = bpe_training.dictionary(counts, [m[:2] for m in bpe_training.train(counts, 16, 0)], 0)
+    return words.select("pretoken", "n", F.size("ids").alias("n_tokens"))
+
+
 def bpe_encode_stats(spark, d):
     """Ids and lossless decoding of every document with a vocabulary learned on all of them."""
     docs = _docs(spark, d)
@@ -164,6 +179,16 @@ def bpe_encode_stats(spark, d):
     return out.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
+def _merges_sql(n):
+    """n rounds over words spelled as <id><id>...: the most frequent pair (ties to the smaller), then all words without it."""
+    words = r"SELECT pretoken, n, list_aggregate(list_transform(range(1, octet_length(encode(pretoken)) + 1), lambda i: '<' || ('0x' || substr(hex(encode(pretoken)), 2 * i - 1, 2))::INT || '>'), 'string_agg', '') AS w FROM pretokens"
+    out = [f"w0 AS MATERIALIZED ({words})"]
+    for i in range(n):
+        out.append(f"p{i} AS MATERIALIZED (SELECT l AS left_id, r AS right_id, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_zip(t[:-2], t[2:])) AS z, z[1]::INT AS l, z[2]::INT AS r FROM (SELECT n, string_split(w[2:-2], '><') AS t FROM w{i})) GROUP BY ALL ORDER BY n DESC, l, r LIMIT 1)")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT w{i}.pretoken, w{i}.n, replace(w, '<' || left_id || '><' || right_id || '>', '<{256 + i}>') AS w FROM w{i}, p{i})")
+    return ",\n".join(out)
+
+
 def pack_offsets(spark, d):
     rows = _docs(spark, d).select("doc_id", (F.length("text") + 1).cast("long").alias("n_tokens"), F.when(F.col("doc_id") % 20 == 0, "val").otherwise("train").alias("split"))
     return packing.stream_offsets(rows, "doc_id", "n_tokens", "split")
@@ -440,10 +465,12 @@ def unicode_numbers(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", rewards.to_number(F.concat(F.lit("about "), shown, F.lit(" in all"))).alias("number"))
 
 
-_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events, end_tokens, mixture, token_shards, token_crops, clean_round_trip, packed_round_trip, supervised_pairs, reinforcement_prompts, solved_questions, batch_sizes, rollout_rows, evaluation_loss, token_log_prob, code_pass_rate, unicode_numbers)
+_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_merges, bpe_words, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events, end_tokens, mixture, token_shards, token_crops, clean_round_trip, packed_round_trip, supervised_pairs, reinforcement_prompts, solved_questions, batch_sizes, rollout_rows, evaluation_loss, token_log_prob, code_pass_rate, unicode_numbers)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _NORMAL = f"SELECT *, array_to_string(regexp_extract_all(text, '[^{WS}]+'), ' ') AS p FROM documents"
+# White space before a word parts at its last character; a mark stands there, as this engine's patterns look at nothing ahead.
+_PRETOKENS = r"SELECT replace(pretoken, chr(1), '') AS pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '(\s)(\S)', chr(1) || '\1\2', 'g'), '\x01?''(?:s|t|re|ve|m|ll|d)|\x01? ?\p{L}+|\x01? ?\p{N}+|\x01? ?[^\s\p{L}\p{N}\x01]+|\x01?\s+')) AS pretoken FROM documents) GROUP BY 1"
 ORACLE_SQL = {
     "quality_features": f"{_FEATURES} SELECT doc_id, n_chars, n_words, round(mean_word_len, 6) AS mean_word_len, n_symbols, round(symbol_ratio, 6) AS symbol_ratio, round(alpha_fraction, 6) AS alpha_fraction, round(alnum_fraction, 6) AS alnum_fraction, round(dup_line_fraction, 6) AS dup_line_fraction, round(mean_line_len, 6) AS mean_line_len, n_normal FROM q",
     "prose_reason_hist": f"{_FEATURES} SELECT prose AS reason, count(*) AS n FROM q WHERE prose IS NOT NULL GROUP BY prose",
@@ -459,8 +486,9 @@ ORACLE_SQL = {
     "minhash_signatures": f"WITH {_SIGNED} SELECT * FROM sig",
     "lsh_candidate_pairs": f"WITH {_SIGNED} SELECT owner, doc_id FROM pairs",
     "near_dup_pairs": f"WITH {_SIGNED} SELECT owner, doc_id, round(similarity, 6) AS similarity FROM sim WHERE similarity >= {THRESHOLD}",
-    # White space before a word parts at its last character; a mark stands there, as this engine's patterns look at nothing ahead.
-    "pretoken_counts": r"SELECT replace(pretoken, chr(1), '') AS pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '(\s)(\S)', chr(1) || '\1\2', 'g'), '\x01?''(?:s|t|re|ve|m|ll|d)|\x01? ?\p{L}+|\x01? ?\p{N}+|\x01? ?[^\s\p{L}\p{N}\x01]+|\x01?\s+')) AS pretoken FROM documents) GROUP BY 1",
+    "pretoken_counts": _PRETOKENS,
+    "bpe_words": f"WITH pretokens AS ({_PRETOKENS}), {_merges_sql(16)} SELECT pretoken, n, len(w) - len(replace(w, '<', '')) AS n_tokens FROM w16",
+    "bpe_merges": f"WITH pretokens AS ({_PRETOKENS}), {_merges_sql(16)} " + " UNION ALL ".join(f"SELECT {i}::INT AS rank, left_id, right_id, n FROM p{i}" for i in range(16)),
     "pack_offsets": "SELECT doc_id, n_tokens, split, coalesce(sum(n_tokens) OVER (PARTITION BY split ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM (SELECT doc_id, length(text) + 1 AS n_tokens, CASE WHEN doc_id % 20 = 0 THEN 'val' ELSE 'train' END AS split FROM documents)",
     "pack_manifest": "SELECT 'uint16' AS dtype, 0 AS eot_id, 32000 AS vocab_size, count(*) AS n_docs, coalesce(sum(length(text) + 1) FILTER (doc_id % 20 <> 0), 0)::BIGINT AS train_tokens, coalesce(sum(length(text) + 1) FILTER (doc_id % 20 = 0), 0)::BIGINT AS val_tokens FROM documents",
     "split_hash": "SELECT CASE WHEN ('0x' || substr(md5('3:' || doc_id), 1, 8))::BIGINT % 1000000 < 50000 THEN 'val' ELSE 'train' END AS split, count(*) AS n_docs, sum(length(text))::BIGINT AS tokens FROM documents GROUP BY 1",

@@ -24,9 +24,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of ours, by Hadoop's file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_table(df: DataFrame) -> None:
-    """Delete a table of ``materialize``, by Hadoop's file system, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
+    """Delete a table of ``materialize`` once nothing reads it any more."""
     for file in df.inputFiles()[:1]:
-        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, file.rsplit("/", 1)[0])
