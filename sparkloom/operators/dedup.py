@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.settings import warn_of_unknown
 from ..sources.checkpoint import drop_table, materialize
 
 PRIME = (1 << 61) - 1
@@ -178,16 +179,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.join(firsts, id_col, "left_semi")
 
 
+#: Keys of the configuration's part on dedup; ``hash`` and ``seed`` are this engine's own.
+DEDUP_KEYS = ("enabled", "method", "num_perm", "jaccard_threshold", "shingle_size", "hash", "seed")
+
+
+def keep_all(docs: DataFrame) -> DataFrame:
+    return docs
+
+
 def build_deduper(config: dict | None) -> Callable[[DataFrame], DataFrame]:
-    """From a configuration: none, exact or minhash; another name is an error."""
-    config = config or {"method": "none"}
-    method = config.get("method", "minhash") if config.get("enabled", True) else "none"
+    """From a configuration: none, exact or minhash; another name is an error, another key is warned of."""
+    config = warn_of_unknown("dedup", config, DEDUP_KEYS)
+    method = config.get("method", "minhash") if config and config.get("enabled", True) else "none"
     if method == "none":
-        return lambda docs: docs
+        return keep_all
     if method == "exact":
         return lambda docs: exact_dedup(docs, "ord")
     if method == "minhash":
-        return lambda docs: minhash_dedup(docs, config.get("num_perm", 128), config.get("threshold", 0.8), config.get("shingle_size", 5), hash=config.get("hash", "blake2b"), id_col="ord")
+        return lambda docs: minhash_dedup(docs, config.get("num_perm", 128), config.get("jaccard_threshold", 0.8), config.get("shingle_size", 5), config.get("seed", 1), config.get("hash", "blake2b"), "ord")
     raise ValueError(f"unknown dedup method {method!r}")
 
 

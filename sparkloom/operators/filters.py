@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -93,6 +94,24 @@ def reason_histogram(marked: DataFrame) -> DataFrame:
     return marked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+# The names of the rules, in the order of the ladders.
+REASONS = ("too_short", "too_long", "no_words", "mean_word_len_low", "mean_word_len_high", "symbol_ratio_high", "alpha_fraction_low", "dup_lines_high", "code_line_len_high", "code_alnum_low")
+
+
+def observed(marked: DataFrame) -> tuple[DataFrame, Callable[[], tuple[dict, dict]]]:
+    """The rows, and what gives ``filter_stats`` and ``reason_histogram`` of them after the first action that reads all."""
+    seen = Observation()
+    out = marked.observe(seen, F.count(F.lit(1)).alias("documents_in"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+
+    def counted() -> tuple[dict, dict]:
+        found = seen.get
+        reasons = {r: found[r] for r in REASONS if found[r]}
+        rejected = sum(reasons.values())
+        return {"documents_in": found["documents_in"], "kept": found["documents_in"] - rejected, "rejected": rejected}, reasons
+
+    return out, counted
+
+
 def filter_stats(marked: DataFrame) -> DataFrame:
     """One row: documents in, kept, rejected; one shuffle of a few counters."""
     return marked.agg(F.count("*").alias("documents_in"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))

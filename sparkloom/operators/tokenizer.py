@@ -21,6 +21,8 @@ from . import bpe_training
 PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a tokenizer remembers: words, and characters of a word; longer words than LONG bytes are merged by heap.
 CACHE_WORDS, CACHE_LENGTH, LONG = 400_000, 64, 1024
+#: Words merged at once, and characters of texts, or ids, that one step works on (one longer text is a step of its own).
+BLOCK_WORDS, SLICE = 16_384, 1 << 20
 #: A pre-token with more than 1 / HOT_SHARE of all occurrences is joined by SALTS keys.
 HOT_SHARE, SALTS = 1024, 64
 
@@ -39,6 +41,8 @@ class Tokenizer:
         self.pieces: list[bytes] = [s.encode() for s in self.special] + [bytes([b]) for b in range(256)]
         for a, b in self.merges:
             self.pieces.append(self.pieces[a] + self.pieces[b])
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in self.pieces])]).astype(np.int64)
+        self.buffer = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
         self.rank = {m: i for i, m in enumerate(self.merges)}
         self.base = base
         self.cache: dict[str, bytes] = {}
@@ -89,8 +93,10 @@ class Tokenizer:
             new.update(filterfalse(self.cache.__contains__, words))
         data = {w: w.encode("utf-8") for w in new}
         short = [w for w in new if len(data[w]) <= LONG]
-        for word, ids in zip(short, bpe_training.encode_words([data[w] for w in short], self.merges, self.base), strict=True):
-            self.cache[word] = ids.astype(np.int32).tobytes()
+        for at in range(0, len(short), BLOCK_WORDS):
+            block = short[at : at + BLOCK_WORDS]
+            for word, ids in zip(block, bpe_training.encode_words([data[w] for w in block], self.merges, self.base), strict=True):
+                self.cache[word] = ids.tobytes()
         for word in new.difference(short):
             self.cache[word] = np.array(self._word(word), dtype=np.int32).tobytes()
         out = [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype=np.int32) for words in cut]
@@ -102,17 +108,35 @@ class Tokenizer:
         return out
 
     def decode(self, ids) -> str:
-        return b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, several: list) -> list[str]:
+        """Texts of many id sequences, by one look into the table of entries' bytes."""
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in several])]).astype(np.int64)
+        ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in several]) if len(several) else np.zeros(0, dtype=np.int64)
+        starts = self.offsets[ids]
+        sizes = self.offsets[ids + 1] - starts
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.buffer[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])].tobytes()
+        cuts = at[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def to_json(self) -> str:
+        return json.dumps({"special": self.special, "merges": self.merges})
+
+    @classmethod
+    def from_json(cls, text: str) -> "Tokenizer":
+        spec = json.loads(text)
+        return cls(spec["merges"], spec["special"])
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"special": self.special, "merges": self.merges}, f)
+            f.write(self.to_json())
 
     @classmethod
     def load(cls, path: str) -> "Tokenizer":
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        return cls(spec["merges"], spec["special"])
+            return cls.from_json(f.read())
 
 
 def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple[int, int]]:
@@ -159,6 +183,16 @@ def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple
     return merges
 
 
+def slices(rows: list) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about SLICE characters or ids."""
+    ends = np.cumsum([len(x) for x in rows])
+    start = 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
+        yield start, stop
+        start = stop
+
+
 def first_documents(docs: DataFrame, n: int, order_col: str) -> DataFrame:
     """The first ``n`` documents in order (with those of an equal last place): order numbers alone are sorted for it."""
     last = docs.select(order_col).where(F.col(order_col).isNotNull()).orderBy(order_col).limit(n).agg(F.max(order_col)).first()[0]
@@ -180,7 +214,8 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "tex
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.encode_all(texts.fillna("").tolist()), dtype=object)
+            rows = [x or "" for x in texts]
+            yield pd.Series([ids for a, b in slices(rows) for ids in shared.value.encode_all(rows[a:b])], dtype=object)
 
     return docs.withColumn(out_col, encode(text_col))
 
@@ -212,7 +247,8 @@ def decode_documents(rows: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids"
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([shared.value.decode(x) for x in ids])
+        for several in batches:
+            rows = [() if x is None else x for x in several]
+            yield pd.Series([text for a, b in slices(rows) for text in shared.value.decode_all(rows[a:b])], dtype=object)
 
     return rows.withColumn(out_col, decode(ids_col))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.settings import warn_of_unknown
+
 SCHEMA = "ord long, text string, source string, kind string, idx long"
 
 @dataclass(frozen=True)
@@ -24,8 +26,17 @@ class SourceSpec:
     options: tuple[tuple[str, str], ...] = ()
 
     @classmethod
-    def from_dict(cls, d: dict) -> "SourceSpec":
+    def from_dict(cls, values: dict) -> "SourceSpec":
+        """From a source's settings. ``hf_path`` names a dataset of a hub: a folder of that path is read, below it
+        ``data_dir`` or ``hf_config`` and the files of ``split`` where they are given."""
+        d = warn_of_unknown("source", values, ("name", "path", "format", "kind", "text_key", "order_key", "max_docs", "weight", "options", "hf_path", "hf_config", "data_dir", "split"))
         known = {k: d[k] for k in ("name", "path", "format", "kind", "text_key", "order_key", "max_docs", "weight") if k in d}
+        if "path" not in known:
+            if "hf_path" not in d:
+                raise ValueError(f"source {d.get('name')!r} has neither path nor hf_path")
+            below = [str(d[k]) for k in ("hf_config", "data_dir") if k in d]
+            files = f"{d['split']}*" if "split" in d else ""
+            known["path"] = "/".join(x for x in (d["hf_path"], *below, files) if x)
         return cls(**known, options=tuple(sorted((d.get("options") or {}).items())))
 
 
@@ -100,6 +111,10 @@ def sample_documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(data, SCHEMA)
 
 
+def read_text_file(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
     """A clean corpus written by ``writers.write_clean``; a missing kind is prose."""
     return spark.read.parquet(path).withColumn("kind", F.coalesce("kind", F.lit("prose")))

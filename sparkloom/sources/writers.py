@@ -20,13 +20,16 @@ def write_json_lines(docs: DataFrame, path: str, compression: str = "gzip") -> N
 
 
 def write_packed(rows: DataFrame, path: str, dtype: str) -> None:
-    """``split, pos, ids`` as binary records in order of position; ``export_binary`` joins them to one file a split."""
+    """``split, pos, ids`` as binary records in order of position; ``export_binary`` joins them to one file a split.
+    Rows with a ``shard`` are in a folder for each of these."""
+    by = ["split", "shard"] if "shard" in rows.columns else ["split"]
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"split": pdf["split"], "pos": pdf["pos"], "data": [np.asarray(x, dtype=dtype).tobytes() for x in pdf["ids"]]})
+            yield pd.DataFrame({**{c: pdf[c] for c in by}, "pos": pdf["pos"], "data": [np.asarray(x, dtype=dtype).tobytes() for x in pdf["ids"]]})
 
-    packed = rows.select("split", "pos", "ids").mapInPandas(encode, "split string, pos long, data binary")
-    packed.repartitionByRange("split", "pos").sortWithinPartitions("split", "pos").write.mode("overwrite").partitionBy("split").parquet(path)
+    packed = rows.select(*by, "pos", "ids").mapInPandas(encode, ("split string, shard long" if len(by) > 1 else "split string") + ", pos long, data binary")
+    packed.repartitionByRange("split", "pos").sortWithinPartitions("split", "pos").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def export_binary(spark: SparkSession, path: str, split: str, file) -> int:
@@ -44,5 +47,14 @@ def read_packed(spark: SparkSession, path: str, split: str, dtype: str) -> DataF
     return spark.read.parquet(path).where(F.col("split") == split).select("pos", "data").mapInPandas(decode, "pos long, ids array<int>")
 
 
+def write_text_file(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, by Hadoop's file system."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
 def report_json(report: dict) -> str:
     return json.dumps(report, indent=2, ensure_ascii=False)
