@@ -20,9 +20,9 @@ from . import bpe_training
 # Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a tokenizer remembers: words, and characters of a word; longer words than LONG bytes are merged by heap.
-CACHE_WORDS, CACHE_LENGTH, LONG = 400_000, 64, 1024
+CACHE_WORDS, CACHE_LENGTH, LONG = 150_000, 64, 1024
 #: Words merged at once, and characters of texts, or ids, that one step works on (one longer text is a step of its own).
-BLOCK_WORDS, SLICE = 16_384, 1 << 20
+BLOCK_WORDS, SLICE = 16_384, 1 << 19
 #: A pre-token with more than 1 / HOT_SHARE of all occurrences is joined by SALTS keys.
 HOT_SHARE, SALTS = 1024, 64
 
