@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from ..sources.checkpoint import delete_path, drop_table, materialize, shared_folder
 
 #: Bytes of pre-tokens of a block, rounds between checkpoints, and bounds of the candidates of a round.
-BLOCK_BYTES, CUT_ROUNDS, FEWEST, MOST = 1 << 20, 24, 64, 4096
+BLOCK_BYTES, CUT_ROUNDS, FEWEST, MOST = 1 << 19, 24, 64, 4096
 _LOW = (1 << 32) - 1
 
 
 class Words(NamedTuple):
-    """A block: tokens of its words one behind the other, the word of each, and how often each word occurs."""
+    """A block: tokens of its words one behind the other (32 bits), the word of each (32 bits), how often each word occurs."""
 
     ids: np.ndarray
     word: np.ndarray
@@ -53,7 +53,7 @@ def summed(pairs: np.ndarray, n: np.ndarray) -> Counts:
 
 def neighbours(ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pair at each place but the last, and whether both of its tokens are of one word."""
-    return ids[:-1] << 32 | ids[1:], word[:-1] == word[1:]
+    return ids[:-1].astype(np.int64) << 32 | ids[1:], word[:-1] == word[1:]
 
 
 def pair_counts(words: Words) -> Counts:
@@ -195,7 +195,7 @@ def word_blocks(counts: DataFrame) -> DataFrame:
 
 def _opened(row, base: int) -> Words:
     lengths, n = (np.frombuffer(bytes(x), dtype=np.int64) for x in (row.lengths, row.n))
-    return Words(np.frombuffer(bytes(row.data), dtype=np.uint8).astype(np.int64) + base, np.repeat(np.arange(len(lengths)), lengths), n)
+    return Words(np.frombuffer(bytes(row.data), dtype=np.uint8).astype(np.int32) + np.int32(base), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), n)
 
 
 def train(counts: DataFrame, n_merges: int, base: int) -> list[tuple[int, int, int]]:

@@ -54,6 +54,8 @@ def test_64_frames_are_64_partitions(spark, tmp_path):
     n, got = values(spark, tmp_path / "in", 1)
     assert n == 64 and got == sorted(data.decode().splitlines())
     assert values(spark, f"{tmp_path}/in/*.zst", 1 << 30) == (1, got)
+    (tmp_path / "none").mkdir()
+    assert values(spark, tmp_path / "none", 1)[1] == []
     new = sorted(map(tuple, frames.read_json_lines_zstd(spark, f"{tmp_path}/in", 1).collect()))
     assert new == sorted(map(tuple, readers.read_json_lines_zstd(spark, f"{tmp_path}/in/a.jsonl.zst").collect())) and len(new) == 640
 
