@@ -206,7 +206,7 @@ def train(counts: DataFrame, n_merges: int, base: int) -> list[tuple[int, int, i
     if n_merges <= 0:
         return []
     spark = counts.sparkSession
-    context, level = spark.sparkContext, StorageLevel.MEMORY_AND_DISK
+    context, level = spark.sparkContext, StorageLevel.DISK_ONLY  # blocks are read once a round, in order
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     counts = counts.where("n > 0 and pretoken <> ''")
