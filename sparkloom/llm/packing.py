@@ -13,7 +13,8 @@ window as long as a power of two is not padded. The cost is padding plus truncat
 
 The program runs over segments of a bounded number of tokens; what the last window of a segment would leave open is
 carried into the next one. The last segment of a range runs to its end, where shorter powers of two are allowed as well.
-Dealing the rows out to ranges is the only shuffle."""
+Dealing the rows out to ranges is the only shuffle of texts. Bounds of ranges are quantiles of the keys whose hash is low,
+so the result is a function of the table: Spark's own range partitioning would draw others for each action."""
 
 from __future__ import annotations
 
@@ -25,13 +26,13 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ALPHABET, tokenizer_path
-from .common import text_slices
+from .common import lowest_hashes, text_slices
 
 LENGTH = 2048
 SEGMENT_TOKENS = 1 << 19
@@ -41,6 +42,8 @@ SHORT = (1024, 512)
 LAST_SHORT = (256, 128, 64, 32, 16, 8, 4, 2, 1)
 PENALTY_SENTENCE, PENALTY_HARD, PENALTY_WINDOW = 2, 64, 1
 LONG_GAP, HARD_STEP = 256, 64
+#: Keys that a range's bound is drawn from, and of all ranges together (24 bytes each on the driver).
+RANGE_SAMPLE, MOST_SAMPLED = 128, 1 << 20
 _RUN = re.compile(r"\s\s")
 
 
@@ -159,9 +162,11 @@ _PIECE = "id long, start long, length long, ids binary, tokens long, sequence lo
 
 
 class _Packer:
-    def __init__(self, length: int):
-        self.length = length
-        self.sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+    """Windows of one range of documents; numbers of sequences start at the range's number times 2^40."""
+
+    def __init__(self, length: int, range_: int):
+        self.length, self.range = length, range_
+        self.sequence = range_ << 40
         self.docs: list[list] = []  # [id, start, ids, tokens of the document, sentence ends]
         self.tokens = 0
 
@@ -201,7 +206,8 @@ class _Packer:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, length: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, packer = byte_codec(tokenizer), _Packer(length)
+    """Pieces of rows of ``range, id, text`` that are sorted by range; a range is never dealt to two tasks."""
+    coder, packer = byte_codec(tokenizer), None
     end = np.array([end_id], dtype=np.uint32)
     names = ["id", "start", "length", "ids", "tokens", "sequence", "place"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
@@ -210,13 +216,17 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, length: int, end_id
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     for batch in batches:
-        for a, b in text_slices(batch.column(1), 1 << 22):
-            for id_, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+        for a, b in text_slices(batch.column(2), 1 << 22):
+            for range_, id_, text in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns[:3]), strict=True):
+                if packer is None or packer.range != range_:
+                    if packer is not None and (rows := packer.flush(True)):
+                        yield batch_of(rows)
+                    packer = _Packer(length, range_)
                 ids = coder.encode(text or "")
                 packer.add(id_, np.concatenate([ids, end]), coder.sentence_ends(ids))
                 if packer.tokens >= SEGMENT_TOKENS and (rows := packer.flush(False)):
                     yield batch_of(rows)
-    if rows := packer.flush(True):
+    if packer is not None and (rows := packer.flush(True)):
         yield batch_of(rows)
 
 
@@ -225,18 +235,59 @@ def partitions_for(size: int) -> int:
     return max(1, math.ceil((size / 1e6) ** (2 / 3)))
 
 
+def range_bounds(keys: DataFrame, rows: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """First keys ``(id, h)`` of all ranges but the first, by a rule on the table alone.
+
+    Keys whose hash is low, RANGE_SAMPLE a range and at most MOST_SAMPLED in all, are counted and sorted; the bounds are
+    their quantiles. Neither the session, the order of the rows nor their partitions have a say in them."""
+    low = lowest_hashes(min(RANGE_SAMPLE * parts, MOST_SAMPLED), rows)
+    sample = keys.where(F.xxhash64(F.lit(13), "id", "h") <= low).groupBy("id", "h").agg(F.count("*").alias("n")).toArrow()
+    ids, hashes, counts = (np.asarray(c.combine_chunks(), dtype=np.int64) for c in (sample["id"], sample["h"], sample["n"]))
+    order = np.lexsort((hashes, ids))
+    before = np.cumsum(counts[order]) - counts[order]
+    at = np.unique(np.searchsorted(before, counts.sum() * np.arange(1, parts) / parts))
+    at = order[at[(at > 0) & (at < len(order))]]
+    return ids[at], hashes[at]
+
+
+def range_of(ids: np.ndarray, hashes: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the sorted bounds are no greater than each key."""
+    low, high = np.searchsorted(bounds[0], ids), np.searchsorted(bounds[0], ids, side="right")
+    out = low.copy()
+    met = np.flatnonzero(high > low)  # keys whose id is that of a bound: the hashes decide
+    for id_ in np.unique(ids[met]):
+        rows = met[ids[met] == id_]
+        a, b = low[rows[0]], high[rows[0]]
+        out[rows] = a + np.searchsorted(bounds[1][a:b], hashes[rows], side="right")
+    return out
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, ``start`` (tokens of the document before it), ``length``, ``ids`` (unsigned
     little-endian 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` in the sequence.
 
-    A document is its ids and then ``end_id``, so a null or empty text is one token. Order is that of the ids (null ids
-    first), then of a hash of the texts; a sequence never spans two ranges, and its id holds the range's number. A
-    sequence that is as long as a power of two needs no padding, any other is to be padded to ``length``. Repeated rows
+    The result is a function of the table: any two actions, sessions, numbers of cores or orders of the rows give the
+    same pieces. A document is its ids and then ``end_id``, so a null or empty text is one token. Order is that of the
+    ids (null ids first, as if they were -2^63), then of a hash of the texts; a sequence never spans two ranges, and its
+    id holds the range's number. A sequence that is as long as a power of two needs no padding, any other is to be padded to ``length``. Repeated rows
     are packed each; an empty table has no pieces. Other columns are not read.
     """
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions_for(wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    wanted = docs.select(id_.alias("id"), text.alias("text"))
+    size, rows = wanted.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    parts = partitions_for(size or 0)
     # The second key spreads an id that many rows have; ties are equal rows.
-    wanted = wanted.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    out = wanted.mapInArrow(partial(_pack, tokenizer=tokenizer, length=length, end_id=end_id), _PIECE)
+    keyed = wanted.select("id", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("h"))
+    if parts > 1:
+        bounds = docs.sparkSession.sparkContext.broadcast(range_bounds(keyed.select(F.col("key").alias("id"), "h"), rows, parts))  # two numbers a range
+
+        @F.pandas_udf("int")
+        def range_number(key: pd.Series, h: pd.Series) -> pd.Series:
+            return pd.Series(range_of(key.to_numpy(), h.to_numpy(), bounds.value).astype(np.int32))
+
+        keyed = keyed.withColumn("range", range_number("key", "h"))
+    else:
+        keyed = keyed.withColumn("range", F.lit(0))
+    dealt = keyed.repartitionById(parts, F.col("range")).sortWithinPartitions("range", "key", "h", "text").select("range", "id", "text")
+    out = dealt.mapInArrow(partial(_pack, tokenizer=tokenizer, length=length, end_id=end_id), _PIECE)
     return out.select(F.col("id").alias(id_col), "start", "length", "ids", F.col("tokens").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))

@@ -22,7 +22,8 @@ def test_documents_that_span_segments(spark, monkeypatch):
     texts = prose(60, 1)
     rows = []
     monkeypatch.setattr(packing, "SEGMENT_TOKENS", 700)
-    table = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.string())], names=["id", "text"])
+    columns = [pa.array([0] * len(texts), pa.int32()), pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.string())]
+    table = pa.RecordBatch.from_arrays(columns, names=["range", "id", "text"])
     for batch in packing._pack(iter([table]), "byte_bpe_50k.json", 256, 1):
         rows += batch.to_pylist()
     for r in rows:
@@ -32,13 +33,31 @@ def test_documents_that_span_segments(spark, monkeypatch):
     assert order == sorted(order) and len({r["sequence_id"] for r in rows}) > 20
 
 
-@pytest.mark.parametrize("cores", [1, 7])
-def test_one_rule_for_any_partitioning(spark, cores):
-    texts = prose(80, 2)
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(cores)
-    got = sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack_documents(docs).collect())
-    again = sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack_documents(docs.coalesce(1)).collect())
-    assert got == again
+def pieces(docs):
+    return sorted((r.doc_id is not None, r.doc_id, r.start, r.length, bytes(r.ids), r.sequence_id, r.offset) for r in packing.pack_documents(docs).collect())
+
+
+def test_one_rule_for_any_partitioning(spark, monkeypatch):
+    """Eleven ranges, some bounds inside one id of many texts: two actions and other files, cores and orders agree."""
+    monkeypatch.setattr(packing, "partitions_for", lambda size: 11)
+    rows = [*prose(500, 2, 60).items(), *[(7, t) for t in prose(160, 3, 60).values()], (None, "no id"), (None, None), (9, "twice"), (9, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    packed = packing.pack_documents(docs)
+    got = pieces(docs)
+    assert len({r[5] >> 40 for r in got}) == 11
+    assert sorted((r.doc_id is not None, r.doc_id, r.start, r.length, bytes(r.ids), r.sequence_id, r.offset) for r in packed.collect()) == got
+    assert len({r.sequence_id >> 40 for r in packed.where("doc_id = 7").collect()}) > 1
+    random.Random(4).shuffle(rows)
+    for other in (docs.coalesce(1), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)):
+        assert pieces(other) == got
+
+
+def test_ranges_are_those_of_the_sorted_keys():
+    rng = np.random.default_rng(5)
+    ids, hashes = rng.integers(-4, 5, 900), rng.integers(-9, 10, 900)
+    keys = sorted(zip(rng.integers(-4, 5, 12).tolist(), rng.integers(-9, 10, 12).tolist()))
+    got = packing.range_of(ids, hashes, (np.array([k for k, _ in keys]), np.array([h for _, h in keys])))
+    assert got.tolist() == [sum(k <= x for k in keys) for x in zip(ids.tolist(), hashes.tolist())]
 
 
 def test_partitions_follow_the_text():
