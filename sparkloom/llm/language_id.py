@@ -5,7 +5,12 @@ of how many occur in each. Kernel ridge regression, one language against the res
 (Nystroem): with K the kernel among landmarks and Z = K(texts, landmarks) K^(-1/2), the weights are those of a ridge
 regression on Z. Texts are scored in batches by two matrix products: presence by landmarks, then landmarks by languages.
 
-N-grams are hashed into ``BUCKETS`` places, so every presence set is a row of bits of a fixed size."""
+N-grams are hashed into ``BUCKETS`` places, so every presence set is a row of bits of a fixed size.
+
+A share of the margin can't say "none of them". Whether a language claims a text at all is told by its nearest landmark:
+the n-grams that both have, less those that texts of their sizes share by chance, over the most that they could share
+less the same. That is 0 for strange texts and near 1 for known ones, whatever their lengths; the bound of a language is
+learned on its training rows, each of which is compared with the landmarks but itself."""
 
 from __future__ import annotations
 
@@ -29,6 +34,10 @@ RIDGE = 1e-2
 #: Sharpness of the score: margins of the regression become shares by a softmax.
 SHARPNESS = 6.0
 UNKNOWN = "und"
+#: A language claims what is as near to a landmark as CLAIM times the CLAIM_QUANTILE of its training rows.
+CLAIM, CLAIM_QUANTILE = 0.85, 0.01
+#: Characters of the pieces whose nearness is averaged, so that long texts don't fill their rows, and pieces at a time.
+PIECE, PIECES = 1024, 1024
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +65,8 @@ def presence(texts: list[str]) -> np.ndarray:
 
 
 class KernelModel:
-    def __init__(self, languages: list[str], landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.landmarks, self.norms, self.weights, self.bias = languages, landmarks, norms, weights, bias
+    def __init__(self, languages: list[str], landmarks: np.ndarray, norms: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounds: np.ndarray):
+        self.languages, self.landmarks, self.norms, self.weights, self.bias, self.bounds = languages, landmarks, norms, weights, bias, bounds
 
     @staticmethod
     def kernel(rows: np.ndarray, landmarks: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -67,6 +76,23 @@ class KernelModel:
     def scores(self, texts: list[str]) -> np.ndarray:
         return self.kernel(presence(texts), self.landmarks, self.norms) @ self.weights + self.bias
 
+    def nearness(self, texts: list[str]) -> np.ndarray:
+        """To the nearest landmark, the mean over the pieces of each text."""
+        pieces = [(i, t[a : a + PIECE]) for i, t in enumerate(texts) for a in range(0, max(len(t), 1), PIECE)]
+        total = np.zeros(len(texts))
+        for a in range(0, len(pieces), PIECES):
+            part = pieces[a : a + PIECES]
+            np.add.at(total, [i for i, _ in part], overlap(presence([t for _, t in part]), self.landmarks).max(axis=1))
+        return total / np.bincount([i for i, _ in pieces], minlength=len(texts))
+
+
+def overlap(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Shared places beyond chance, as a part of the most possible; 0 where rows are too full to tell."""
+    n, m = rows.sum(axis=1, dtype=np.float32)[:, None], landmarks.sum(axis=1, dtype=np.float32)[None, :]
+    most, chance = np.minimum(n, m), n * m / BUCKETS
+    known = most - chance > most / 8
+    return np.where(known, (rows.astype(np.float32) @ landmarks.T - chance) / np.where(known, most - chance, 1), 0)
+
 
 def train(bits: np.ndarray, labels: list[str], landmarks: int | None = None, ridge: float = RIDGE) -> KernelModel | None:
     """``bits`` are presence rows; landmarks are taken in turn from each language."""
@@ -91,7 +117,11 @@ def train(bits: np.ndarray, labels: list[str], landmarks: int | None = None, rid
     level = np.average(targets, axis=0, weights=share)
     centred = z - mean
     w = np.linalg.solve(centred.T @ (centred * share[:, None]) + ridge * len(z) / len(languages) * np.eye(z.shape[1]) * 0.1, centred.T @ ((targets - level) * share[:, None]))
-    return KernelModel(languages, marks, norms, (root @ w).astype(np.float32), (level - mean @ w).astype(np.float32))
+    near = overlap(bits, marks)
+    near[chosen, np.arange(len(chosen))] = 0  # a landmark is not compared with itself
+    near = near.max(axis=1)
+    bounds = np.array([CLAIM * np.quantile(near[x], CLAIM_QUANTILE) for x in by])
+    return KernelModel(languages, marks, norms, (root @ w).astype(np.float32), (level - mean @ w).astype(np.float32), bounds)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +178,20 @@ def _keep(batches: Iterator[pa.RecordBatch], model, least: float, column: int) -
     for batch in batches:
         for a, b in text_slices(batch.column(column).cast(pa.string())):
             part = batch.slice(a, b - a)
-            languages, scores = predict([t or "" for t in part.column(column).cast(pa.string()).to_pylist()], model.value)
-            yield part.filter(pa.array((np.array(languages, dtype=object) != UNKNOWN) & (scores >= least)))
+            texts = [t or "" for t in part.column(column).cast(pa.string()).to_pylist()]
+            languages, scores = predict(texts, model.value)
+            yield part.filter(pa.array(claimed(texts, languages, model.value) & (scores >= least)))
+
+
+def claimed(texts: list[str], languages: list[str], model: KernelModel) -> np.ndarray:
+    """Whether each text is as near to what was learned as its predicted language asks for; ``und`` never is."""
+    bound = {UNKNOWN: np.inf} | dict(zip(model.languages, model.bounds.tolist(), strict=True))
+    return model.nearness(texts) >= np.array([bound[x] for x in languages])
 
 
-def keep(docs: DataFrame, model: KernelModel | None, least: float, text_col: str = "text") -> DataFrame:
-    """Rows in a learned language with at least that score, with all their columns; without a model, all rows."""
+def keep(docs: DataFrame, model: KernelModel | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """Rows that a learned language claims, with at least that score and with all their columns; without a model, all
+    rows. Null and empty texts and texts without a letter go; repeated rows stay or go together."""
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

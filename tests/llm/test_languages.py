@@ -1,5 +1,7 @@
 """Every language is learned; kernel ridge regression against a dense solution."""
 
+import zlib
+
 import numpy as np
 
 from sparkloom.llm import language_id
@@ -55,3 +57,31 @@ def test_nystroem_with_all_rows_is_kernel_ridge_regression(spark):
     dense = kc @ alpha + level
     got = language_id.KernelModel.kernel(bits, model.landmarks, model.norms) @ model.weights + model.bias
     assert np.abs(got - dense).max() < 0.02 and (got.argmax(axis=1) == dense.argmax(axis=1)).all()
+
+
+STRANGE = [
+    "これは日本語の文章です。水は低きに流れ、人は易きに流れる。昔々あるところにおじいさんとおばあさんがいました。",
+    "Это русский текст о погоде и природе. Сегодня утром шёл дождь, а вечером снова вышло солнце.",
+    "这是一段中文文本，讲述的是天气和自然。昨天下雨了，今天太阳出来了。",
+    "Αυτό είναι ένα ελληνικό κείμενο για τον καιρό και τη φύση.",
+    "qwrtz plmk xcvb",
+]
+
+
+def test_no_language_claims_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, learned_rows)
+    rows = [(-i, t, None) for i, t in enumerate([*STRANGE, STRANGE[1] * 200, "", " 12 ", None], 1)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema)).selectExpr("lang AS score", "*", "1 AS lang_pred")
+    out = language_id.keep(more, model)
+    kept = {r.doc_id for r in out.collect()}
+    assert out.columns == more.columns and not any(i < 0 for i in kept)
+    held_out = [r.doc_id for r in docs.where("text is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and any(map(str.isalpha, r.text))]
+    assert len(held_out) > 150 and sum(i not in kept for i in held_out) < len(held_out) / 100
+    known = next(r.text for r in docs.where("lang = 'en' and length(text) > 500").collect())
+    for text in (known * 400, known[:1024] * 3 + STRANGE[1][:40], known[:60]):
+        assert language_id.claimed([text], ["en"], model).all()
+
+
+def learned_rows(column):
+    return language_id.F.crc32(column.cast("string").cast("binary")) % 5 != 0
