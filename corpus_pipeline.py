@@ -13,8 +13,8 @@ from sparkloom.llm import language_id, ngram_join, packing, quality
 from sparkloom.llm.common import crc32_mod, drop_table, materialize, table
 from sparkloom.llm.queries import with_crc32
 
-#: A document goes where its quality is below this, or where no learned language has this share of the margin.
-MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.4
+#: A document goes where its quality is below this.
+MIN_QUALITY = 0.5
 #: Documents are near duplicates from this Jaccard coefficient of their word shingles on; op6's own contract is 3, 90.
 SHINGLE_WORDS, PERCENT = 5, 80
 
@@ -30,9 +30,9 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def filter_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of a learned language; ``und`` goes (null and empty texts, texts without a letter), and so does text that no
-    language claims. Repeated rows stay or go together, null ids are no hindrance. Without any lang all rows stay."""
+    language claims, as it is no nearer to what was learned than chance would have it. Repeated rows stay or go together, null ids are no hindrance. Without any lang all rows stay."""
     model = language_id.fit(docs, lambda i: crc32_mod(i, 5) != 0)
-    return language_id.keep(docs, model, MIN_LANGUAGE)
+    return language_id.keep(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
