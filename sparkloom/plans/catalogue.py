@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rewards, sequences, training
+from ..functions import epochs, rewards, sequences, training
 from ..functions import text as t
 from ..operators import bpe_training, dedup, filters, packing, rollouts, tasks, tokenizer
 from ..operators import code_exec
-from ..sources import logs, readers, writers
+from ..sources import logs, readers, shares, writers
 from ..sources.checkpoint import drop_table, materialize, shared_folder
 
 WS, LB = t.WS, t.LB
@@ -427,6 +427,37 @@ def batch_sizes(spark, d):
     return rows.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
+SHARES = {"en": 5, "fr": 3, "de": 2, "es": 1}
+
+
+def token_shares(spark, d):
+    """Languages as sources, cut to their shares of tokens; code points and an end token stand for tokens."""
+    docs = _t(spark, d, "documents").select("doc_id", "lang", (F.length("text") + 1).cast("long").alias("n_tokens"))
+    return shares.token_shares(docs, SHARES, "n_tokens", "lang", "doc_id", seed=11)
+
+
+EPOCH_SEED, EPOCH, EPOCH_BATCH = 5, 2, 256
+
+
+def seekable_epoch(spark, d):
+    """The place and batch of every event in one epoch, by its row number alone."""
+    rows = packing.stream_offsets(_t(spark, d, "events").select("event_id", F.lit(1).cast("long").alias("one")), "event_id", "one")
+    return epochs.epoch_places(rows, rows.count(), EPOCH_BATCH, EPOCH_SEED, EPOCH, "pos").select("event_id", "place", "batch")
+
+
+def _rounds_sql(rows):
+    """All rounds over rows of i and x; the sides a and b are in z."""
+    def mix(v, k1, k2):
+        v = f"(({v} + {k1}) % {epochs.PRIME})"
+        v = f"(({v} * {v} + {k2}) % {epochs.PRIME})"
+        return f"(({v} * {v} + {k1}) % {epochs.PRIME})"
+
+    out = f"SELECT i, x // b AS l, x % b AS r FROM ({rows}), z"
+    for i, keys in enumerate(epochs.round_keys(EPOCH_SEED, EPOCH)):
+        out = f"SELECT i, (l + {mix('r', *keys)}) % a AS l, r FROM ({out}), z" if i % 2 == 0 else f"SELECT i, l, (r + {mix('l', *keys)}) % b AS r FROM ({out}), z"
+    return f"SELECT i, l * b + r AS x FROM ({out}), z"
+
+
 def rollout_rows(spark, d):
     """Texts as rollouts: padded to the longest of the conversation, shifted by one; the first ten tokens are prompt."""
     rows = _t(spark, d, "conversations").select("conv_id", "turn", t.code_points(F.col("text")).alias("ids"))
@@ -465,7 +496,7 @@ def unicode_numbers(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", rewards.to_number(F.concat(F.lit("about "), shown, F.lit(" in all"))).alias("number"))
 
 
-_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_merges, bpe_words, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events, end_tokens, mixture, token_shards, token_crops, clean_round_trip, packed_round_trip, supervised_pairs, reinforcement_prompts, solved_questions, batch_sizes, rollout_rows, evaluation_loss, token_log_prob, code_pass_rate, unicode_numbers)
+_FUNCTIONS = (quality_features, prose_reason_hist, code_reason_hist, kind_dispatch, filter_stats, kept_documents, source_cap_union, exact_dedup, exact_dedup_stats, shingle_counts, optimal_bands, minhash_signatures, lsh_candidate_pairs, near_dup_pairs, greedy_dedup, greedy_dedup_native, pretoken_counts, bpe_merges, bpe_words, bpe_encode_stats, pack_offsets, pack_manifest, split_hash, pack_blocks, sft_mask, pad_batch, eot_mask, rollout_rewards, eval_accuracy, batch_rewards, code_extract, gsm_split, group_advantage, masked_mean, ppo_terms, arithmetic_tasks, held_out_tasks, lr_schedule, throughput, log_lines, last_user_message, top_k_events, softmax_events, end_tokens, mixture, token_shards, token_crops, clean_round_trip, packed_round_trip, supervised_pairs, reinforcement_prompts, solved_questions, batch_sizes, token_shares, seekable_epoch, rollout_rows, evaluation_loss, token_log_prob, code_pass_rate, unicode_numbers)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _NORMAL = f"SELECT *, array_to_string(regexp_extract_all(text, '[^{WS}]+'), ' ') AS p FROM documents"
@@ -522,6 +553,8 @@ ORACLE_SQL = {
     "reinforcement_prompts": f"SELECT id, 'Solve the problem. Think first, then give the answer.' || chr(10) || 'Question: What is ' || a || ' ' || op || ' ' || b || '?' || chr(10) AS prompt, {_VALUE}::VARCHAR AS gold FROM {_tasks_sql(3000, 5, 999, '+-')}",
     "solved_questions": "SELECT o_orderkey AS id, 'How many ' || o_orderkey || '?' AS question, 'first ' || o_orderkey || ', then more' AS thought, o_orderkey || '000' AS gold FROM orders ORDER BY o_orderkey LIMIT 500",
     "batch_sizes": "WITH e AS (SELECT count(*) AS c FROM events) SELECT range::BIGINT AS batch, least(64, c - 64 * range)::BIGINT AS n, least(64, c - 64 * range)::BIGINT AS n_ids FROM e, range((SELECT (count(*) + 63) // 64 FROM events))",
+    "token_shares": "WITH t AS (SELECT doc_id, lang, length(text) + 1 AS n_tokens, ('0x' || substr(md5('11:' || doc_id), 1, 15))::BIGINT AS k FROM documents), w(lang, w) AS (VALUES " + ", ".join(f"('{s}', {w})" for s, w in SHARES.items()) + "), s AS (SELECT lang, w, sum(n_tokens)::BIGINT AS total FROM t JOIN w USING (lang) GROUP BY lang, w), m AS (SELECT arg_min(total, total / w) AS total, arg_min(w, total / w) AS part FROM s), c AS (SELECT doc_id, lang, n_tokens, sum(n_tokens) OVER (PARTITION BY lang ORDER BY k) AS upto FROM t) SELECT doc_id, lang, n_tokens FROM c JOIN w USING (lang), m WHERE upto <= w * m.total // m.part",
+    "seekable_epoch": f"WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS x FROM events), n AS (SELECT count(*) AS n FROM e), z AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT)::BIGINT AS b FROM n), w AS ({_rounds_sql('SELECT range AS i, range AS x FROM range((SELECT n FROM n))')} UNION ALL {_rounds_sql('SELECT w.i, w.x FROM w, z WHERE w.x >= z.n')}) SELECT event_id, i AS place, i // {EPOCH_BATCH} AS batch FROM w JOIN e USING (x)",
     "rollout_rows": "WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations), l AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS longest FROM c) SELECT conv_id, turn, greatest(longest - 1, 0) AS n, (coalesce(list_sum(ids), 0) - CASE WHEN len(ids) = longest THEN coalesce(ids[-1], 0) ELSE 0 END)::BIGINT AS sum_x, (coalesce(list_sum(ids), 0) - coalesce(ids[1], 0))::BIGINT AS sum_y, greatest(len(ids) - 10, 0)::BIGINT AS n_completion FROM l",
     "evaluation_loss": "SELECT event_type, round(avg(value / 10), 6) AS val_loss, count(*) AS n_batches FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY event_type",
     "token_log_prob": "WITH l AS (SELECT event_id, [value / 10, value / 20, 1.5::DOUBLE, -value] AS x FROM events) SELECT event_id, round(x[event_id % 4 + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 6) + 0.0::DOUBLE AS log_prob FROM l",
