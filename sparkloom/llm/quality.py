@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import buffers, smallest_by_hash, spread, text_slices
+from .common import buffers, drop_table, materialize, smallest_by_hash, spread, text_slices
 
 PASSAGE_BYTES = 512
-#: Bounds of the training sample: labelled documents (those whose id hashes lowest), and passages of all of them
-#: together. Documents count whole, in the order of their hash, for as long as they fit.
-TRAIN_DOCUMENTS, TRAIN_PASSAGES = 6000, 16_384
+#: Bound of the training sample: labelled documents, those whose id hashes lowest. All their passages train, however many.
+TRAIN_DOCUMENTS = 6000
+#: Bags of a chunk of the training table, which the driver reads one after the other, and bytes of chunks that it holds on to.
+CHUNK_BAGS, HELD_BYTES = 1024, 48 << 20
 #: One good training document in so many is damaged in each of the two ways.
 DAMAGED = 6
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 16, 8e-3, 1e-4
@@ -139,88 +140,117 @@ def damage(text: str, way: int, rng: np.random.Generator) -> str:
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> AttentionModel | None:
-    """``bags`` may be of half precision; a step takes 64 of them in single precision."""
-    if not bags:
-        return None
+    """From bags that are all in memory."""
+    return train_chunks(lambda _: (bags, labels), 1, seed)
+
+
+def train_chunks(chunk: Callable[[int], tuple[list[np.ndarray], np.ndarray]], chunks: int, seed: int = 5) -> AttentionModel | None:
+    """``chunk(i)`` gives bags, which may be of half precision, and their labels, the same at each call; a step takes 64 bags
+    of a chunk in single precision. Each epoch takes the chunks, and the bags of each, in another order."""
     rng = np.random.default_rng(seed)
-    size = sum(len(b) for b in bags)
-    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / size
-    square = sum((b.astype(np.float32) ** 2).sum(axis=0, dtype=np.float64) for b in bags) / size
+    size, count, good, mean, square = 0, 0, 0.0, 0.0, 0.0
+    for i in range(chunks):
+        bags, labels = chunk(i)
+        size, count, good = size + sum(map(len, bags)), count + len(bags), good + float(labels.sum())
+        for b in bags:
+            mean = mean + b.sum(axis=0, dtype=np.float64)
+            square = square + (b.astype(np.float32) ** 2).sum(axis=0, dtype=np.float64)
+    if not count:
+        return None
+    mean, square = mean / size, square / size
     scale = 1 / (np.sqrt(np.maximum(square - mean**2, 0)) + 0.05)
     width = len(mean)
     p = {"A": rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), "a": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "w": np.zeros(ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
-    rate = np.clip(labels.mean(), 0.02, 0.98)
+    rate = np.clip(good / count, 0.02, 0.98)
     p["b"][0] = np.log(rate / (1 - rate))
     p = {k: v.astype(np.float32) for k, v in p.items()}
     model = AttentionModel(mean.astype(np.float32), scale.astype(np.float32), p)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step, batch = 0, 64
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), batch):
-            chosen = order[at : at + batch]
-            first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])])
-            x, h, t, g, weight, z, out = model.forward(np.concatenate([bags[i] for i in chosen]).astype(np.float32), first)
-            counts = np.diff(first)
-            dlogit = ((out - labels[chosen]) / len(chosen)).astype(np.float32)
-            dz = dlogit[:, None] * p["c"]
-            dzk = np.repeat(dz, counts, axis=0)
-            dh = weight[:, None] * dzk
-            dweight = (dzk * h).sum(axis=1)
-            de = weight * (dweight - np.repeat(np.add.reduceat(weight * dweight, first[:-1]), counts))
-            dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
-            dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
-            grads = {"A": x.T @ dh, "a": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dlogit, "b": dlogit.sum(keepdims=True)}
-            step += 1
-            lr = RATE * (1 - 0.9 * epoch / EPOCHS)
-            for k, d in grads.items():
-                d = d + DECAY * p[k]
-                m, v = moment[k]
-                m += 0.1 * (d - m)
-                v += 0.001 * (d * d - v)
-                p[k] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        for i in rng.permutation(chunks):
+            bags, labels = chunk(i)
+            order = rng.permutation(len(bags))
+            for at in range(0, len(order), batch):
+                chosen = order[at : at + batch]
+                first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])])
+                x, h, t, g, weight, z, out = model.forward(np.concatenate([bags[i] for i in chosen]).astype(np.float32), first)
+                counts = np.diff(first)
+                dlogit = ((out - labels[chosen]) / len(chosen)).astype(np.float32)
+                dz = dlogit[:, None] * p["c"]
+                dzk = np.repeat(dz, counts, axis=0)
+                dh = weight[:, None] * dzk
+                dweight = (dzk * h).sum(axis=1)
+                de = weight * (dweight - np.repeat(np.add.reduceat(weight * dweight, first[:-1]), counts))
+                dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
+                dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
+                grads = {"A": x.T @ dh, "a": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ dlogit, "b": dlogit.sum(keepdims=True)}
+                step += 1
+                lr = RATE * (1 - 0.9 * epoch / EPOCHS)
+                for k, d in grads.items():
+                    d = d + DECAY * p[k]
+                    m, v = moment[k]
+                    m += 0.1 * (d - m)
+                    v += 0.001 * (d * d - v)
+                    p[k] -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return model
 
 
 def _encode_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bags of (id, text, label), and those of the damaged copies of some good documents."""
+    """Bags of (id, text, label), and those of the damaged copies of some good documents, with a number for each copy."""
     for batch in batches:
         for a, b in text_slices(batch.column(1)):
             ids, texts, labels = (c.slice(a, b - a).to_pylist() for c in batch.columns[:3])
+            ways = [0] * len(ids)
             for i, text, label in list(zip(ids, texts, labels, strict=True)):
                 draw = zlib.crc32(str(i).encode()) // 7 % DAMAGED
                 if label > 0 and text and draw < 2:
                     ids.append(i)
                     texts.append(damage(text, draw, np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))))
                     labels.append(0)
+                    ways.append(1)
             x, first = encode_passages(*buffers(pa.array(texts, pa.string())))
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[f:g].tobytes() for f, g in zip(first, first[1:])], pa.binary()), pa.array(labels, pa.int32())], names=["id", "bag", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[f:g].tobytes() for f, g in zip(first, first[1:])], pa.binary()), pa.array(labels, pa.int32()), pa.array(ways, pa.int32())], names=["id", "bag", "label", "way"])
+
+
+def _read_bags(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    found = rows.select("id", "way", "bag", "label").toArrow().sort_by([("id", "ascending"), ("way", "ascending")])
+    bags = [np.frombuffer(b.as_buffer(), dtype=np.float16).reshape(-1, FEATURES) for b in found["bag"]]  # views of the column
+    return bags, (np.asarray(found["label"]) > 0).astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, train_filter, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
-    """Learn from at most ``TRAIN_DOCUMENTS`` labelled documents, those whose id hashes lowest, of at most
-    ``TRAIN_PASSAGES`` passages together (a third as many more come from damaged copies): that many vectors reach the
-    driver. A document with several labels counts with the largest; of several rows of an id the one of the lowest text
-    hash counts."""
+    """Learn from at most ``TRAIN_DOCUMENTS`` labelled documents, those whose id hashes lowest, and damaged copies of a third
+    as many. Their bags are written as a table in chunks; the driver trains on one chunk at a time and holds on to
+    HELD_BYTES of them, so its memory has a bound but for the longest texts of a chunk, and no passage is left out. A
+    document with several labels counts with the largest; of several rows of an id the one of the lowest text hash."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & train_filter(F.col("id")))
-    chosen = smallest_by_hash(known.groupBy("id").agg(F.max("label").alias("label")), "id", TRAIN_DOCUMENTS, 11)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id")  # TRAIN_DOCUMENTS rows at most, but for repeated ids
-    size = F.greatest(F.ceil(F.octet_length("text") / PASSAGE_BYTES), F.lit(1))
-    one = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(size, F.lit(1)).alias("n"))).alias("m"), F.xxhash64(F.lit(11), F.col("id")).alias("o"))
-    taken, left = [], TRAIN_PASSAGES
-    for r in sorted(one.collect(), key=lambda r: (r["o"], r["id"])):
-        if r["m"]["n"] <= left:
-            taken.append((r["id"], r["m"]["h"]))
-            left -= r["m"]["n"]
-    if not taken:
+    chosen = materialize(smallest_by_hash(known.groupBy("id").agg(F.max("label").alias("label")), "id", TRAIN_DOCUMENTS, 11))
+    chunks = -(-chosen.count() // CHUNK_BAGS)
+    if not chunks:
+        drop_table(chosen)
         return None
-    picked = F.broadcast(docs.sparkSession.createDataFrame(taken, "id long, h long"))
-    sample = rows.withColumn("h", F.xxhash64("text")).join(picked, ["id", "h"]).select("id", "text", "label").dropDuplicates(["id"])
-    found = sorted(sample.mapInArrow(_encode_sample, "id long, bag binary, label int").collect(), key=lambda r: (r["id"], r["label"], bytes(r["bag"])))
-    bags = [np.frombuffer(r["bag"], dtype=np.float16).reshape(-1, FEATURES) for r in found]  # no second copy
-    return train(bags, np.array([float(r["label"] > 0) for r in found]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id")  # TRAIN_DOCUMENTS ids at most
+    one = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    encoded = one.mapInArrow(_encode_sample, "id long, bag binary, label int, way int")
+    dealt = encoded.withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(chunks)).cast("int"))
+    sample = materialize(dealt.repartitionById(chunks, F.col("chunk")))
+    held: dict[int, tuple] = {}
+
+    def chunk(i: int) -> tuple[list[np.ndarray], np.ndarray]:
+        if i in held:
+            return held[i]
+        got = _read_bags(sample.where(F.col("chunk") == int(i)))
+        if sum(b.nbytes for bags, _ in (*held.values(), got) for b in bags) <= HELD_BYTES:
+            held[i] = got
+        return got
+
+    model = train_chunks(chunk, chunks)
+    drop_table(sample)
+    drop_table(chosen)
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

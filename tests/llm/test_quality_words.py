@@ -65,12 +65,24 @@ def test_vectors_do_not_depend_on_the_batch(rows):
         assert np.allclose(whole[first[i] : first[i + 1]], quality.encode_passages(*buffers(pa.array([t], pa.string())))[0], atol=1e-6)
 
 
-def test_all_passages_of_a_document_train_within_the_bound(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(quality, "TRAIN_PASSAGES", 60)
-    monkeypatch.setattr(quality, "train", lambda bags, labels, seed=5: seen.update(bags=bags, labels=labels))
-    docs = spark.createDataFrame([(1, "word " * 3000, "a", 9), (1, "word " * 3000, "a", 9), (2, "x " * 50_000, "b", 9), (3, "tiny", "c", 9), (None, "x", "d", 9)], "doc_id long, text string, id string, label int")
-    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, None), (4, 1), (None, 1)], "doc_id long, quality int")
-    quality.fit(docs, labels, "quality", lambda i: i > 0)
-    assert sorted(len(b) for b in seen["bags"]) == [1, 30]  # whole, once each; the one of 196 passages doesn't fit
+def test_all_passages_of_all_documents_train(spark, monkeypatch):
+    """Whole, once each and whatever the length; chunks that are held and chunks that are read anew train alike."""
+    docs = spark.createDataFrame([(1, "word " * 3000, "a", 9), (1, "word " * 3000, "a", 9), (2, "x " * 50_000, "b", 9), (3, "tiny", "c", 9), (5, None, "d", 9), (None, "x", "d", 9)], "doc_id long, text string, id string, label int")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, None), (4, 1), (5, 0), (None, 1)], "doc_id long, quality int")
+    models, seen, learn = [], [], quality.train_chunks
+
+    def watch(chunk, chunks, seed=5):
+        seen.append([len(b) for i in range(chunks) for b in chunk(i)[0]])
+        models.append(learn(chunk, chunks, seed))
+        return models[-1]
+
+    monkeypatch.setattr(quality, "train_chunks", watch)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    monkeypatch.setattr(quality, "CHUNK_BAGS", 2)
+    for held in (quality.HELD_BYTES, 0):
+        monkeypatch.setattr(quality, "HELD_BYTES", held)
+        quality.fit(docs, labels, "quality", lambda i: i > 0)
+    assert [sorted(x) for x in seen] == [[1, 1, 30, 196]] * 2
+    assert all(np.array_equal(models[0].p[k], models[1].p[k]) for k in models[0].p)
     assert quality.fit(docs, labels.limit(0), "quality", lambda i: i > 0) is None
+    assert quality.fit(docs.where("doc_id = 77"), labels, "quality", lambda i: i > 0) is None
