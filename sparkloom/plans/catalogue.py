@@ -440,9 +440,9 @@ EPOCH_SEED, EPOCH, EPOCH_BATCH = 5, 2, 256
 
 
 def seekable_epoch(spark, d):
-    """The place and batch of every event in one epoch, by its row number alone."""
-    rows = packing.stream_offsets(_t(spark, d, "events").select("event_id", F.lit(1).cast("long").alias("one")), "event_id", "one")
-    return epochs.epoch_places(rows, rows.count(), EPOCH_BATCH, EPOCH_SEED, EPOCH, "pos").select("event_id", "place", "batch")
+    """The place and batch of every document in one epoch, by its row number alone."""
+    rows = packing.stream_offsets(_t(spark, d, "documents").select("doc_id", F.lit(1).cast("long").alias("one")), "doc_id", "one")
+    return epochs.epoch_places(rows, rows.count(), EPOCH_BATCH, EPOCH_SEED, EPOCH, "pos").select("doc_id", "place", "batch")
 
 
 def _rounds_sql(rows):
@@ -554,7 +554,7 @@ ORACLE_SQL = {
     "solved_questions": "SELECT o_orderkey AS id, 'How many ' || o_orderkey || '?' AS question, 'first ' || o_orderkey || ', then more' AS thought, o_orderkey || '000' AS gold FROM orders ORDER BY o_orderkey LIMIT 500",
     "batch_sizes": "WITH e AS (SELECT count(*) AS c FROM events) SELECT range::BIGINT AS batch, least(64, c - 64 * range)::BIGINT AS n, least(64, c - 64 * range)::BIGINT AS n_ids FROM e, range((SELECT (count(*) + 63) // 64 FROM events))",
     "token_shares": "WITH t AS (SELECT doc_id, lang, length(text) + 1 AS n_tokens, ('0x' || substr(md5('11:' || doc_id), 1, 15))::BIGINT AS k FROM documents), w(lang, w) AS (VALUES " + ", ".join(f"('{s}', {w})" for s, w in SHARES.items()) + "), s AS (SELECT lang, w, sum(n_tokens)::BIGINT AS total FROM t JOIN w USING (lang) GROUP BY lang, w), m AS (SELECT arg_min(total, total / w) AS total, arg_min(w, total / w) AS part FROM s), c AS (SELECT doc_id, lang, n_tokens, sum(n_tokens) OVER (PARTITION BY lang ORDER BY k) AS upto FROM t) SELECT doc_id, lang, n_tokens FROM c JOIN w USING (lang), m WHERE upto <= w * m.total // m.part",
-    "seekable_epoch": f"WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS x FROM events), n AS (SELECT count(*) AS n FROM e), z AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT)::BIGINT AS b FROM n), w AS ({_rounds_sql('SELECT range AS i, range AS x FROM range((SELECT n FROM n))')} UNION ALL {_rounds_sql('SELECT w.i, w.x FROM w, z WHERE w.x >= z.n')}) SELECT event_id, i AS place, i // {EPOCH_BATCH} AS batch FROM w JOIN e USING (x)",
+    "seekable_epoch": f"WITH RECURSIVE e AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM documents), n AS (SELECT count(*) AS n FROM e), z AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT)::BIGINT AS b FROM n), w AS ({_rounds_sql('SELECT range AS i, range AS x FROM range((SELECT n FROM n))')} UNION ALL {_rounds_sql('SELECT w.i, w.x FROM w, z WHERE w.x >= z.n')}) SELECT doc_id, i AS place, i // {EPOCH_BATCH} AS batch FROM w JOIN e USING (x)",
     "rollout_rows": "WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations), l AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS longest FROM c) SELECT conv_id, turn, greatest(longest - 1, 0) AS n, (coalesce(list_sum(ids), 0) - CASE WHEN len(ids) = longest THEN coalesce(ids[-1], 0) ELSE 0 END)::BIGINT AS sum_x, (coalesce(list_sum(ids), 0) - coalesce(ids[1], 0))::BIGINT AS sum_y, greatest(len(ids) - 10, 0)::BIGINT AS n_completion FROM l",
     "evaluation_loss": "SELECT event_type, round(avg(value / 10), 6) AS val_loss, count(*) AS n_batches FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY event_type",
     "token_log_prob": "WITH l AS (SELECT event_id, [value / 10, value / 20, 1.5::DOUBLE, -value] AS x FROM events) SELECT event_id, round(x[event_id % 4 + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 6) + 0.0::DOUBLE AS log_prob FROM l",
