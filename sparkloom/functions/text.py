@@ -12,6 +12,23 @@ WS_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0
 _BREAK = r"\x{A}-\x{D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}"
 LB = r"\r\n|[\x{A}-\x{D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 SYMBOLS = r"#|\.\.\.|…"
+# Ranges of code points that are letters (or numbers) in Unicode 15.1 and unknown to Java 17, whose Unicode is 13.
+NEW_LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7D0-A7D1 A7D3 A7D5-A7D9 A7F2-A7F4
+10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 10780-10785 10787-107B0
+107B2-107BA 10F70-10F81 11071-11072 11075 1123F-11240 11740-11746 11AB0-11ABF 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F
+13441-13446 16A70-16ABE 1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D
+1E290-1E2AD 1E4D0-1E4EB 1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF"""
+NEW_NUMBERS = "11F50-11F59 16AC0-16AC9 1D2C0-1D2D3 1E4F0-1E4F9"
+
+
+def _class(ranges: str) -> str:
+    """Java's class of code points from ranges in hexadecimal."""
+    return "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in ranges.split()) + "]"
+
+
+#: Letters, and letters or numbers, by Unicode 15.1. The first new code point guards the ranges, so other texts never try them.
+LETTER = rf"[\p{{L}}[\x{{870}}-\x{{10FFFF}}&&{_class(NEW_LETTERS)}]]"
+LETTER_OR_NUMBER = rf"[\p{{L}}\p{{N}}[\x{{870}}-\x{{10FFFF}}&&{_class(NEW_LETTERS + " " + NEW_NUMBERS)}]]"
 
 
 def let(value: Column, body) -> Column:
@@ -61,12 +78,12 @@ def _share(text: Column, others: str) -> Column:
 
 
 def alpha_fraction(text: Column) -> Column:
-    """Letters among all characters; 0 for the empty text."""
-    return _share(text, r"[^\p{L}]")
+    """Letters of Unicode 15.1 among all characters; 0 for the empty text."""
+    return _share(text, f"[^{LETTER}]")
 
 
 def alnum_fraction(text: Column) -> Column:
-    return _share(text, r"[^\p{L}\p{N}]")
+    return _share(text, f"[^{LETTER_OR_NUMBER}]")
 
 
 def strip(text: Column) -> Column:

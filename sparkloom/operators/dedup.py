@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.settings import warn_of_unknown
 from ..sources.checkpoint import drop_table, materialize
+from .blake2b import signatures_of
 
 PRIME = (1 << 61) - 1
 
@@ -60,29 +60,14 @@ def signatures(docs: DataFrame, num_perm: int = 16, k: int = 5, seed: int = 1, i
     return mins.select(id_col, F.array(*[f"m{i}" for i in range(num_perm)]).alias("sig"))
 
 
-def blake2b_32(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8"), digest_size=4).digest(), "big")
-
-
-def parity_signature(text: str | None, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Signature with BLAKE2b shingle hashes, in blocks of shingles so memory has a bound."""
-    w = (text or "").split()
-    shingles = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({" ".join(w)} if w else set())
-    out = np.full(len(a), PRIME, dtype=np.uint64)
-    hashes = np.fromiter(map(blake2b_32, shingles), dtype=np.uint64, count=len(shingles))
-    for at in range(0, len(hashes), 4096):
-        out = np.minimum(out, ((hashes[at : at + 4096, None] * a + b) % np.uint64(PRIME)).min(axis=0))
-    return out
-
-
 def signatures_blake2b(docs: DataFrame, num_perm: int = 128, k: int = 5, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """Signatures as other tools of this kind compute them; Spark has no BLAKE2b, so this is an Arrow UDF."""
+    """Signatures as other tools of this kind compute them; Spark has no BLAKE2b, so Arrow batches are hashed in NumPy."""
     coefficients = permutations(num_perm, seed)
 
     @F.pandas_udf("array<bigint>")
     def sign(texts: pd.Series) -> pd.Series:
         a, b = (np.array(x, dtype=np.uint64) for x in coefficients)
-        return texts.map(lambda x: parity_signature(x, k, a, b).astype(np.int64))
+        return pd.Series(list(signatures_of(texts, k, a, b).astype(np.int64)))
 
     return docs.select(id_col, sign("text").alias("sig"))
 
