@@ -1,7 +1,7 @@
 """Chat formatting from heterogeneous layouts, in DataFrame functions only.
 
-The layout of a record is told by a fingerprint: the hash of its sorted nested field paths. A table of declarative
-mappings, keyed by fingerprint, says where the turns are; unknown fingerprints, as of records with further fields, fall
+The layout of a record is told by a fingerprint: the hash of its sorted nested field paths, which lead through objects and
+arrays of any depth to the leaves. A table of declarative mappings, keyed by fingerprint, says where the turns are; unknown fingerprints, as of records with further fields, fall
 back to the mapping with the most required paths that are all there. A record that no mapping fits has no turns and is
 told by ``layouts_json``. All layouts become rows (conversation, turn, role, text), and those one formatted text each:
 
@@ -12,7 +12,7 @@ The loss mask is a list of byte spans, one for each assistant text, so that it i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +25,32 @@ ASSISTANT = "assistant"
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where the turns of one layout are: ``turns`` is an array field with role and text fields, or ``fixed`` lists
-    (role, path) in order; ``rows`` says that a record is one turn."""
+    """Where the turns of one layout are: ``turns`` are array fields, one behind the other, with role and text fields, the
+    text being one value or a list of parts; or ``fixed`` lists (role, path) in order; ``rows`` says that a record is one
+    turn."""
 
     name: str
     paths: tuple[str, ...]
-    turns: str | None = None
+    turns: tuple[str, ...] = ()
     role: str | None = None
     text: str | None = None
     fixed: tuple[tuple[str, str], ...] = ()
     rows: bool = False
 
+    def within(self, key: str) -> "Mapping":
+        """The same layout inside an object."""
+        inner = lambda path: "+".join(f"{key}.{p}" for p in path.split("+"))
+        return replace(self, name=f"{key}.{self.name}", paths=tuple(map(inner, self.paths)), turns=tuple(map(inner, self.turns)), fixed=tuple((r, inner(p)) for r, p in self.fixed))
 
-MAPPINGS = (
+
+#: Objects that hold a whole record of another layout.
+WRAPPERS = ("data",)
+_PLAIN = (
     Mapping("rows", ("conv_id", "role", "text", "turn"), rows=True, role="role", text="text"),
-    Mapping("messages", ("messages[].content", "messages[].role"), turns="messages", role="role", text="content"),
-    Mapping("shares", ("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
+    Mapping("messages", ("messages[].content", "messages[].role"), turns=("messages",), role="role", text="content"),
+    Mapping("message_parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), turns=("messages",), role="role", text="content"),
+    Mapping("prompt_turns", ("completion[].content", "completion[].role", "prompt[].content", "prompt[].role"), turns=("prompt", "completion"), role="role", text="content"),
+    Mapping("shares", ("conversations[].from", "conversations[].value"), turns=("conversations",), role="from", text="value"),
     Mapping("instruction_input", ("input", "instruction", "output"), fixed=(("user", "instruction+input"), ("assistant", "output"))),
     Mapping("instruction", ("instruction", "output"), fixed=(("user", "instruction"), ("assistant", "output"))),
     Mapping("system_prompt", ("prompt", "response", "system"), fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -48,6 +58,7 @@ MAPPINGS = (
     Mapping("completion", ("completion", "prompt"), fixed=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("question", ("answer", "question"), fixed=(("user", "question"), ("assistant", "answer"))),
 )
+MAPPINGS = _PLAIN + tuple(m.within(key) for key in WRAPPERS for m in _PLAIN if not m.rows)
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 
@@ -99,8 +110,7 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", id_type: str =
     if m.rows:
         return records.select(identity, F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if m.turns:
-        out = records.select(identity, F.posexplode(m.turns).alias("turn", "m"))
-        return out.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("m")[m.role]).alias("role"), F.coalesce(F.col("m")[m.text].cast("string"), F.lit("")).alias("text"))
+        return _exploded(records, identity, F.concat(*[_listed(records, m, path) for path in m.turns]))
     return _exploded(records, identity, _fixed_turns(m, lambda p: F.col(p).cast("string")))
 
 
@@ -113,8 +123,23 @@ def _fixed_turns(m: Mapping, get) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), text(r, p).alias("text")) for r, p in m.fixed])
 
 
-def _turn(m: Mapping):
-    return lambda x: F.struct(_role(x[m.role]).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text"))
+def _listed(records: DataFrame, m: Mapping, path: str) -> Column:
+    """The turns of an array column; a null one has none. The texts of a list of parts are joined, parts without one add
+    nothing."""
+    kind = records.select(F.col(path).alias("x")).schema["x"].dataType.elementType[m.text].dataType
+    part = (lambda p: p["text"].cast("string")) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else (lambda p: p.cast("string"))
+    said = (lambda x: F.array_join(F.transform(x[m.text], part), "")) if isinstance(kind, T.ArrayType) else (lambda x: x[m.text].cast("string"))
+    turns = F.transform(path, lambda x: F.struct(_role(x[m.role]).alias("role"), F.coalesce(said(x), F.lit("")).alias("text")))
+    return F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))
+
+
+def _listed_json(json: Column, m: Mapping, path: str) -> Column:
+    """The same of JSON, where one turn's text may be a value and the next one's a list of parts."""
+    plain = lambda v: F.try_variant_get(v, "$", "string")
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", plain(p)))
+    said = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), part), "")).otherwise(plain(v))
+    turns = F.try_variant_get(F.try_parse_json(json), f"$.{path}", f"array<struct<`{m.role}`:variant,`{m.text}`:variant>>")
+    return F.transform(turns, lambda x: F.struct(_role(plain(x[m.role])).alias("role"), F.coalesce(said(x[m.text]), F.lit("")).alias("text")))
 
 
 def _exploded(records: DataFrame, identity: Column, turns: Column) -> DataFrame:
@@ -122,17 +147,36 @@ def _exploded(records: DataFrame, identity: Column, turns: Column) -> DataFrame:
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
 
 
+#: What a variant's schema is made of: a key with its colon, an opening, a closing, or the type of a leaf.
+_SCHEMA_TOKEN = r"`(?:[^`]|``)*`: |[^\s<>,`:()]+: |OBJECT<|ARRAY<|>|[A-Z_]+(?:\(\d+,\d+\))?"
+
+
 def json_paths(json: Column) -> Column:
-    """Sorted leaf paths of a JSON object whose values are scalars or arrays of flat objects; an array has the keys of
-    all of its objects."""
-    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    value = lambda k: F.from_json(F.try_element_at(F.from_json(json, "map<string,string>"), k), "array<string>")
-    inner = lambda k: F.array_distinct(F.flatten(F.transform(value(k), lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(keys, lambda k: F.when(F.size(F.coalesce(inner(k), F.array().cast("array<string>"))) > 0, F.transform(inner(k), lambda x: F.concat(k, F.lit("[]."), x))).otherwise(F.array(k))))))
+    """Sorted paths of a JSON value's leaves, at any depth: keys parted by dots (those of other characters than ASCII
+    letters, digits and _ in backquotes), ``[]`` for an array, which has the paths of all of its elements. An array with both objects and other elements is a leaf. Null
+    where the JSON is null, invalid, has a key twice in one object, or is beyond the size of a variant (128 MB)."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(F.try_parse_json(json)), F.lit(_SCHEMA_TOKEN), F.lit(0))
+    texts = F.array().cast("array<string>")
+    state = lambda stack, now, out: F.struct(stack.alias("stack"), now.alias("now"), out.alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        stack, now, out = s["stack"], s["now"], s["out"]
+        top = F.element_at(stack, -1)
+        key = F.substring(token, F.lit(1), F.length(token) - 2)
+        return (
+            F.when(token.endswith(": "), state(stack, F.when(top == "", key).otherwise(F.concat(top, F.lit("."), key)), out))
+            .when(token == "OBJECT<", state(F.concat(stack, F.array(now)), now, out))
+            .when(token == "ARRAY<", state(F.concat(stack, F.array(F.concat(now, F.lit("[]")))), F.concat(now, F.lit("[]")), out))
+            .when(token == ">", state(F.slice(stack, F.lit(1), F.size(stack) - 1), F.lit(""), out))
+            .otherwise(state(stack, now, F.concat(out, F.array(now))))
+        )
+
+    start = state(F.array(F.lit("")), F.lit(""), texts)
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda s: s["out"])))
 
 
 def layouts_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """``conv_id, j, layout``: which mapping each JSON record is read by, null where none fits (or the JSON is invalid)."""
+    """``conv_id, j, layout``: which mapping each JSON record is read by, null where none fits (or ``json_paths`` is null)."""
     marked = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).cast("string").alias("j"))
     # The paths come out of a generator of one row, so that they are computed once.
     marked = marked.select("conv_id", "j", F.explode_outer(F.array(json_paths(F.col("j")))).alias("paths")).withColumn("fingerprint", F.xxhash64(F.array_join("paths", "\n")))
@@ -149,13 +193,12 @@ def layouts_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """``conv_id, turn, role, text`` of JSON records, each with a layout of its own; texts and roles as in
     ``canonical_turns``. Records without a layout have no turns; ``layouts_json`` returns them."""
-    options = F.array().cast("array<struct<role:string,text:string>>")
+    options = none = F.array().cast("array<struct<role:string,text:string>>")
     for m in MAPPINGS:
         if m.rows:
             continue
         if m.turns:
-            kind = f"struct<{m.turns}:array<struct<`{m.role}`:string,`{m.text}`:string>>>"
-            turns = F.transform(F.from_json("j", kind)[m.turns], _turn(m))
+            turns = F.concat(*[F.coalesce(_listed_json(F.col("j"), m, path), none) for path in m.turns])
         else:
             turns = _fixed_turns(m, lambda p: F.get_json_object("j", f"$.{p}"))
         options = F.when(F.col("layout") == m.name, turns).otherwise(options)
