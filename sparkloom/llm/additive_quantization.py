@@ -7,21 +7,24 @@ the residual. A query makes a table of its products with all codewords; the esti
 entries over the stored norm.
 
 Rows are dealt out to the cells of a coarse codebook, and large cells to blocks by hash. A row is sent to its one block; a
-query is sent to the blocks of its nearest cells. How many cells that are is measured on the sample: as many as hold
+query is sent to the blocks of its nearest cells. Blocks grow with the table, so there are no more than ``MOST_CELLS`` +
+``MOST_BLOCKS`` of them, and a query has no more copies, until a block has ``BLOCK_BYTES`` of vectors. How many cells that are is measured on the sample: as many as hold
 ``PROBE_RECALL`` of true neighbours there (where neighbours are no nearer than in the whole table).
 
-A task takes in the rows of a block and lets the queries stream by. For each query the best estimates of the block are
-reranked exactly. All other rows whose estimate is within ``MARGIN`` standard errors of the neighbour that would be
-displaced are reranked as well: the error of an estimate is the query's share of the residual, about its length over the
+A task takes in the rows of a block and lets the queries stream by. The rows are scored ``TILE`` at a time. For each query
+the best estimates of the tile are reranked exactly. All other rows whose estimate is within ``MARGIN`` standard errors of the neighbour that would be
+displaced, among all tiles so far, are reranked as well: the error of an estimate is the query's share of the residual, about its length over the
 root of the dimension. So the shortlist follows the data at any size instead of a cap. k rows a query and block leave."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +36,9 @@ BOOKS, WORDS, BEAM = 16, 64, 4
 #: Rows that codebooks and cells are learned on.
 SAMPLE, CELL_SAMPLE, ROUNDS = 4096, 16_384, 2
 FIRST, MARGIN = 16, 2.5
-ROW_BLOCK, QUERY_BLOCK, MOST_CELLS = 4096, 512, 1024
+#: Rows of a block at least, queries and rows scored at once, cells, blocks besides one a cell, bytes of a block's vectors.
+ROW_BLOCK, QUERY_BLOCK, TILE = 4096, 512, 4096
+MOST_CELLS, MOST_BLOCKS, BLOCK_BYTES = 128, 256, 1 << 27
 PROBE_RECALL, PROBE_QUERIES = 0.99, 512
 
 
@@ -149,31 +154,53 @@ class _Block:
         self.parts: list[tuple] = []
 
     def add(self, part: pa.RecordBatch) -> None:
+        """Vectors stay in their own type, and codes are bytes: a row takes little more than its vector."""
         codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, BOOKS)
-        self.parts.append((part.column("id").to_numpy(), unit(matrix(part.column("v"), self.dim)), codes, part.column("norm").to_numpy(), part.column("rest").to_numpy()))
+        v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
+        self.parts.append((part.column("id").to_numpy(), v, codes, part.column("norm").to_numpy(), part.column("rest").to_numpy()))
 
     def search(self, asks: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k nearest rows of the block for each query."""
+        """The k nearest rows of the block for each query: (query, row, cosine)."""
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(self.parts) > 1:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
-        ids, x, codes, norms, rest = self.parts[0]
-        about = self.model.estimates(self.model.tables(q), codes.astype(np.int64), norms)
+        tables, best = self.model.tables(q), np.full((len(q), self.k), -np.inf)
+        found: list[tuple] = []
+        for at in range(0, len(self.parts[0][0]), TILE):
+            a, ids, score, place = self._nearest([x[at : at + TILE] for x in self.parts[0]], asks, q, tables, best.min(axis=1))
+            new = np.full_like(best, -np.inf)
+            new[a, place] = score
+            best = -np.partition(-np.concatenate([best, new], axis=1), self.k - 1, axis=1)[:, : self.k]
+            found.append((a, ids, score))
+        a, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, ids, score, _ = self._first(a, ids, score, len(asks))
+        return asks[a], ids, score
+
+    def _first(self, a: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """The k best of each query's rows, and their places."""
+        order = np.lexsort((ids, -score, a))
+        a, ids, score = a[order], ids[order], score[order]
+        place = np.arange(len(a)) - np.searchsorted(a, np.arange(n))[a]
+        keep = place < self.k
+        return a[keep], ids[keep], score[keep], place[keep]
+
+    def _nearest(self, rows: list[np.ndarray], asks: np.ndarray, q: np.ndarray, tables: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same of a tile, without rows that cannot displace a query's ``floor``, the k-th best of earlier tiles."""
+        ids, v, codes, norms, rest = rows
+        x = unit(v.astype(np.float64))
+        about = self.model.estimates(tables, codes.astype(np.int64), norms)
         about[asks[:, None] == ids[None, :]] = -9  # the query itself
         first = min(FIRST + self.k, len(ids))
         top = np.argpartition(-about, first - 1, axis=1)[:, :first]
         exact = np.einsum("qd,qkd->qk", q, x[top])
         exact[ids[top] == asks[:, None]] = -9
-        last = -np.partition(-exact, min(self.k, first) - 1, axis=1)[:, min(self.k, first) - 1]
+        last = np.maximum(-np.partition(-exact, min(self.k, first) - 1, axis=1)[:, min(self.k, first) - 1], floor)
         a, b = np.nonzero(about + (MARGIN / np.sqrt(self.dim)) * rest[None, :] >= last[:, None])
         keep = ids[b] != asks[a]
         a, b = a[keep], b[keep]
         score = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-        order = np.lexsort((ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        best = np.arange(len(a)) - np.searchsorted(a, np.arange(len(asks)))[a] < self.k
-        return asks[a[best]], ids[b[best]], score[best]
+        return self._first(a, ids[b], score, len(asks))
 
 
 def _search(batches: Iterator[pa.RecordBatch], model, k: int, dim: int) -> Iterator[pa.RecordBatch]:
@@ -197,13 +224,17 @@ def _search(batches: Iterator[pa.RecordBatch], model, k: int, dim: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
 
-def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest other rows by cosine of every row for which ``is_query(id)``.
+class _Index(NamedTuple):
+    """A table of encoded rows with its broadcast quantizer and cells, and the rows of a block."""
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than
-    the commonest, nor null ids. Scores are exact cosines of the original vectors; ties go to the smaller id. Of rows
-    with one id the one with the lowest vector counts. An empty table has no neighbours; other columns are not read.
-    """
+    table: DataFrame
+    model: Broadcast
+    cells: Broadcast
+    dim: int
+    block_rows: int
+
+
+def build_index(rows: DataFrame, k: int, id_col: str, vector_col: str) -> _Index:
     spark = rows.sparkSession
     wanted = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     dim, n = usual_length(wanted)
@@ -212,17 +243,34 @@ def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vecto
     model = spark.sparkContext.broadcast(AdditiveQuantizer.fit(sample[:SAMPLE]))  # BOOKS x WORDS x dim floats
     cells = spark.sparkContext.broadcast(Cells(sample, min(-(-n // ROW_BLOCK) or 1, MOST_CELLS), k))  # MOST_CELLS x dim floats at most
     kind = wanted.schema["v"].dataType.simpleString()
-    index = materialize(wanted.mapInArrow(partial(_index, model=model, cells=cells, dim=dim), f"id long, v {kind}, cell int, codes binary, norm double, rest double"))
-    blocks = [1] * len(cells.value.centres)
-    for r in index.groupBy("cell").count().collect():  # MOST_CELLS rows at most
-        blocks[r["cell"]] = -(-r["count"] // ROW_BLOCK)
+    table = materialize(wanted.mapInArrow(partial(_index, model=model, cells=cells, dim=dim), f"id long, v {kind}, cell int, codes binary, norm double, rest double"))
+    return _Index(table, model, cells, dim, max(ROW_BLOCK, min(-(-n // MOST_BLOCKS), BLOCK_BYTES // (8 * max(dim, 1)))))
+
+
+def meetings(index: _Index, is_query) -> DataFrame:
+    """``block, asks, id, v, codes, norm, rest``: each row in its block, and each query in all blocks of its cells."""
+    blocks = [1] * len(index.cells.value.centres)
+    for r in index.table.groupBy("cell").count().collect():  # MOST_CELLS rows at most
+        blocks[r["cell"]] = -(-r["count"] // index.block_rows)
     of = F.element_at(F.lit(blocks), F.col("cell") + 1)
     block = lambda within: (F.col("cell").cast("long") * F.lit(1 << 40) + within).alias("block")
-    stored = index.select(block(F.pmod(F.xxhash64("id"), of)), F.lit(False).alias("asks"), "id", "v", "codes", "norm", "rest")
-    queries = index.where(is_query(F.col("id"))).select("id", "v").mapInArrow(partial(_visits, cells=cells, dim=dim), f"id long, v {kind}, cells array<int>")
+    stored = index.table.select(block(F.pmod(F.xxhash64("id"), of)), F.lit(False).alias("asks"), "id", "v", "codes", "norm", "rest")
+    kind = index.table.schema["v"].dataType.simpleString()
+    queries = index.table.where(is_query(F.col("id"))).select("id", "v").mapInArrow(partial(_visits, cells=index.cells, dim=index.dim), f"id long, v {kind}, cells array<int>")
     queries = queries.select("id", "v", F.explode("cells").alias("cell")).select("id", "v", "cell", F.explode(F.sequence(F.lit(0), of - 1)).alias("y"))
     queries = queries.select(block(F.col("y")), F.lit(True).alias("asks"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("rest"))
-    met = stored.unionByName(queries).repartition("block").sortWithinPartitions("block", "asks")
-    found = met.mapInArrow(partial(_search, model=model, k=k, dim=dim), "query_id long, vec_id long, score double")
+    return stored.unionByName(queries)
+
+
+def nearest(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest other rows by cosine of every row for which ``is_query(id)``.
+
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than
+    the commonest, nor null ids. Scores are exact cosines of the original vectors; ties go to the smaller id. Of rows
+    with one id the one with the lowest vector counts. An empty table has no neighbours; other columns are not read.
+    """
+    index = build_index(rows, k, id_col, vector_col)
+    met = meetings(index, is_query).repartition("block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(partial(_search, model=index.model, k=k, dim=index.dim), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

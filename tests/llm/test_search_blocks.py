@@ -54,3 +54,30 @@ def test_query_against_exhaustive_sql(spark, monkeypatch):
     both = want.keys() & got.keys()
     assert len(got) == len(want) and len(both) >= 0.9 * len(want)
     assert all(abs(got[p] - want[p]) < 1e-12 for p in both)
+
+
+def test_copies_of_a_query_do_not_grow_with_the_table(spark, monkeypatch):
+    for name, value in {"ROW_BLOCK": 50, "MOST_CELLS": 8, "MOST_BLOCKS": 16}.items():
+        monkeypatch.setattr(aq, name, value)
+    copies = {}
+    for n in (1000, 4000, 16000):
+        x = vectors(n, spread=0.3)
+        x[: n // 3] = x[0]  # a hot vector, and its cell with many blocks
+        index = aq.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 5, "vec_id", "embedding")
+        met = aq.meetings(index, lambda i: i % 50 == 0).groupBy("asks", "block").count().collect()
+        copies[n] = sum(r["count"] for r in met if r.asks) / (n // 50)
+        assert len({r.block for r in met}) <= 8 + 16 and max(r["count"] for r in met if not r.asks) <= 1.5 * max(50, n / 16)
+        assert sum(r["count"] for r in met if not r.asks) == n
+    assert all(c <= 8 + 16 for c in copies.values()) and copies[16000] <= 1.3 * copies[4000]
+
+
+def test_rows_in_tiles_equal_rows_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(900, spread=0.3))] + [(900 + i, [1.0] * 16) for i in range(60)], "vec_id long, embedding array<float>")
+    some = []
+    for tile in (4096, 64, 7):
+        monkeypatch.setattr(aq, "TILE", tile)
+        got = aq.nearest(rows, lambda i: i % 50 == 0).collect()
+        assert len(got) == 20 * 5 and sorted(r.vec_id for r in got if r.query_id == 900) == [901, 902, 903, 904, 905]
+        some.append({(r.query_id, r.vec_id) for r in got})
+    # A tile's own best rows are reranked besides those within the margin, so more tiles find no less.
+    assert len(some[0] & some[1]) >= 0.99 * 100 and len(some[0] & some[2]) >= 0.99 * 100
