@@ -14,9 +14,11 @@ bad ones, so that good means the words and their order, not only the look of the
 from __future__ import annotations
 
 import re
+import tempfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from .common import buffers, drop_table, materialize, smallest_by_hash, spread,
 PASSAGE_BYTES = 512
 #: Bound of the training sample: labelled documents, those whose id hashes lowest. All their passages train, however many.
 TRAIN_DOCUMENTS = 6000
-#: Bags of a chunk of the training table, which the driver reads one after the other, and bytes of chunks that it holds on to.
-CHUNK_BAGS, HELD_BYTES = 1024, 48 << 20
+#: Bags of a chunk of the training table, and bytes of bags that the driver holds before they go to a file of its own.
+CHUNK_BAGS, HELD_BYTES = 1024, 4 << 20
 #: One good training document in so many is damaged in each of the two ways.
 DAMAGED = 6
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 16, 8e-3, 1e-4
@@ -144,15 +146,16 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attentio
     return train_chunks(lambda _: (bags, labels), 1, seed)
 
 
-def train_chunks(chunk: Callable[[int], tuple[list[np.ndarray], np.ndarray]], chunks: int, seed: int = 5) -> AttentionModel | None:
+def train_chunks(chunk: Callable[[int], tuple[Sequence[np.ndarray], np.ndarray]], chunks: int, seed: int = 5) -> AttentionModel | None:
     """``chunk(i)`` gives bags, which may be of half precision, and their labels, the same at each call; a step takes 64 bags
     of a chunk in single precision. Each epoch takes the chunks, and the bags of each, in another order."""
     rng = np.random.default_rng(seed)
     size, count, good, mean, square = 0, 0, 0.0, 0.0, 0.0
     for i in range(chunks):
         bags, labels = chunk(i)
-        size, count, good = size + sum(map(len, bags)), count + len(bags), good + float(labels.sum())
+        count, good = count + len(bags), good + float(labels.sum())
         for b in bags:
+            size += len(b)
             mean = mean + b.sum(axis=0, dtype=np.float64)
             square = square + (b.astype(np.float32) ** 2).sum(axis=0, dtype=np.float64)
     if not count:
@@ -173,8 +176,9 @@ def train_chunks(chunk: Callable[[int], tuple[list[np.ndarray], np.ndarray]], ch
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
-                first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in chosen])])
-                x, h, t, g, weight, z, out = model.forward(np.concatenate([bags[i] for i in chosen]).astype(np.float32), first)
+                some = [bags[i] for i in chosen]
+                first = np.concatenate([[0], np.cumsum([len(b) for b in some])])
+                x, h, t, g, weight, z, out = model.forward(np.concatenate(some).astype(np.float32), first)
                 counts = np.diff(first)
                 dlogit = ((out - labels[chosen]) / len(chosen)).astype(np.float32)
                 dz = dlogit[:, None] * p["c"]
@@ -214,17 +218,35 @@ def _encode_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[f:g].tobytes() for f, g in zip(first, first[1:])], pa.binary()), pa.array(labels, pa.int32()), pa.array(ways, pa.int32())], names=["id", "bag", "label", "way"])
 
 
-def _read_bags(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    found = rows.select("id", "way", "bag", "label").toArrow().sort_by([("id", "ascending"), ("way", "ascending")])
-    bags = [np.frombuffer(b.as_buffer(), dtype=np.float16).reshape(-1, FEATURES) for b in found["bag"]]  # views of the column
-    return bags, (np.asarray(found["label"]) > 0).astype(float)
+class _Bags(Sequence):
+    """Bags of a chunk, each read from the file when it is asked for."""
+
+    def __init__(self, file: BinaryIO, places: list[tuple[int, int]]):
+        self.file, self.places = file, places
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        at, size = self.places[i]
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(size), dtype=np.float16).reshape(-1, FEATURES)
+
+
+def _write_bags(sample: DataFrame, file: BinaryIO, chunks: int) -> list[tuple[_Bags, np.ndarray]]:
+    """The chunks of a table of bags, which goes into the file a partition at a time."""
+    found: list[list[tuple]] = [[] for _ in range(chunks)]
+    for r in sample.select("chunk", "id", "way", "bag", "label").toLocalIterator():
+        found[r["chunk"]].append((r["id"], r["way"], file.tell(), len(r["bag"]), float(r["label"] > 0)))
+        file.write(r["bag"])
+    return [(_Bags(file, [x[2:4] for x in sorted(rows)]), np.array([x[4] for x in sorted(rows)])) for rows in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, train_filter, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel | None:
     """Learn from at most ``TRAIN_DOCUMENTS`` labelled documents, those whose id hashes lowest, and damaged copies of a third
-    as many. Their bags are written as a table in chunks; the driver trains on one chunk at a time and holds on to
-    HELD_BYTES of them, so its memory has a bound but for the longest texts of a chunk, and no passage is left out. A
-    document with several labels counts with the largest; of several rows of an id the one of the lowest text hash."""
+    as many. Their bags are written as a table, and from there to a file of the driver, which reads a step's bags at a
+    time; so its memory has a bound but for the longest texts of a partition, and no passage is left out. A document
+    with several labels counts with the largest; of several rows of an id the one of the lowest text hash."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & train_filter(F.col("id")))
     chosen = materialize(smallest_by_hash(known.groupBy("id").agg(F.max("label").alias("label")), "id", TRAIN_DOCUMENTS, 11))
     chunks = -(-chosen.count() // CHUNK_BAGS)
@@ -237,17 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, train_filter, id_col
     encoded = one.mapInArrow(_encode_sample, "id long, bag binary, label int, way int")
     dealt = encoded.withColumn("chunk", F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(chunks)).cast("int"))
     sample = materialize(dealt.repartitionById(chunks, F.col("chunk")))
-    held: dict[int, tuple] = {}
-
-    def chunk(i: int) -> tuple[list[np.ndarray], np.ndarray]:
-        if i in held:
-            return held[i]
-        got = _read_bags(sample.where(F.col("chunk") == int(i)))
-        if sum(b.nbytes for bags, _ in (*held.values(), got) for b in bags) <= HELD_BYTES:
-            held[i] = got
-        return got
-
-    model = train_chunks(chunk, chunks)
+    with tempfile.SpooledTemporaryFile(max_size=max(HELD_BYTES, 1)) as file:
+        found = _write_bags(sample, file, chunks)
+        model = train_chunks(found.__getitem__, chunks)
     drop_table(sample)
     drop_table(chosen)
     return model

@@ -86,3 +86,26 @@ def test_all_passages_of_all_documents_train(spark, monkeypatch):
     assert all(np.array_equal(models[0].p[k], models[1].p[k]) for k in models[0].p)
     assert quality.fit(docs, labels.limit(0), "quality", lambda i: i > 0) is None
     assert quality.fit(docs.where("doc_id = 77"), labels, "quality", lambda i: i > 0) is None
+
+
+def test_training_bags_stay_out_of_memory(spark, monkeypatch):
+    """The driver holds a few bags at a time, and they are read from the table once, not once an epoch."""
+    import tracemalloc
+
+    docs = spark.createDataFrame([(i, "word other " * 4000) for i in range(60)], "doc_id long, text string")  # some 12 MB of bags
+    labels = spark.createDataFrame([(i, 0) for i in range(60)], "doc_id long, quality int")
+    seen, learn = [], quality.train_chunks
+
+    def watch(chunk, chunks, seed=5):
+        tracemalloc.start()
+        monkeypatch.setattr(type(docs), "toArrow", None)
+        bags = [chunk(i)[0] for i in range(chunks)]
+        seen.extend((sum(b.nbytes for bag in bags for b in bag), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+        return learn(chunk, chunks, seed)
+
+    monkeypatch.setattr(quality, "train_chunks", watch)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    monkeypatch.setattr(quality, "CHUNK_BAGS", 16)
+    quality.fit(docs, labels, "quality", lambda i: i >= 0)
+    assert seen[0] > 10 << 20 > 8 * seen[1]
