@@ -4,8 +4,10 @@
    representative before anything else is shuffled.
 2. Tokens are hashed into groups; a set is the point of its group counts. An R-tree over points (sort-tile-recursive
    packing) is searched with the bound ``|A and B| <= sum over groups of min(a_g, b_g)``, for nodes with the upper corner
-   of their box. Counts of unlike sets differ by about ``0.56 sqrt(groups / tokens)`` of their size, so a set has a group
-   for so few of its tokens that this is about twice what linked sets may differ by: a power of two, so that finer points fold into coarser ones.
+   of their box. Where m tokens of n are not shared, counts differ by about ``0.56 sqrt(groups m) / n`` of the size, with a
+   deviation of ``0.42 sqrt(m) / n``. A set has so many groups that even sets which lack but a quarter of each other differ
+   by ``APART`` deviations more than linked sets may: otherwise, the more texts there are, the more chains of mistaken
+   links, until most sets are one component. It is a power of two, so that finer points fold into coarser ones.
 3. One tree over all points would prune nothing near its root: a box of many points spans every likely count. So trees
    are built over the sets that have one of their rarest tokens in common. Linked sets of n tokens share at least p n, so
    in any order of all tokens they share one of the first n - p n + 1; in the order used, tokens come the
@@ -33,8 +35,8 @@ from .common import buffers, drop_table, lowest_hashes, materialize, salted_join
 from .graph import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Groups of a count vector, least and most (powers of two).
-FEWEST_GROUPS, MOST_GROUPS = 16, 1024
+#: Groups of a count vector, least and most (powers of two), and deviations between linked sets and those that lack a quarter.
+FEWEST_GROUPS, MOST_GROUPS, APART = 16, 1024, 4.5
 #: Documents that the order of tokens is learned on, from how many of them on a token is frequent, and how many frequent
 #: tokens are sent to all tasks (9 bytes each).
 ORDER_DOCUMENTS, ORDER_LEAST, ORDER_TOKENS = 16_384, 2, 1 << 20
@@ -57,7 +59,8 @@ def prefix_keys(shingles: np.ndarray, percent: int, frequent: tuple[np.ndarray,
 def groups_of(n: int, percent: int) -> int:
     """Groups of the count vector of a set of n tokens."""
     apart = (100 - percent) / (100 + percent)  # linked sets of one size lack so much of each other
-    return min(max(FEWEST_GROUPS, 1 << (int(n * (apart / 0.31) ** 2)).bit_length()), MOST_GROUPS)
+    wanted = (APART * 0.42 * 0.5 + apart * n**0.5) / (0.56 * 0.5)
+    return min(max(FEWEST_GROUPS, 1 << int(wanted**2).bit_length()), MOST_GROUPS)
 
 
 def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
@@ -65,12 +68,17 @@ def group_counts(shingles: np.ndarray, groups: int) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A count vector in the narrowest type that holds it, which the first byte names."""
+    """A count vector in the narrowest type that holds it, which the first byte names; N are two counts a byte."""
+    if counts.max(initial=0) < 16:
+        return b"N" + (counts[::2] << 4 | counts[1::2]).astype(np.uint8).tobytes()
     kind = next(k for k in "BHQ" if counts.max(initial=0) <= np.iinfo(k).max)
     return kind.encode() + counts.astype(kind).tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
+    if data[:1] == b"N":
+        both = np.frombuffer(data, dtype=np.uint8, offset=1)
+        return np.stack([both >> 4, both & 15], axis=1).reshape(-1).astype(np.int64)
     return np.frombuffer(data, dtype=chr(data[0]), offset=1).astype(np.int64)
 
 
@@ -218,13 +226,19 @@ def bound_block(ids: np.ndarray, sizes: np.ndarray, counts: list[np.ndarray], pe
     u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for groups in np.unique(width):
         members = np.flatnonzero((width >= groups) & (width <= most * groups))
-        points = np.array([counts[i].reshape(-1, groups).sum(axis=0) for i in members], dtype=np.int64)
+        points = np.array([counts[i] if len(counts[i]) == groups else counts[i].reshape(-1, groups).sum(axis=0) for i in members], dtype=np.int32)
         if len(members) == 2 and parts is None:
             n, m = (int(x) for x in sizes[members])
             if (100 + percent) * int(points.min(axis=0).sum()) < percent * (n + m) or 100 * min(n, m) < percent * max(n, m):
                 continue
             roots = np.full(2, ids[members].min())
         else:
+            if len(members) <= 2 * LEAF:
+                # Most small groups hold no two sets that may be linked; all their pairs are looked at at once.
+                n, m = sizes[members][:, None], sizes[members][None, :]
+                may = ((100 + percent) * np.minimum(points[:, None], points[None]).sum(axis=2) >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                if np.count_nonzero(may) == len(members):
+                    continue
             roots = _reach(ids[members], points, sizes[members], percent, None if parts is None else parts[members])
         far = roots != ids[members]
         u.append(ids[members][far])
@@ -281,18 +295,21 @@ def _linked(points: DataFrame, percent: int, exact: bool) -> DataFrame:
     link = lambda rows: rows.repartition("area", "x", "y").sortWithinPartitions("area", "x", "y").mapInArrow(partial(_link_blocks, percent=percent, exact=exact), "u long, v long")
     # A block has a bounded number of rows as well, 512 of sets or 2,048 of vectors.
     volume = F.greatest("n", F.lit(BLOCK_SHINGLES // 512)) if exact else F.greatest(F.octet_length("data"), F.lit(BLOCK_SHINGLES // 2048)).cast("long")
-    sized = points.groupBy("area").agg(F.sum(volume).alias("volume"), F.min("id").alias("hub"), F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"))
-    total = points.count()
-    dealt = salted_join(points, sized.select("area", "hub", "blocks", F.col("c").alias("n")), ["area"], total, "id")
-    everywhere = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    # Dealt out by block: the join's own partitioning, by area, would satisfy the grouping and keep an area in one task.
+    sized = points.groupBy("area").agg(F.sum(volume).alias("volume"), F.min("id").alias("hub")).withColumn("blocks", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int"))
+    # An area of one block needs nothing but its name. The others are few: Spark sends their table to all tasks while it is small.
+    large = materialize(sized.where("blocks > 1").select("area", "hub", "blocks"))
+    several = not large.isEmpty()
+    dealt = points.join(large, "area", "left") if several else points.withColumns({"hub": F.lit(None).cast("long"), "blocks": F.lit(None).cast("int")})
+    inside = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    everywhere = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(inside)
+    # Dealt out by block: a join's own partitioning, by area, would satisfy the grouping and keep an area in one task.
     edges = materialize(link(dealt.select("area", F.explode(everywhere).alias("x"), F.lit(0).alias("y"), "id", "n", "data")))
-    large = sized.where("blocks > 1")
-    if large.isEmpty():
+    if not several:
+        drop_table(large)
         return edges
     # Areas of several blocks, where these are not yet one component: every pair of blocks that are apart.
     parts = connected_components(edges, "u", "v")
-    rows = salted_join(points, large.select("area", "blocks", F.col("c").alias("n")), ["area"], total, "id").join(parts.hint("merge"), F.col("id") == F.col("node"), "left")
+    rows = points.join(large.select("area", "blocks"), "area").join(parts.hint("merge"), F.col("id") == F.col("node"), "left")
     rows = rows.select("area", "blocks", "id", "n", "data", F.coalesce("component", "id").alias("part"))
     apart = rows.groupBy("area").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("area")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -301,6 +318,7 @@ def _linked(points: DataFrame, percent: int, exact: bool) -> DataFrame:
     out = materialize(edges.unionByName(second))
     drop_table(parts)
     drop_table(edges)
+    drop_table(large)
     return out
 
 
@@ -333,7 +351,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     areas = connected_components(close, "u", "v")
     drop_table(close)
     # The smallest representative of an area is its name; it and all others read their text once more.
-    todo = wanted.join(areas.select(F.col("node").alias("id"), F.col("component").alias("area")).hint("merge"), "id").select("area", "id", "text")
+    # Without a hint: texts are shuffled only where the table of areas is too large for Spark to send it to all tasks.
+    todo = wanted.join(areas.select(F.col("node").alias("id"), F.col("component").alias("area")), "id").select("area", "id", "text")
     points = materialize(todo.mapInArrow(partial(_points, k=k), _POINT))
     drop_table(areas)
     # Rows of equal id but other texts: a set that is not the representative's own stands in the copies table as well.
