@@ -9,12 +9,16 @@ entries over the stored norm.
 Rows are dealt out to the cells of a coarse codebook, and large cells to blocks by hash. A row is sent to its one block; a
 query is sent to the blocks of its nearest cells. Blocks grow with the table, so there are no more than ``MOST_CELLS`` +
 ``MOST_BLOCKS`` of them, and a query has no more copies, until a block has ``BLOCK_BYTES`` of vectors. How many cells that are is measured on the sample: as many as hold
-``PROBE_RECALL`` of true neighbours there (where neighbours are no nearer than in the whole table).
+``PROBE_RECALL`` of true neighbours there (where neighbours are no nearer than in the whole table), and all that are about
+as near as the nearest one: a query unlike the sample lies between many cells, whatever the sample needs.
 
 A task takes in the rows of a block and lets the queries stream by. The rows are scored ``TILE`` at a time. For each query
 the best estimates of the tile are reranked exactly. All other rows whose estimate is within ``MARGIN`` standard errors of the neighbour that would be
 displaced, among all tiles so far, are reranked as well: the error of an estimate is the query's share of the residual, about its length over the
-root of the dimension. So the shortlist follows the data at any size instead of a cap. k rows a query and block leave."""
+root of the dimension, if the two are independent. In clusters that the sample doesn't hold they are not: row and query
+lack the same. So the errors of a query's k nearest rows so far, by ``SLACK``, are allowed for as well, and reranking goes
+on until it finds no further row. So the shortlist follows the data at any size instead of a cap. k rows a query and block
+leave."""
 
 from __future__ import annotations
 
@@ -35,11 +39,13 @@ from .vectors import bounded_sample, kmeans, matrix, nearest_centre, unit, usabl
 BOOKS, WORDS, BEAM = 16, 64, 4
 #: Rows that codebooks and cells are learned on.
 SAMPLE, CELL_SAMPLE, ROUNDS = 4096, 16_384, 2
-FIRST, MARGIN = 16, 2.5
+FIRST, MARGIN, SLACK = 16, 2.5, 1.25
 #: Rows of a block at least, queries and rows scored at once, cells, blocks besides one a cell, bytes of a block's vectors.
 ROW_BLOCK, QUERY_BLOCK, TILE = 4096, 512, 4096
 MOST_CELLS, MOST_BLOCKS, BLOCK_BYTES = 128, 256, 1 << 27
 PROBE_RECALL, PROBE_QUERIES = 0.99, 512
+#: Cells whose squared distance is more than the nearest one's by no more than this share of it are visited in any case.
+REACH = 0.25
 
 
 class AdditiveQuantizer:
@@ -120,8 +126,18 @@ class Cells:
             ranks = np.take_along_axis(place, nearest_centre(sample, self.centres)[found], axis=1)
             self.probes = 1 + int(np.quantile(ranks, PROBE_RECALL, method="higher"))
 
+    def squares(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of unit vectors to all centres."""
+        return np.maximum(1 + (self.centres**2).sum(axis=1)[None, :] - 2 * x @ self.centres.T, 0)
+
     def order(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centres**2).sum(axis=1)[None, :] - 2 * x @ self.centres.T).argsort(axis=1, kind="stable")
+        return self.squares(x).argsort(axis=1, kind="stable")
+
+    def visited(self, x: np.ndarray) -> list[np.ndarray]:
+        """The cells of each query, nearest first."""
+        far, order = self.squares(x), self.order(x).astype(np.int32)
+        near = (far <= (1 + REACH) * far.min(axis=1, keepdims=True)).sum(axis=1)
+        return [row[: max(self.probes, n)] for row, n in zip(order, near.tolist(), strict=True)]
 
 
 def _index(batches: Iterator[pa.RecordBatch], model, cells, dim: int) -> Iterator[pa.RecordBatch]:
@@ -142,8 +158,8 @@ def _visits(batches: Iterator[pa.RecordBatch], cells, dim: int) -> Iterator[pa.R
     cells = cells.value
     for batch in batches:
         if batch.num_rows:
-            order = cells.order(unit(matrix(batch.column(1), dim)))[:, : cells.probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(order), pa.list_(pa.int32()))], names=["id", "v", "cells"])
+            found = cells.visited(unit(matrix(batch.column(1), dim)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "v", "cells"])
 
 
 class _Block:
@@ -165,10 +181,10 @@ class _Block:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(self.parts) > 1:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
-        tables, best = self.model.tables(q), np.full((len(q), self.k), -np.inf)
+        tables, best, share = self.model.tables(q), np.full((len(q), self.k), -np.inf), np.full(len(q), MARGIN / np.sqrt(self.dim))
         found: list[tuple] = []
         for at in range(0, len(self.parts[0][0]), TILE):
-            a, ids, score, place = self._nearest([x[at : at + TILE] for x in self.parts[0]], asks, q, tables, best.min(axis=1))
+            a, ids, score, place = self._nearest([x[at : at + TILE] for x in self.parts[0]], asks, q, tables, best.min(axis=1), share)
             new = np.full_like(best, -np.inf)
             new[a, place] = score
             best = -np.partition(-np.concatenate([best, new], axis=1), self.k - 1, axis=1)[:, : self.k]
@@ -185,22 +201,42 @@ class _Block:
         keep = place < self.k
         return a[keep], ids[keep], score[keep], place[keep]
 
-    def _nearest(self, rows: list[np.ndarray], asks: np.ndarray, q: np.ndarray, tables: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The same of a tile, without rows that cannot displace a query's ``floor``, the k-th best of earlier tiles."""
+    def _nearest(self, rows: list[np.ndarray], asks: np.ndarray, q: np.ndarray, tables: np.ndarray, floor: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same of a tile, without rows that cannot displace a query's ``floor``, the k-th best of earlier tiles.
+
+        ``share`` is how much of its residual an estimate may be off, for each query; it grows with what is seen here."""
         ids, v, codes, norms, rest = rows
         x = unit(v.astype(np.float64))
         about = self.model.estimates(tables, codes.astype(np.int64), norms)
-        about[asks[:, None] == ids[None, :]] = -9  # the query itself
+        own = asks[:, None] == ids[None, :]
+        about[own] = -9  # the query itself
         first = min(FIRST + self.k, len(ids))
-        top = np.argpartition(-about, first - 1, axis=1)[:, :first]
-        exact = np.einsum("qd,qkd->qk", q, x[top])
-        exact[ids[top] == asks[:, None]] = -9
-        last = np.maximum(-np.partition(-exact, min(self.k, first) - 1, axis=1)[:, min(self.k, first) - 1], floor)
-        a, b = np.nonzero(about + (MARGIN / np.sqrt(self.dim)) * rest[None, :] >= last[:, None])
-        keep = ids[b] != asks[a]
-        a, b = a[keep], b[keep]
-        score = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-        return self._first(a, ids[b], score, len(asks))
+        a, b = np.repeat(np.arange(len(asks)), first), np.argpartition(-about, first - 1, axis=1)[:, :first].reshape(-1)
+        done, new = own, np.zeros_like(own)
+        new[a, b] = True
+        got: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        while True:
+            a, b = np.nonzero(new & ~done)
+            if not len(a):
+                break
+            done[a, b] = True
+            exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
+            # Of all rows reranked so far the k best of each query stay.
+            a, b, exact = (np.concatenate(c) for c in zip(got[0], (a, b, exact), strict=True))
+            order = np.lexsort((ids[b], -exact, a))
+            a, b, exact = a[order], b[order], exact[order]
+            place = np.arange(len(a)) - np.searchsorted(a, np.arange(len(asks)))[a]
+            a, b, exact, place = (c[place < self.k] for c in (a, b, exact, place))
+            got = [(a, b, exact)]
+            last = floor.copy()
+            full = place == self.k - 1
+            last[a[full]] = np.maximum(last[a[full]], exact[full])
+            known = exact >= floor[a]
+            np.maximum.at(share, a[known], SLACK * ((exact - about[a, b]) / np.maximum(rest[b], 1e-9))[known])
+            np.minimum(share, 1, out=share)  # of the whole residual
+            new = about + share[:, None] * rest[None, :] >= last[:, None]
+        a, b, exact = got[0]
+        return self._first(a, ids[b], exact, len(asks))
 
 
 def _search(batches: Iterator[pa.RecordBatch], model, k: int, dim: int) -> Iterator[pa.RecordBatch]:
