@@ -113,11 +113,12 @@ def signature_links(signed: DataFrame, num_perm: int, threshold: float, levels:
     classes = materialize(signed.groupBy("sig").agg(F.min(id_col).alias("owner")))
     members = signed.join(classes, "sig").where(F.col(id_col) != F.col("owner")).select("owner", id_col, F.lit(1.0).alias("similarity"))
     keys = [F.xxhash64(F.lit(n), *[F.element_at("sig", i + 1) for i in places]) for n, places in enumerate(section_keys(num_perm, threshold, levels))]
-    keyed = classes.select("owner", "sig", F.explode(F.array(*keys)).alias("key"))
-    other = keyed.select(F.col("owner").alias(id_col), F.col("sig").alias("y"), "key")
-    met = keyed.join(other, "key").where(F.col("owner") < F.col(id_col))
-    links = met.select("owner", id_col, estimated_jaccard(F.col("sig"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
-    return members.unionByName(links)
+    # Ids and keys alone are shuffled for it; signatures go to the pairs that met, once each.
+    keyed = classes.select("owner", F.explode(F.array(*keys)).alias("key"))
+    met = keyed.join(keyed.select(F.col("owner").alias(id_col), "key"), "key").where(F.col("owner") < F.col(id_col)).select("owner", id_col).distinct()
+    other = classes.select(F.col("owner").alias(id_col), F.col("sig").alias("y"))
+    links = met.join(classes, "owner").join(other, id_col).select("owner", id_col, estimated_jaccard(F.col("sig"), F.col("y")).alias("similarity"))
+    return members.unionByName(links.where(F.col("similarity") >= threshold))
 
 
 def greedy_duplicates(signed: DataFrame, n_bands: int, rows: int, threshold: float, id_col: str = "doc_id") -> DataFrame:
