@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions.settings import warn_of_unknown
@@ -15,6 +16,8 @@ from ..sources.checkpoint import drop_table, materialize
 from .blake2b import signatures_of
 
 PRIME = (1 << 61) - 1
+#: Texts whose signatures are held at once.
+SIGNED_ROWS = 512
 
 
 def optimal_bands(num_perm: int, threshold: float) -> tuple[int, int]:
@@ -64,12 +67,17 @@ def signatures_blake2b(docs: DataFrame, num_perm: int = 128, k: int = 5, seed: i
     """Signatures as other tools of this kind compute them; Spark has no BLAKE2b, so Arrow batches are hashed in NumPy."""
     coefficients = permutations(num_perm, seed)
 
-    @F.pandas_udf("array<bigint>")
-    def sign(texts: pd.Series) -> pd.Series:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.array(x, dtype=np.uint64) for x in coefficients)
-        return pd.Series(list(signatures_of(texts, k, a, b).astype(np.int64)))
-
-    return docs.select(id_col, sign("text").alias("sig"))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIGNED_ROWS):
+                ids, texts = (c.slice(at, SIGNED_ROWS) for c in batch.columns)
+                found = signatures_of(texts.to_pylist(), k, a, b).view(np.int64)
+                ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(num_perm)
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))], names=[id_col, "sig"])
+
+    rows = docs.select(id_col, "text")
+    return rows.mapInArrow(sign, T.StructType([rows.schema[id_col], T.StructField("sig", T.ArrayType(T.LongType()))]))
 
 
 def bands(signed: DataFrame, n_bands: int, rows: int, id_col: str = "doc_id") -> DataFrame:
