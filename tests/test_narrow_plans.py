@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparkloom.operators import dedup
-from sparkloom.sources import readers
+from sparkloom.sources import readers, writers
 
 
 def test_signatures_are_not_repeated_for_each_key(spark):
@@ -23,3 +23,24 @@ def test_ranges_of_a_source_are_not_cut_by_texts(spark, tmp_path):
     assert [r.text for r in got.orderBy("idx").collect()] == [t for _, t in sorted(rows)]
     cut = re.findall(r"rangepartitioning\(([^\n]*)", got._jdf.queryExecution().executedPlan().toString())
     assert cut and not any("text#" in x for x in cut)
+
+
+def test_signatures_of_a_batch_are_made_in_parts(spark, monkeypatch):
+    """A task holds the signatures of a few texts, not of a whole batch."""
+    monkeypatch.setattr(dedup, "SIGNED_ROWS", 7)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence("id", F.col("id") + 9)).alias("text"))
+    signed = dedup.signatures_blake2b(docs, 16, 3)
+    whole = {r.doc_id: r.sig for r in signed.collect()}
+    monkeypatch.setattr(dedup, "SIGNED_ROWS", 1000)
+    assert len(whole) == 60 and whole == {r.doc_id: r.sig for r in dedup.signatures_blake2b(docs, 16, 3).collect()}
+
+
+def test_packed_tables_need_no_pandas(spark, tmp_path):
+    rows = spark.range(50).select(F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"), F.col("id").alias("pos"), F.sequence(F.lit(0), F.col("id").cast("int")).alias("ids"))
+    rows = rows.withColumn("ids", F.when(F.col("pos") == 8, F.array().cast("array<int>")).otherwise(F.col("ids")))
+    want = {(r.pos, *r.ids) for r in rows.where("split = 'train'").collect()}
+    for dtype in ("uint16", "uint32"):
+        writers.write_packed(rows, f"{tmp_path}/{dtype}", dtype)
+        got = writers.read_packed(spark, f"{tmp_path}/{dtype}", "train", dtype)
+        assert {(r.pos, *r.ids) for r in got.collect()} == want
+        assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
