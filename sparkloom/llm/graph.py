@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is an aggregation with map-side combine and an equi-join; nothing is collected to the driver, and each round
-ends in a table of the shared folder. The edges of a node with a large share of them all are salted."""
+ends in a table of the shared folder. The edges of a node with a large share of them all are salted. Tables of at most
+``FEW_EDGES`` contracted edges need no rounds: a round is some twenty jobs, whose plans cost the driver more than that."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, salted_join
 
 _EDGE = "u long, v long"
+#: Contracted edges that one task takes at once (16 bytes each); larger tables go by rounds.
+FEW_EDGES = 1 << 20
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,14 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": nodes[far], "v": roots[far]})
 
 
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every node and its component, of at most ``FEW_EDGES`` edges."""
+    several = list(batches)
+    if several:
+        nodes, roots = union_find(*(np.concatenate([pdf[c].to_numpy() for pdf in several]) for c in "uv"))
+        yield pd.DataFrame({"node": nodes, "component": roots})
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
@@ -62,7 +73,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Null ends, loops and repeated edges are ignored. An empty table gives an empty table."""
     pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = materialize(pairs.mapInPandas(_contract, _EDGE).distinct())
+    now = materialize(pairs.mapInPandas(_contract, _EDGE))
+    if now.count() <= FEW_EDGES:
+        out = materialize(now.coalesce(1).mapInPandas(_finish, "node long, component long"))
+        drop_table(now)
+        return out
     mark = None
     while True:
         # In a finished forest of stars no centre is itself a leaf, and every leaf has one centre.

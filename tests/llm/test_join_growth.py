@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sparkloom.llm import graph
 from sparkloom.llm import ngram_join as nj
 
 
@@ -46,3 +47,22 @@ def _one_leaf(self, points, sizes):
 @pytest.mark.parametrize("counts", [[0, 15, 3, 7], [0, 16, 3, 7], [300, 0, 0, 1], [70_000, 1, 2, 3]])
 def test_counts_are_kept(counts):
     assert nj.unpack_counts(nj.pack_counts(np.array(counts))).tolist() == counts
+
+
+@pytest.mark.parametrize("few", [graph.FEW_EDGES, 0])
+def test_few_edges_take_few_jobs(spark, monkeypatch, few):
+    """A round's plans cost the driver some twenty jobs; tables that one task can hold need none, all others go by rounds."""
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    rng = np.random.default_rng(4)
+    edges = [(int(i), int(i) + 1) for i in rng.permutation(200) if i % 50 < 40] + [(1000, 3), (900, 900), (3, 1000), (None, 5)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup(group := f"components-{few}", "")
+    try:
+        got = [tuple(r) for r in graph.connected_components(table, "a", "b").collect()]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {50 * c + i: 50 * c for c in range(4) for i in range(41)} | {1000: 0}
+    assert sorted(got) == sorted(want.items())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert jobs <= 8 if few else jobs > 8
+    assert graph.connected_components(table.where("a < 0"), "a", "b").isEmpty()
