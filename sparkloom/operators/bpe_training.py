@@ -24,6 +24,8 @@ from ..sources.checkpoint import delete_path, drop_table, materialize, shared_fo
 
 #: Bytes of pre-tokens of a block, rounds between checkpoints, and bounds of the candidates of a round.
 BLOCK_BYTES, CUT_ROUNDS, FEWEST, MOST = 1 << 19, 24, 64, 4096
+#: Entries of counts that are held before they are summed (16 bytes each).
+FOLD = 1 << 19
 _LOW = (1 << 32) - 1
 
 
@@ -123,9 +125,30 @@ def dealt(counts: Counts, parts: int) -> Iterator[tuple[int, Counts]]:
         yield p, Counts(counts.pairs[some], counts.n[some])
 
 
+class Sum:
+    """The sum of many counts, in any order; no more than ``FOLD`` entries, or thrice as many as there are pairs, are held."""
+
+    def __init__(self):
+        self.total, self.held, self.size = Counts(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), [], 0
+
+    def add(self, counts: Counts) -> None:
+        self.held.append(counts)
+        self.size += len(counts.pairs)
+        if self.size > max(FOLD, len(self.total.pairs)):
+            self.fold()
+
+    def fold(self) -> Counts:
+        several = [self.total, *self.held]
+        self.total = summed(np.concatenate([c.pairs for c in several]), np.concatenate([c.n for c in several]))
+        self.held, self.size = [], 0
+        return self.total
+
+
 def together(several: Iterable[Counts]) -> Counts:
-    several = [Counts(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), *several]
-    out = summed(np.concatenate([c.pairs for c in several]), np.concatenate([c.n for c in several]))
+    total = Sum()
+    for counts in several:
+        total.add(counts)
+    out = total.fold()
     return Counts(out.pairs[out.n > 0], out.n[out.n > 0])
 
 
@@ -220,7 +243,7 @@ def train(counts: DataFrame, n_merges: int, base: int) -> list[tuple[int, int, i
     k, rounds, files, guess = FEWEST, 0, [], np.zeros(0, dtype=np.int64)
     while True:
         # Changes of counts and triples go to the parts in one shuffle; the parts of the table are zipped with them.
-        sent = state.flatMap(lambda s: _tagged(s, guess, parts)).partitionBy(parts, int).mapPartitions(lambda rows: [[c for _, c in rows]])
+        sent = state.flatMap(lambda s: _tagged(s, guess, parts)).partitionBy(parts, int).mapPartitions(_gathered)
         before, pairs = pairs, (sent.map(lambda news: _updated(None, news, k)) if pairs is None else pairs.zip(sent).map(lambda p: _updated(p[0][0], p[1], k))).persist(level)
         cut = rounds % CUT_ROUNDS == CUT_ROUNDS - 1
         if cut:
@@ -263,6 +286,15 @@ def _tagged(state: tuple[Words, Counts], guess: np.ndarray, parts: int) -> Itera
             yield p, (tag, some)
 
 
+def _gathered(rows: Iterable[tuple[int, tuple[bool, Counts]]]) -> Iterator[list[tuple[bool, Counts]]]:
+    """What all blocks send to a part of the table, summed as it comes, so it has as many entries as there are pairs and
+    triples, not as many as there are blocks."""
+    sums = {False: Sum(), True: Sum()}
+    for _, (triple, counts) in rows:
+        sums[triple].add(counts)
+    yield [(triple, x.fold()) for triple, x in sums.items()]
+
+
 def _updated(pairs: Counts | None, news: list[tuple[bool, Counts]], k: int) -> tuple[Counts, list, list]:
     """A part of the table after changes, its most frequent pairs, and the most frequent triples as (-count, index of the
     guess, side and third token): each pair's first one at least."""

@@ -5,14 +5,16 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from ..sources.checkpoint import drop_table, materialize
 from . import bpe_training
@@ -183,16 +185,30 @@ def train_merges(counts: dict[str, int], n_merges: int, base: int) -> list[tuple
     return merges
 
 
-def slices(rows: list) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about SLICE characters or ids."""
-    ends = np.cumsum([len(x) for x in rows])
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE characters or ids of a column, whatever the size of the batch."""
+    rows = batch.column(column)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows) if pa.types.is_list(rows.type) else pc.utf8_length(rows), 0), dtype=np.int64))
     start = 0
     while start < len(rows):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
-        yield start, stop
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def with_column(docs: DataFrame, column: str, out_col: str, kind: DataType, change: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``docs`` with ``out_col``, which ``change`` makes of a slice of ``column``; a slice is handed on before the next is read."""
+    docs = docs.drop(out_col) if out_col != column else docs
+    kept = [c for c in docs.columns if c != out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), change(part.column(column))], names=[*kept, out_col])
+
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in kept), StructField(out_col, kind)]))
+
+
 def first_documents(docs: DataFrame, n: int, order_col: str) -> DataFrame:
     """The first ``n`` documents in order (with those of an equal last place): order numbers alone are sorted for it."""
     last = docs.select(order_col).where(F.col(order_col).isNotNull()).orderBy(order_col).limit(n).agg(F.max(order_col)).first()[0]
@@ -208,16 +224,15 @@ def train_tokenizer(docs: DataFrame, vocab_size: int = 32_000, special: tuple[st
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Without a shuffle: each Arrow batch encodes the words it is first to see."""
+    """Without a shuffle: each slice of a batch encodes the words it is first to see."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # the vocabulary
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = [x or "" for x in texts]
-            yield pd.Series([ids for a, b in slices(rows) for ids in shared.value.encode_all(rows[a:b])], dtype=object)
+    def encode(texts: pa.Array) -> pa.Array:
+        found = shared.value.encode_all([x or "" for x in texts.to_pylist()])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
 
-    return docs.withColumn(out_col, encode(text_col))
+    return with_column(docs, text_col, out_col, ArrayType(IntegerType()), encode)
 
 
 def word_dictionary(counts: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -245,10 +260,8 @@ def encode_by_dictionary(docs: DataFrame, words: DataFrame, id_col: str = "doc_i
 def decode_documents(rows: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for several in batches:
-            rows = [() if x is None else x for x in several]
-            yield pd.Series([text for a, b in slices(rows) for text in shared.value.decode_all(rows[a:b])], dtype=object)
+    def decode(ids: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), dtype=np.int64)
+        return pa.array(shared.value.decode_all(np.split(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1])), pa.string())
 
-    return rows.withColumn(out_col, decode(ids_col))
+    return with_column(rows, ids_col, out_col, StringType(), decode)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,41 @@ def test_long_words_take_the_heap(monkeypatch):
     text = "abcab" * 900
     assert len(text) > tokenizer.LONG and np.array_equal(coder.encode_all([text])[0], coder._word(text))
     assert text not in coder.cache
+
+
+def test_a_part_of_the_table_sums_as_counts_come(monkeypatch):
+    """What blocks send to a part is not held until the last of them is there."""
+    monkeypatch.setattr(bpe_training, "FOLD", 50)
+    held = []
+    fold = bpe_training.Sum.fold
+    monkeypatch.setattr(bpe_training.Sum, "fold", lambda self: held.append(self.size) or fold(self))
+    rng = np.random.default_rng(3)
+    sent = [(0, (bool(i % 2), bpe_training.Counts(np.unique(rng.integers(0, 40, 20)), np.zeros(0, dtype=np.int64)))) for i in range(60)]
+    sent = [(p, (t, bpe_training.Counts(c.pairs, rng.integers(-2, 9, len(c.pairs))))) for p, (t, c) in sent]
+    (news,) = bpe_training._gathered(iter(sent))
+    for tag, got in news:
+        want = {}
+        for _, (t, c) in sent:
+            for pair, n in zip(c.pairs.tolist(), c.n.tolist(), strict=True):
+                want[pair] = want.get(pair, 0) + n * (t == tag)
+        assert dict(zip(got.pairs.tolist(), got.n.tolist(), strict=True)) == {p: n for p, n in want.items() if p in set(got.pairs.tolist())} and set(want) >= set(got.pairs.tolist())
+        assert sum(want.values()) == got.n.sum()
+    assert max(held) <= 50 + 40 and len(held) > 10
+
+
+def test_texts_are_encoded_by_slices_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(tokenizer, "SLICE", 100)
+    coder = tokenizer.Tokenizer(tokenizer.train_merges({"abab": 5, "cab": 3}, 4, 0), [])
+    texts = [None, "", "abab cab" * 5, "é" * 300, "x", *(["cab abab"] * 40), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts = list(tokenizer.slices(batch, "text"))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("text").to_pylist()) <= 100 for p in parts)
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, ids string").coalesce(1)
+    out = tokenizer.decode_documents(tokenizer.encode_documents(docs, coder), coder)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"] and dict(out.dtypes)["ids"] == "array<int>"
+    rows = out.collect()
+    assert [(r.doc_id, r.text) for r in rows] == list(enumerate(texts))
+    assert [r.decoded for r in rows] == [t or "" for t in texts] and [r.ids for r in rows] == [coder.encode(t or "") for t in texts]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
