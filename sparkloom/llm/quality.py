@@ -278,12 +278,13 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 
 def _keep(batches: Iterator[pa.RecordBatch], model, least: float, column: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if model.value is None:
+            yield batch
+            continue
         texts = batch.column(column).cast(pa.string())
-        good = np.zeros(batch.num_rows, dtype=bool)
         for a, b in text_slices(texts):
             x, first = encode_passages(*buffers(texts.slice(a, b - a)))
-            good[a:b] = model.value.score(x, first) >= least if model.value is not None else True
-        yield batch.filter(pa.array(good))
+            yield batch.slice(a, b - a).filter(pa.array(model.value.score(x, first) >= least))
 
 
 def keep(docs: DataFrame, model: AttentionModel | None, least: float, text_col: str = "text") -> DataFrame:
